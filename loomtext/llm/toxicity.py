@@ -5,7 +5,8 @@ text's features and the probabilities of categories 1 to j-1. For training,
 those earlier probabilities are out-of-fold predictions, so that a later model
 learns from what it will see on new documents.
 
-Features: for each of `terms` indicative words, min(count, 4). Indicative are
+Features: for each of `terms` indicative words, min(count, 4), and the same for
+the words with a strong positive association taken together. Indicative are
 the words whose presence in labelled documents tells most about the first
 category (chi-squared), counted by Spark over the whole sample with 64-bit word
 hashes.
@@ -84,6 +85,11 @@ def indicative_words(sample: DataFrame, terms: int, least: int = 5) -> tuple[np.
     return np.array([r["h"] for r in rows], np.int64), np.array(strong, bool)
 
 
+def with_sum(count: np.ndarray, strong: np.ndarray) -> np.ndarray:
+    """The chain's features of rows of counts."""
+    return np.minimum(np.column_stack([count, count[:, strong].sum(1)]), MOST)
+
+
 def counts_of(hasher: WordHasher, text: str | None, words: np.ndarray) -> tuple[np.ndarray, int]:
     """How often each of the (sorted) words occurs, and the number of words."""
     h = hasher.hashes(text).view(np.int64)
@@ -96,7 +102,7 @@ def counts_of(hasher: WordHasher, text: str | None, words: np.ndarray) -> tuple[
 class Chain:
     """Linear models of the categories in order."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, categories: list[str], l2: float = 1.0) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, categories: list[str], l2: float = 0.1) -> None:
         self.categories, self.models = categories, []
         fold = folds_of(len(x))
         earlier = np.zeros((len(x), 0))
@@ -122,7 +128,7 @@ class Chain:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2000, terms: int = 192):
-    """(words, chain); the sample's counts of indicative words are all that reaches the driver."""
+    """(words, strong, chain); the sample's counts of indicative words are all that reaches the driver."""
     sample = written(labelled_sample(docs, labels, label, per_class), "labelled")
     words, strong = indicative_words(sample, terms)
 
@@ -140,23 +146,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     share = count[:, strong].sum(1) / n
     middle = np.median(share[toxic > 0]) if toxic.any() else 0.0
     y = np.column_stack([toxic, toxic * (share > middle), toxic * ((count[:, strong] > 0).sum(1) >= 3)])
-    return words, Chain(np.minimum(count, MOST), y, [label, "severe", "varied"])
+    return words, strong, Chain(with_sum(count, strong), y, [label, "severe", "varied"])
 
 
-def score(docs: DataFrame, words: np.ndarray, chain: Chain, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, words: np.ndarray, strong: np.ndarray, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """All columns of docs and p_<category> for each category, and `rejected`: the first category's probability reaches the threshold."""
     names = [f"p_{c}" for c in chain.categories]
     own = [c for c in docs.columns if c not in names and c != "rejected"]
     docs = docs.select(*own)
     at = own.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast((words, chain))  # `terms` words, three models
+    shared = docs.sparkSession.sparkContext.broadcast((words, strong, chain))  # `terms` words, three models
 
     def run(batches):
-        words, chain = shared.value
+        words, strong, chain = shared.value
         hasher = WordHasher()
         for b in batches:
             x = np.array([counts_of(hasher, t, words)[0] for t in b.column(at).to_pylist()], float).reshape(b.num_rows, len(words))
-            p = chain.predict(np.minimum(x, MOST))
+            p = chain.predict(with_sum(x, strong))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in p.T), pa.array(p[:, 0] >= threshold)], [*own, *names, "rejected"])
 
     added = [T.StructField(c, T.DoubleType()) for c in names] + [T.StructField("rejected", T.BooleanType())]
@@ -164,5 +170,4 @@ def score(docs: DataFrame, words: np.ndarray, chain: Chain, threshold: float = 0
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, terms: int = 192, threshold: float = 0.5) -> DataFrame:
-    words, chain = train(docs, labels, per_class=per_class, terms=terms)
-    return score(docs, words, chain, threshold)
+    return score(docs, *train(docs, labels, per_class=per_class, terms=terms), threshold)
