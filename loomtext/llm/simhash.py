@@ -182,7 +182,7 @@ def forest(nodes: np.ndarray, distance: int) -> list[tuple[int, int]]:
         left[front[0]] = False
         while front:
             x = front.pop()
-            near = np.flatnonzero(left & (np.bitwise_count(nodes ^ nodes[x]) <= distance))
+            near = np.flatnonzero(left & (np.bitwise_count((nodes ^ nodes[x]).view(np.uint64)) <= distance))
             left[near] = False
             front += near.tolist()
             out += [(int(nodes[x]), int(nodes[y])) for y in near]
