@@ -128,5 +128,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, weight: np.ndarr
     return beta
 
 
-def folds_of(n: int, k: int = 5) -> np.ndarray:
-    return np.arange(n) % k
+def folds_of(y: np.ndarray, k: int = 5) -> np.ndarray:
+    """A fold for each row, every class dealt evenly over the folds."""
+    fold = np.empty(len(y), int)
+    fold[np.argsort(y, kind="stable")] = np.arange(len(y)) % k
+    return fold

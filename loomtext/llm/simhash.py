@@ -127,7 +127,8 @@ def group_bits(n: int, counts: np.ndarray, parts: int) -> list[list[int]]:
 
 def candidate_costs(n: int, counts: np.ndarray, groups: list[list[int]], most: int) -> np.ndarray:
     """cost[i, t + 1]: estimated pairs within t bits in group i, t from -1 to most, were bits independent; probes cost a row for each masked subset."""
-    p = np.diag(counts) / max(n, 1)
+    n = max(n, 2)  # with no cost at all, any number of probes would do
+    p = np.diag(counts) / n
     differ = 2 * p * (1 - p)
     cost = np.zeros((len(groups), most + 2))
     for i, group in enumerate(groups):

@@ -104,7 +104,7 @@ class Chain:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, categories: list[str], l2: float = 0.1) -> None:
         self.categories, self.models = categories, []
-        fold = folds_of(len(x))
+        fold = folds_of(y[:, 0])
         earlier = np.zeros((len(x), 0))
         for j in range(len(categories)):
             z = np.column_stack([x, earlier])
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
 
 
 def score(docs: DataFrame, words: np.ndarray, strong: np.ndarray, chain: Chain, threshold: float = 0.5) -> DataFrame:
-    """All columns of docs and p_<category> for each category, and `rejected`: the first category's probability reaches the threshold."""
+    """All columns of docs and p_<category> for each category, and `rejected`: the first category's probability is over the threshold."""
     names = [f"p_{c}" for c in chain.categories]
     own = [c for c in docs.columns if c not in names and c != "rejected"]
     docs = docs.select(*own)
@@ -163,7 +163,7 @@ def score(docs: DataFrame, words: np.ndarray, strong: np.ndarray, chain: Chain,
         for b in batches:
             x = np.array([counts_of(hasher, t, words)[0] for t in b.column(at).to_pylist()], float).reshape(b.num_rows, len(words))
             p = chain.predict(with_sum(x, strong))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in p.T), pa.array(p[:, 0] >= threshold)], [*own, *names, "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in p.T), pa.array(p[:, 0] > threshold)], [*own, *names, "rejected"])
 
     added = [T.StructField(c, T.DoubleType()) for c in names] + [T.StructField("rejected", T.BooleanType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
