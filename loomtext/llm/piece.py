@@ -40,7 +40,7 @@ _LOADED: dict[bytes, PieceEncoder] = {}
 
 
 class PieceEncoder:
-    def __init__(self, model: bytes, kept: int = 600_000) -> None:
+    def __init__(self, model: bytes, kept: int = 160_000) -> None:
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = self.sp.get_piece_size()
         special = lambda i: self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i) or self.sp.is_unused(i)
@@ -59,7 +59,8 @@ class PieceEncoder:
             self.prefix[i] = next((own[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in own), -1)
         self.coarse = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if "\n" not in "".join(own) and not self.reaches_over_space() else "(?s).+")
         self.fine = re.compile(self.segment_pattern())
-        self.kept, self.segments, self.pairs = kept, {}, {}
+        # Tables of what was worked out lately. A full one becomes the old one, whose entries come back when they are used.
+        self.kept, self.segments, self.old_segments, self.pairs, self.old_pairs = kept, {}, {}, {}, {}
 
     def reaches_over_space(self) -> bool:
         return any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
@@ -113,17 +114,20 @@ class PieceEncoder:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether two neighbouring pieces, merged anew from their characters, come out as themselves; kept in `pairs`."""
-        if len(self.pairs) >= 2 * self.kept:
-            self.pairs.clear()
-        a, b = self.piece[left], self.piece[right]
-        known = self.pairs[left << 32 | right] = self.merge(a + b) == [a, b]
+        key = left << 32 | right
+        if (known := self.old_pairs.get(key)) is None:
+            a, b = self.piece[left], self.piece[right]
+            known = self.merge(a + b) == [a, b]
+        if len(self.pairs) >= self.kept:
+            self.old_pairs, self.pairs = self.pairs, {}
+        self.pairs[key] = known
         return known
 
     def backtrack(self, text: str) -> list[int]:
         """Ids of the pieces of a text; -1 for a character without a piece."""
         n = len(text)
         longest, reach = [-1] * n, [0] * n
-        size, prefix, pairs = self.size, self.prefix, self.pairs
+        size, prefix = self.size, self.prefix
         for end, i in self.longest.iter(text):
             start = end - size[i] + 1
             if size[i] > reach[start]:
@@ -138,7 +142,7 @@ class PieceEncoder:
                     if not (failed and failed >> end & 1):
                         if last < 0:
                             break
-                        fits = pairs.get(last << 32 | candidate)
+                        fits = self.pairs.get(last << 32 | candidate)
                         if self.compatible(last, candidate) if fits is None else fits:
                             break
                     candidate = prefix[candidate]
@@ -174,13 +178,15 @@ class PieceEncoder:
     def looked_up(self, text: str, parts: re.Pattern | None) -> bytes:
         """The ids of a segment from the table of segments, which may hold its finer parts (a word without its full stop)."""
         if (ids := self.segments.get(text)) is None:
-            if parts and len(found := parts.findall(text)) > 1:
+            if (ids := self.old_segments.get(text)) is not None:
+                pass
+            elif parts and len(found := parts.findall(text)) > 1:
                 ids = b"".join([self.looked_up(p, None) for p in found])
             else:
                 ids = self.segment(text)
             if len(text) <= 64:
                 if len(self.segments) >= self.kept:
-                    self.segments.clear()
+                    self.old_segments, self.segments = self.segments, {}
                 self.segments[text] = ids
         return ids
 
@@ -189,9 +195,8 @@ class PieceEncoder:
         if text and not text.isascii():
             text = text.encode("utf-8", "replace").decode()
         out = [np.array([self.sp.bos_id()], "<u4").tobytes()]
-        seen = self.segments.get
         for part in self.coarse.findall(self.sp.normalize(text)) if text else []:
-            out.append(seen(part) or self.looked_up(part, self.fine))
+            out.append(self.segments.get(part) or self.looked_up(part, self.fine))
         out.append(np.array([self.sp.eos_id()], "<u4").tobytes())
         return b"".join(out)
 
