@@ -1,8 +1,9 @@
 """Substring dedup by hashed lines and sentences.
 
-Units are lines, cut further at sentence ends, so that a passage set into the
-middle of a line still shares its inner units with its other places. A unit is
-normalised (lower case, white space runs to one space) and hashed to 128 bits.
+Units are lines, cut further at sentence ends, and sentences of over 16 words
+after words whose hash is divisible by 8. The cuts depend on what stands
+there alone, so that a passage set into the middle of a line still shares its
+inner units with its other places. A unit is normalised (lower case, white space runs to one space) and hashed to 128 bits.
 Digests are grouped globally; the occurrence of the lowest (doc_id, text hash,
 unit number) stays, all others are repeats. Removed are
 
@@ -27,6 +28,7 @@ table gives an empty result; other columns are handed on as they are.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +42,47 @@ from loomtext.llm.base import written
 
 #: A line break ends a unit, and so does white space after a sentence's end.
 CUT = re.compile(r"\n|(?<=[.!?])[ \t\r\f\v]+")
+WORDS = re.compile(r"\S+")
+LONG, EVERY = 16, 8
+
+
+def cut_long(text: str, start: int, end: int, least: int = 3) -> list[tuple[int, int]]:
+    """The spans of a long sentence's parts: each of `least` words or more, up to a word whose hash is divisible by EVERY."""
+    parts, at, words, last = [], start, 0, start
+    for m in WORDS.finditer(text, start, end):
+        words, last = words + 1, m.end()
+        if words >= least and zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % EVERY == 0:
+            parts.append((at, last))
+            at, words = last, 0
+    if words >= least or not parts:
+        return [*parts, (at, end)]
+    return [*parts[:-1], (parts[-1][0], end)]
+
+
+def sentences_of(text: str):
+    """(start, end, whole line) of lines, cut at sentence ends."""
+    at, line_start = 0, True
+    for m in CUT.finditer(text):
+        line_end = m[0] == "\n"
+        yield at, m.start(), line_start and line_end
+        at, line_start = m.end(), line_end
+    yield at, len(text), line_start
 
 
 def units_of(text: str):
     """(start, end, digest, words, whole line) of every unit that has words; offsets in code points."""
-    at, line_start = 0, True
-    for m in [*CUT.finditer(text), None]:
-        end = m.start() if m else len(text)
-        line_end = m is None or m[0] == "\n"
-        words = text[at:end].lower().split()
-        if words:
-            yield at, end, xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")), len(words), line_start and line_end
-        if m:
-            at, line_start = m.end(), line_end
+    for start, end, whole in sentences_of(text):
+        words = text[start:end].lower().split()
+        if len(words) > LONG:
+            for a, b in cut_long(text, start, end):
+                part = text[a:b].lower().split()
+                yield a, b, digest_of(part), len(part), False
+        elif words:
+            yield start, end, digest_of(words), len(words), whole
+
+
+def digest_of(words: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
 
 
 def _explode(unit_words: int):
@@ -131,14 +161,14 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
-def dedup_substrings(docs: DataFrame, line_words: int = 8, run_words: int = 20, unit_words: int = 3) -> DataFrame:
+def dedup_substrings(docs: DataFrame, line_words: int = 8, run_words: int = 10, unit_words: int = 3) -> DataFrame:
     """The documents with their repeated units cut: `text` without them, `removed` with the offsets of what went, `n_removed` code points."""
-    drop = repeats(docs, unit_words).groupBy("doc_id", "key").agg(F.collect_set("unit").alias("units"))  # at most the units of one text
+    drop = repeats(docs, unit_words).groupBy("doc_id", "key").agg(F.collect_set("unit").alias("_units"))  # at most the units of one text
     names = [c for c in docs.columns if c not in ("removed", "n_removed")]
     keyed = docs.select(*names).withColumn("_key", F.xxhash64("text"))
-    drop = drop.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_k"), "units")
+    drop = drop.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_k"), "_units")
     joined = keyed.join(drop, keyed["doc_id"].cast("long").eqNullSafe(drop["_doc"]) & (keyed["_key"] == drop["_k"]), "left")
-    text_at, units_at = joined.columns.index("text"), joined.columns.index("units")
+    text_at, units_at = joined.columns.index("text"), joined.columns.index("_units")
     keep = [joined.columns.index(c) for c in names]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 

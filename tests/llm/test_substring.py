@@ -8,7 +8,7 @@ from loomtext.llm import substring as S
 from .conftest import words
 
 
-def brute(rows, line_words=8, run_words=20, unit_words=3):
+def brute(rows, line_words=8, run_words=10, unit_words=3):
     """Kept texts by row number, from rows (doc_id, text), with the same ranks by dictionary."""
     first: dict = {}
     units = [list(S.units_of(t)) if t is not None else [] for _, t in rows]
