@@ -831,6 +831,98 @@ def stream_stats(spark, sf_dir):
     return spark.table(name)
 
 
+# Whole pipeline, guards and files
+
+
+@query()
+def clean_documents(spark, sf_dir):
+    """Mask, basic and advanced steps and unmasking in one plan."""
+    out, _ = clean.clean(documents(spark, sf_dir))
+    return out.select("doc_id", F.md5("text").alias("clean_md5"), F.length("text").alias("n"))
+
+
+@query()
+def clean_stats(spark, sf_dir):
+    _, s = clean.clean(documents(spark, sf_dir), keep=["doc_id", "lang", "source"])
+    return stats.subtotals(s.where(F.col("step") == "mask"), ["lang", "source"])
+
+
+@query(f"{WITH} SELECT doc_id, CASE " + " ".join(f"WHEN {b} THEN '{n}'" for n, b in _BAD.items()) + """ WHEN false THEN '' END AS validator,
+    (length(a2) - length(replace(a2, '```', ''))) // 3 % 2 = 1 OR """ + " OR ".join(f"{_COUNT('a2', o)} <> {_COUNT('a2', c)}" for o, c in ("[]", "()", "{}")) + " AS unbalanced FROM c")
+def validators_strict(spark, sf_dir):
+    a, b = F.col("original"), F.col("text")
+    odd = F.coalesce(validators.brackets_unbalanced(a, b), validators.fence_odd(a, b)).isNotNull()
+    return pairs(spark, sf_dir).select("doc_id", validators.first_failed(a, b).alias("validator"), odd.alias("unbalanced"))
+
+
+def _masked(spark, sf_dir):
+    """Masked texts, their tables, and a rewrite that loses the first mask of every text with several."""
+    d = documents(spark, sf_dir).transform(with_spans).withColumn("masks", spans.mask_table(F.col("found")))
+    d = d.withColumn("masked", spans.masked(F.col("text"), F.col("found")))
+    return d.withColumn("edited", F.when(F.size("found") > 1, F.replace("masked", F.lit("__MASKED_0__"), F.lit(""))).otherwise(F.col("masked")))
+
+
+@query()
+def grammar_structure(spark, sf_dir):
+    return _masked(spark, sf_dir).select("doc_id", F.size("found").alias("n_masks"), validators.grammar_structure(F.col("masks"), F.col("edited"), F.col("masked")).alias("error"))
+
+
+@query()
+def lost_masks(spark, sf_dir):
+    """Mask ids of the table that the edited text no longer has: an anti-join by document and id."""
+    d = _masked(spark, sf_dir)
+    table_ids = d.select("doc_id", F.explode(F.map_keys("masks")).alias("mask"))
+    there = d.select("doc_id", F.explode(validators.masks(F.col("edited"))).alias("mask"))
+    return table_ids.join(there, ["doc_id", "mask"], "left_anti")
+
+
+@query(f"{WITH} SELECT doc_id, length(a2) > 0 AND length(a2) < length(text) * 1.5::DOUBLE AS grammar_ok, length(a2) > 0 AND length(a2) < length(text) * 1.2::DOUBLE AS polish_ok FROM c")
+def rewrite_length_guard(spark, sf_dir):
+    a, b = F.col("original"), F.col("text")
+    return pairs(spark, sf_dir).select("doc_id", validators.sane_length(a, b).alias("grammar_ok"), validators.sane_length(a, b, 1.2).alias("polish_ok"))
+
+
+@query(f"{WITH} SELECT doc_id, (length(a2) - length(text)) / length(text) AS file_growth_ratio, abs((length(a2) - length(text)) / length(text)) > 0.05::DOUBLE AS reverted FROM c")
+def file_growth(spark, sf_dir):
+    return responses.file_growth(pairs(spark, sf_dir))
+
+
+@query()
+def plan_idempotence(spark, sf_dir):
+    """Whether a plan applied to its own result changes nothing more."""
+    d, p = documents(spark, sf_dir), plan(spark, sf_dir)
+    once_applied = apply.apply_plan(d, p, max_ratio=0.05).select("doc_id", "text")
+    twice = apply.apply_plan(once_applied, p, max_ratio=0.05).select("doc_id", F.col("text").alias("again"))
+    return once_applied.join(twice, "doc_id").select("doc_id", (F.col("text") == F.col("again")).alias("idempotent"))
+
+
+@query(
+    f"""{WITH_PLAN}, u AS (SELECT doc_id, find, arg_max(replace, item_no) AS replace, min(item_no) AS first_at FROM p WHERE find <> replace GROUP BY doc_id, find),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_at) AS k FROM u)
+    SELECT doc_id, md5('Fix.' || chr(10) || chr(10) || 'PREPASS REPLACEMENTS:' || chr(10) || string_agg('"' || find || '" → "' || replace || '"', chr(10) ORDER BY first_at)) AS prompt_md5 FROM n WHERE k <= 100 GROUP BY doc_id"""
+)
+def prompt_with_map(spark, sf_dir):
+    w = detect.problem_words(plan(spark, sf_dir), ["doc_id"], ["item_no"])
+    own = F.array_sort(F.collect_list(F.struct(F.col("first_at.item_no").alias("at"), F.col("find").alias("key"), F.col("replace").alias("value"))))
+    return w.groupBy("doc_id").agg(own.alias("pairs")).select("doc_id", F.md5(requests.with_replacement_map(F.lit("Fix."), F.col("pairs"))).alias("prompt_md5"))
+
+
+@query(f"WITH d AS ({DOCS}), t AS (SELECT doc_id, lang, text FROM d) SELECT lang, count(*) AS docs, sum(length(text))::BIGINT AS chars FROM t GROUP BY lang")
+def documents_roundtrip(spark, sf_dir):
+    """Written by language and read again; the folder's language prunes what a filter on it reads."""
+    out = _folder(spark, "documents")
+    files.write_documents(documents(spark, sf_dir), out, ["lang"])
+    return spark.read.parquet(out).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query(f"{WITH}, s AS ({STATS}) SELECT doc_id, step, key, value::BIGINT AS value FROM s")
+def stats_roundtrip(spark, sf_dir):
+    _, s = clean.clean(documents(spark, sf_dir), ("prepass-basic", "prepass-advanced"))
+    out = _folder(spark, "stats")
+    files.write_stats(s, out)
+    return files.read_stats(spark, out)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 
