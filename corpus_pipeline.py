@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return piece.encode_documents(docs, vocabulary())
+    return piece.encode_documents(docs, vocabulary(), kept=40_000, release=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_copies), ("substring", cut_repeats), ("mixing", mix_sources), ("sentencepiece", encode)]

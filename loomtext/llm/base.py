@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words are maximal runs of these characters' complement: space and the five ASCII control spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are hashed in pieces of this many bytes, so that memory does not follow the longest text.
-PIECE = 1 << 20
+PIECE = 1 << 17
 
 _ODD = 0x9E3779B97F4A7C15
 

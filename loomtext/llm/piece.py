@@ -24,6 +24,7 @@ stay apart; other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -204,22 +205,27 @@ class PieceEncoder:
         return self.sp.decode(ids)
 
 
-def encoder(model: bytes) -> PieceEncoder:
+def encoder(model: bytes, kept: int = 160_000) -> PieceEncoder:
     """One encoder for each Python worker and model."""
     key = hashlib.sha256(model).digest()
     if key not in _LOADED:
-        _LOADED[key] = PieceEncoder(model)
+        _LOADED[key] = PieceEncoder(model, kept)
     return _LOADED[key]
 
 
-def encode_documents(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every whole text; `model` is the file's path on the driver, `with_ids` False leaves out ids."""
+def encode_documents(docs: DataFrame, model: str, with_ids: bool = True, kept: int = 160_000, release: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every whole text; `model` is the file's path on the driver, `with_ids` False leaves out ids.
+
+    A worker's tables hold up to twice `kept` segments and pairs. They stay for
+    its next task, unless `release` says to give their memory back: for a job
+    whose other stages share the executors.
+    """
     with open(model, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches):
-        e = encoder(shared.value)
+        e = encoder(shared.value, kept)
         for b in batches:
             counts, shas, decoded, all_ids = [], [], [], []
             for text in b.column(1).to_pylist():
@@ -231,6 +237,11 @@ def encode_documents(docs: DataFrame, model: str, with_ids: bool = True) -> Data
                     all_ids.append(ids.astype(np.int32))
             columns = [b.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else []), names)
+        if release:
+            _LOADED.clear()
+            del e
+            gc.collect()
+            pa.default_memory_pool().release_unused()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, schema)
