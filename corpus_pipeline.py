@@ -1,12 +1,14 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again as the next one's documents.
 
 1. toxicity: documents that the classifier chain rejects go.
-2. simhash: one document of each near-duplicate group stays.
+2. simhash: one row of each near-duplicate group stays. Texts are near
+   duplicates from a Jaccard similarity of 0.8 of their 5-word shingles on.
 3. substring: repeated passages are cut out of the texts.
 4. mixing: every source's words are brought to its target; a document comes as often as its copies say.
 5. sentencepiece: what is left is encoded.
 
-Rows that repeat a doc_id before stage 2 are one document there.
+Stage 2 decides by row: rows of one doc_id with different texts, and rows without
+a doc_id, are documents of their own.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import mixing, piece, simhash, substring, toxicity
+from loomtext.llm import mixing, nearcopies, piece, substring, toxicity
 from loomtext.llm.base import written
 from loomtext.llm.queries import table, vocabulary
 
@@ -28,9 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    heads = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_head")).distinct()
-    # A document that comes more than once under one id stays once.
-    return docs.select(*COLUMNS).join(heads, docs["doc_id"].eqNullSafe(heads["_head"]), "left_semi").dropDuplicates(["doc_id"])
+    return nearcopies.one_of_each(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
