@@ -5,9 +5,13 @@ after words whose hash is divisible by 8. The cuts depend on what stands
 there alone, so that a passage set into the middle of a line still shares its
 inner units with its other places. A unit is normalised (lower case, white space runs to one space) and hashed to 128 bits.
 Digests are grouped globally; the occurrence of the lowest (doc_id, text hash,
-unit number) stays, all others are repeats. Removed are
+unit number) stays, all others are repeats. Whole lines are hashed and grouped
+like units, apart from them. Removed are
 
-* a repeat that is a whole line of `line_words` words or more, and
+* a whole line, of whatever length, that the same text has had before,
+* a whole line, of one unit or several, that is a repeat across texts and has
+  `short_words` words or more (`line_words` where it is the text's only line:
+  such a text is a short document and not a passage of one), and
 * runs of adjacent repeats of `run_words` words or more in total. Units under
   `unit_words` words are too common to look up; between two repeats they
   belong to the run.
@@ -81,11 +85,13 @@ def units_of(text: str):
             yield start, end, digest_of(words), len(words), whole
 
 
-def digest_of(words: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+def digest_of(words: list[str], kind: str = "") -> bytes:
+    return xxhash.xxh3_128_digest((kind + " ".join(words)).encode("utf-8", "surrogatepass"))
 
 
-def _explode(unit_words: int):
+def _explode(unit_words: int, short_words: int):
+    """Units by their numbers from 0 on, whole lines by -1, -2, ..."""
+
     def run(batches):
         for b in batches:
             ids, keys, numbers, digests = [], [], [], []
@@ -96,6 +102,12 @@ def _explode(unit_words: int):
                         keys.append(key)
                         numbers.append(n)
                         digests.append(digest)
+                for n, (_, _, words) in enumerate(lines_of(text)):
+                    if len(words) >= short_words:
+                        ids.append(doc)
+                        keys.append(key)
+                        numbers.append(-n - 1)
+                        digests.append(digest_of(words, "\n"))
             half = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             arrays = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "unit", "d1", "d2"])
@@ -103,11 +115,11 @@ def _explode(unit_words: int):
     return run
 
 
-def repeats(docs: DataFrame, unit_words: int = 3, buckets: int = 1 << 16, salts: int = 64) -> DataFrame:
-    """(doc_id, key, unit): every occurrence of a unit but the earliest."""
+def repeats(docs: DataFrame, unit_words: int = 3, buckets: int = 1 << 16, salts: int = 64, short_words: int = 3) -> DataFrame:
+    """(doc_id, key, unit): every occurrence of a unit or a whole line but the earliest."""
     spark = docs.sparkSession
     found = docs.where("text is not null").select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    units = written(found.mapInArrow(_explode(unit_words), "doc_id long, key long, unit int, d1 long, d2 long"), "units")
+    units = written(found.mapInArrow(_explode(unit_words, short_words), "doc_id long, key long, unit int, d1 long, d2 long"), "units")
     bucket = F.pmod(F.col("d1"), F.lit(buckets)).cast("int")
     # At most `buckets` rows; hot are at most 4 * shuffle partitions of them.
     sizes = units.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -116,7 +128,7 @@ def repeats(docs: DataFrame, unit_words: int = 3, buckets: int = 1 << 16, salts:
     hot = [r["b"] for r in sizes.where(F.col("n") > limit).collect()]
     is_hot = bucket.isin(hot) if hot else F.lit(False)
 
-    rank = F.struct("doc_id", "key", "unit")
+    rank = F.struct("doc_id", "key", F.abs("unit").alias("unit"))
     cold = units.where(~is_hot).withColumn("first", F.min(rank).over(Window.partitionBy("d1", "d2"))).where(rank != F.col("first"))
     out = cold.select("doc_id", "key", "unit")
     if hot:
@@ -128,10 +140,42 @@ def repeats(docs: DataFrame, unit_words: int = 3, buckets: int = 1 << 16, salts:
     return out
 
 
+def lines_of(text: str):
+    """(start, end, words) of every line that has words."""
+    at = 0
+    for line in text.split("\n"):
+        if words := line.lower().split():
+            yield at, at + len(line), words
+        at += len(line) + 1
+
+
+def lines_again(text: str) -> list[tuple[int, int]]:
+    """The spans of lines that have words and stand further up in the same text, normalised like units."""
+    seen, spans = set(), []
+    for start, end, words in lines_of(text) if "\n" in text else ():
+        # A digest for a long line, so that memory does not follow the text.
+        key = digest_of(words) if end - start > 64 else " ".join(words)
+        if key in seen:
+            spans.append((start, end))
+        seen.add(key)
+    return spans
+
+
+def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def cut_spans(text: str, repeated: set[int], line_words: int, run_words: int, unit_words: int) -> list[tuple[int, int]]:
     """The spans of a text to remove, given the numbers of its repeated units; spans that touch are one."""
-    units = list(units_of(text))
-    spans, n = [], 0
+    spans, n = lines_again(text), 0
+    units = list(units_of(text)) if repeated else []
     while n < len(units):
         if n not in repeated:
             n += 1
@@ -146,7 +190,16 @@ def cut_spans(text: str, repeated: set[int], line_words: int, run_words: int, un
         else:
             spans += [units[i][:2] for i in run if i in repeated and units[i][4] and units[i][3] >= line_words]
         n = last + 1
-    return spans
+    return joined_spans(spans)
+
+
+def spans_of(text: str, repeated: set[int], line_words: int, run_words: int, unit_words: int) -> list[tuple[int, int]]:
+    """Like cut_spans, and with the whole lines that `repeated` names by negative numbers."""
+    spans = cut_spans(text, {n for n in repeated if n >= 0}, line_words, run_words, unit_words)
+    if any(n < 0 for n in repeated):
+        lines = list(lines_of(text))
+        spans += [(a, b) for n, (a, b, words) in enumerate(lines) if -n - 1 in repeated and (len(lines) > 1 or len(words) >= line_words)]
+    return joined_spans(spans)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -161,9 +214,9 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
-def dedup_substrings(docs: DataFrame, line_words: int = 8, run_words: int = 10, unit_words: int = 3) -> DataFrame:
+def dedup_substrings(docs: DataFrame, line_words: int = 8, run_words: int = 10, unit_words: int = 3, short_words: int = 3) -> DataFrame:
     """The documents with their repeated units cut: `text` without them, `removed` with the offsets of what went, `n_removed` code points."""
-    drop = repeats(docs, unit_words).groupBy("doc_id", "key").agg(F.collect_set("unit").alias("_units"))  # at most the units of one text
+    drop = repeats(docs, unit_words, short_words=short_words).groupBy("doc_id", "key").agg(F.collect_set("unit").alias("_units"))  # at most the units of one text
     names = [c for c in docs.columns if c not in ("removed", "n_removed")]
     keyed = docs.select(*names).withColumn("_key", F.xxhash64("text"))
     drop = drop.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_k"), "_units")
@@ -176,7 +229,7 @@ def dedup_substrings(docs: DataFrame, line_words: int = 8, run_words: int = 10,
         for b in batches:
             texts, removed, count = [], [], []
             for text, units in zip(b.column(text_at).to_pylist(), b.column(units_at).to_pylist(), strict=True):
-                spans = cut_spans(text, set(units), line_words, run_words, unit_words) if units else []
+                spans = spans_of(text, set(units or ()), line_words, run_words, unit_words) if text else []
                 texts.append(without(text, spans) if spans else text)
                 removed.append([{"start": a, "end": e} for a, e in spans])
                 count.append(len(text) - len(texts[-1]) if text else 0)

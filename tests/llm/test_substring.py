@@ -82,3 +82,22 @@ def test_copies(spark):
     d = spark.createDataFrame([(3, t), (2, t), (2, t), (9, t)], "doc_id long, text string")
     got = sorted((r["doc_id"], r["text"]) for r in S.dedup_substrings(d).select("doc_id", F.col("text")).collect())
     assert got == [(2, t), (2, t), (3, ""), (9, "")]
+
+
+def test_lines_repeated_within_a_text(spark):
+    fresh = "Seven words make up this first line"
+    t = f"{fresh}\nietzte.\nAn. Bo.\n\nietzte.\n  IETZTE.\nAn. Bo.\nshort one\n{fresh}\nlast"
+    other = "ietzte.\nshort one\nof its own kind"
+    d = spark.createDataFrame([(1, t), (2, other), (3, "\n\n")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in S.dedup_substrings(d).collect()}
+    assert got[1]["text"] == f"{fresh}\nietzte.\nAn. Bo.\n\nshort one\nlast"
+    assert got[1]["n_removed"] == len(t) - len(got[1]["text"]) and len(got[1]["removed"]) == 4
+    assert got[2]["text"] == other and got[3]["text"] == "\n\n"  # short lines of other texts are no repeats
+
+
+def test_short_lines_repeated_across_texts(spark):
+    three, two_units = "All rights reserved", "One of two units. The other. Es."
+    rows = [(k, f"Text {k} begins\n{three}\n{two_units} \nAn.\nand ends with {k}") for k in range(5)] + [(9, three), (10, f"{two_units} One more here now.")]
+    got = {r["doc_id"]: r["text"] for r in S.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[0] == rows[0][1] and got[9] == three and got[10] == rows[6][1]
+    assert all(got[k] == f"Text {k} begins\nAn.\nand ends with {k}" for k in range(1, 5))
