@@ -26,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,18 @@ SIGNS = [c for c in range(33, 127) if not chr(c).isalnum()]
 SOURCES, LANGS = 32, 16
 
 
+def repeated_lines(data: bytes) -> float:
+    """The share of lines that stand further up in the text, for a text of any size; only hashes of lines are held."""
+    seen, lines, at = set(), 0, 0
+    while at <= len(data) and data:
+        end = data.find(b"\n", at)
+        end = len(data) if end < 0 else end
+        seen.add(xxhash.xxh3_64_intdigest(data[at:end]))
+        lines += 1
+        at = end + 1
+    return 1 - len(seen) / lines if lines else 0.0
+
+
 def text_view(hasher: WordHasher, text: str | None) -> np.ndarray:
     data = (text or "").encode("utf-8", "surrogatepass")
     n = max(len(data), 1)
@@ -46,8 +59,7 @@ def text_view(hasher: WordHasher, text: str | None) -> np.ndarray:
     words = max(len(h), 1)
     same = np.count_nonzero(h[1:] == h[:-1]) if len(h) > 1 else 0
     upper, lower, digit, high = c[65:91].sum(), c[97:123].sum(), c[48:58].sum(), c[128:].sum()
-    lines = data.split(b"\n") if len(data) <= PIECE else []
-    repeated = 1 - len(set(lines)) / len(lines) if lines else 0.0
+    repeated = repeated_lines(data)
     shares = np.sqrt(c[SIGNS] / n)
     rest = [
         np.sqrt(upper / n), lower / n, np.sqrt(digit / n), high / n, np.sqrt(c[10] / n), c[32] / n, upper / max(upper + lower, 1),

@@ -122,3 +122,18 @@ def test_prediction_ignores_held_out_labels(spark, awkward):
     other = awkward.withColumn("lang", F.when(usable, F.col("lang")).otherwise(F.lit("xx")))
     a = sorted(map(str, langid.identify(awkward, usable).collect()))
     assert a == sorted(map(str, langid.identify(other, usable).collect()))
+
+
+def test_repeated_lines_count_at_every_size():
+    lines = [f"line {k} of a page" for k in range(10)] * 2
+    short, long = "\n".join(lines), "\n".join(line + " with more words" * 2000 for line in lines)
+    assert len(long) > 4 * base.PIECE
+    assert quality.repeated_lines(short.encode()) == quality.repeated_lines(long.encode()) == 0.5
+    junk = ("the same line\n" * 20_000).strip()
+    assert len(junk) > base.PIECE
+    h = base.WordHasher()
+    at = len(quality.SIGNS) + 11
+    assert quality.text_view(h, short)[at] == quality.text_view(h, long)[at] == 0.5 and quality.text_view(h, junk)[at] > 0.9999
+    for t in ("", "a", "a\n", "\n\n", "a\nb\na"):
+        lines = t.encode().split(b"\n")
+        assert quality.repeated_lines(t.encode()) == 1 - len(set(lines)) / len(lines)
