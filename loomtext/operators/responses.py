@@ -52,9 +52,9 @@ def parse_lines(responses: DataFrame, key: list[str], column: str = "response")
     return items.select(*key, number.alias("item_no"), "find", "replace", "reason")
 
 
-def json_items(c: Column, most: int = 2000) -> Column:
-    """struct<items, error>: the JSON array in the first `most` characters of an answer."""
-    found = F.regexp_extract(F.substring(c, 1, most), r"(?s)\[.*\]", 0)
+def json_items(c: Column, most: int | None = 2000) -> Column:
+    """struct<items, error>: the JSON array in the first `most` characters of an answer, in all of it for None."""
+    found = F.regexp_extract(c if most is None else F.substring(c, 1, most), r"(?s)\[.*\]", 0)
     items = F.from_json(found, T.ArrayType(ITEM))
     bad = F.when(F.length(found) == 0, F.lit("no JSON array")).when(items.isNull(), F.lit("invalid JSON"))
     return F.struct(F.when(bad.isNull(), items).alias("items"), bad.alias("error"))

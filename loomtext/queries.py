@@ -648,12 +648,23 @@ def parse_lines(spark, sf_dir):
     return responses.parse_lines(_rendered(spark, sf_dir), ["doc_id"])
 
 
-@query(f"{WITH_PLAN}, q AS (SELECT doc_id, find, replace, reason, row_number() OVER (PARTITION BY doc_id ORDER BY item_no) - 1 AS k FROM p WHERE find <> replace) SELECT doc_id, k::INTEGER AS item_no, find, replace, reason FROM q WHERE k < 10")
-def parse_json(spark, sf_dir):
+def _json_parsed(spark, sf_dir):
+    """Every item of each document's plan, rendered as one JSON answer and parsed from all of it."""
     item = F.struct("find", "replace", "reason")
-    said = plan(spark, sf_dir).groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("item_no", item.alias("i")))), 1, 10).alias("i"))
+    said = plan(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item_no", item.alias("i")))).alias("i"))
     answer = F.concat(F.lit("Sure, here: "), F.to_json(F.transform("i", lambda x: x["i"])), F.lit(" that is all."))
-    return said.select("doc_id", F.posexplode(responses.json_items(answer)["items"]).alias("item_no", "i")).select("doc_id", "item_no", "i.find", "i.replace", "i.reason")
+    return said.select("doc_id", F.posexplode(responses.json_items(answer, None)["items"]).alias("item_no", "i")).select("doc_id", "item_no", "i.find", "i.replace", "i.reason")
+
+
+@query(f"{WITH_PLAN}, q AS (SELECT doc_id, find, replace, reason, row_number() OVER (PARTITION BY doc_id ORDER BY item_no) - 1 AS k FROM p WHERE find <> replace) SELECT doc_id, k::INTEGER AS item_no, find, replace, reason FROM q WHERE k < 10")
+def parse_json(spark, sf_dir):
+    """The first ten of the parsed items, as its SQL has them; parse_json_whole has all."""
+    return _json_parsed(spark, sf_dir).where("item_no < 10")
+
+
+@query(f"{WITH_PLAN} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY item_no) - 1)::INTEGER AS item_no, find, replace, reason FROM p WHERE find <> replace")
+def parse_json_whole(spark, sf_dir):
+    return _json_parsed(spark, sf_dir)
 
 
 @query(f"WITH d AS ({DOCS}) SELECT doc_id, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS result_md5 FROM d")

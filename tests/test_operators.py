@@ -308,3 +308,14 @@ def test_stream_sums_by_hour(spark, tmp_path):
     s = incremental.arriving(spark, str(tmp_path / "in"), d.schema)
     out = incremental.drain(incremental.running_stats(s), "hour_sums", "complete")
     assert {str(r["hour"]): r["total"] for r in out.collect()} == {"2025-01-01 10:00:00": 5, "2025-01-01 15:00:00": 2}
+
+
+def test_json_answers_of_any_length(spark, tmp_path):
+    from loomtext import queries
+
+    long = " ".join("WORD" + chr(65 + k % 26) * 60 for k in range(40))
+    spark.createDataFrame([(1, long, "en", "s"), (2, "FIVES only", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((r["doc_id"], r["item_no"], r["find"], r["replace"]) for r in queries.plan(spark, str(tmp_path)).collect())
+    get = lambda f: sorted((r["doc_id"], r["item_no"], r["find"], r["replace"]) for r in f(spark, str(tmp_path)).collect())
+    assert len(want) > 40 and get(queries.parse_json_whole) == want
+    assert get(queries.parse_json) == [r for r in want if r[1] < 10]
