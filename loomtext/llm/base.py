@@ -32,9 +32,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def own_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns with clashing names do no harm."""
-    return df.select(*(df[n] for n in names))
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until no column is called like that (Spark ignores case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def char_classes() -> np.ndarray:
