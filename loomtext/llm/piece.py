@@ -9,8 +9,13 @@ known to fail, take its longest proper prefix that is a piece; if none is left,
 mark this position as failed in a bitfield and go back one piece. Every
 position fails at most once.
 
-Where pieces have equal scores (runs of spaces in some models) that theorem
-doesn't hold; segments with two spaces in a row are merged directly.
+Pieces of equal scores: the model's runs of spaces share one, the lowest. Its
+leftmost pair first, a run of them grows piece by piece to the longest run that
+is a piece with all lengths on the way (of 15 spaces, which are no piece, 14 and
+1; of 16, 14 and 2 that join), while a letter has taken the last space before.
+The longest match at each place, and its shorter prefixes where it isn't
+compatible, give the same; the tests compare both for every length up to some
+hundreds. A model with other pieces of equal scores is refused.
 
 A text is cut into segments where no piece of the model reaches across. Segments
 that were seen lately are kept in a table of bounded size.
@@ -48,6 +53,9 @@ class PieceEncoder:
         self.ids = {self.sp.id_to_piece(i): i for i in range(n) if not special(i)}
         self.score = {p: self.sp.get_score(i) for p, i in self.ids.items()}
         self.bytes = {b: self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
+        others = [x for p, x in self.score.items() if set(p) != {SPACE}]
+        if len(set(others)) < len(others):
+            raise ValueError("pieces of equal scores: not a model of merges in a fixed order")
         own = {p: i for p, i in self.ids.items() if self.merge(p) == [p]}  # others are never a result
         self.longest = ahocorasick.Automaton()
         for p, i in own.items():
@@ -133,14 +141,14 @@ class PieceEncoder:
             start = end - size[i] + 1
             if size[i] > reach[start]:
                 longest[start], reach[start] = i, size[i]
-        failed = 0  # bit i: no encoding goes on from position i
+        failed = bytearray(n // 8 + 1)  # bit i: no encoding goes on from position i
         out: list[int] = []
         at, last, candidate = 0, -1, longest[0]
         while at < n:
             if reach[at]:
                 while candidate >= 0:
                     end = at + size[candidate]
-                    if not (failed and failed >> end & 1):
+                    if not failed[end >> 3] >> (end & 7) & 1:
                         if last < 0:
                             break
                         fits = self.pairs.get(last << 32 | candidate)
@@ -149,13 +157,13 @@ class PieceEncoder:
                     candidate = prefix[candidate]
                 good = candidate >= 0
             else:  # a character without a piece goes with anything
-                end, good = at + 1, not failed >> (at + 1) & 1
+                end, good = at + 1, not failed[(at + 1) >> 3] >> (at + 1 & 7) & 1
             if good:
                 out.append(candidate)
                 at, last = end, candidate
                 candidate = longest[at] if at < n else -1
             while not good:  # no encoding goes on from here: the piece before gets shorter
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 gone = out.pop()
                 at -= size[gone] if gone >= 0 else 1
                 candidate, last = prefix[gone] if gone >= 0 else -1, out[-1] if out else -1
@@ -164,16 +172,10 @@ class PieceEncoder:
 
     def segment(self, text: str) -> bytes:
         """The ids of one segment as little-endian unsigned 32-bit integers."""
-        ids: list[int] = []
-        if SPACE + SPACE in text or len(text) > 4096:
-            for p in self.merge(text):
-                known = self.ids.get(p, -1)
-                ids += [known] if known >= 0 else [self.bytes[b] for b in p.encode("utf-8")]
-        else:
-            at = 0
-            for i in self.backtrack(text):
-                ids += [i] if i >= 0 else [self.bytes[b] for b in text[at].encode("utf-8")]
-                at += self.size[i] if i >= 0 else 1
+        ids, at = [], 0
+        for i in self.backtrack(text):
+            ids += [i] if i >= 0 else [self.bytes[b] for b in text[at].encode("utf-8")]
+            at += self.size[i] if i >= 0 else 1
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def looked_up(self, text: str, parts: re.Pattern | None) -> bytes:

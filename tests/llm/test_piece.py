@@ -70,3 +70,33 @@ def test_whole_operator(spark, awkward, nothing, both):
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
     assert P.encode_documents(nothing, vocabulary()).count() == 0
+
+
+def test_runs_of_spaces_come_by_backtracking(both):
+    own, _ = both
+    runs = ["▁" * n + w for n in range(1, 330) for w in ("", "the", "x", "(", "=", "é")]
+    rng = random.Random(2)
+    runs += ["".join("▁" * rng.choice([1, 2, 3, 15, 16, 17]) + rng.choice(["a", "the", "é", "--"]) for _ in range(4)) for _ in range(500)]
+    for text in runs:
+        got, at = [], 0
+        for i in own.backtrack(text):
+            got.append(own.piece[i] if i >= 0 else text[at])
+            at += len(got[-1])
+        assert got == own.merge(text), repr(text)
+    assert all(same(both, "a" + " " * n + w) for n in range(1, 200) for w in ("", "b", "\n"))
+
+
+def test_long_segments_come_by_backtracking(both):
+    own, _ = both
+    rng = random.Random(4)
+    for text in ("a" * 5000, "=" * 9001, "".join(rng.choice("etaoinshr") for _ in range(5000)), "ab" * 40_000):
+        assert [own.piece[i] for i in own.backtrack(text)] == own.merge(text)
+        assert same(both, text)
+
+
+def test_models_with_ties_are_refused(both, monkeypatch):
+    with open(vocabulary(), "rb") as f:
+        model = f.read()
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "get_score", lambda self, i: -1.0)
+    with pytest.raises(ValueError, match="equal scores"):
+        P.PieceEncoder(model)
