@@ -68,21 +68,34 @@ class WordHasher:
         self.down = np.ones(n, np.uint64)
         np.multiply.accumulate(np.full(n - 1, inverse, np.uint64), out=self.down[1:])
 
-    def pieces(self, data: bytes):
-        at = 0
-        while at < len(data):
-            end = min(len(data), at + PIECE)
-            if end < len(data):  # not inside a word, unless one word fills the piece
-                cut = max(data.rfind(b" ", at, end), data.rfind(b"\n", at, end))
-                end = cut + 1 if cut > at else end
-            yield data[at:end]
-            at = end
-
     def hashes(self, text: str | None) -> np.ndarray:
-        out = [self._piece(p) for p in self.pieces((text or "").encode("utf-8", "surrogatepass"))]
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        data = (text or "").encode("utf-8", "surrogatepass")
+        out, held, size = [], 0, 0  # sum and length of a word that the last piece's end has broken
+        for at in range(0, len(data), PIECE):
+            piece = data[at : at + PIECE]
+            start, end, total = self._words(piece)
+            if size:
+                goes_on = len(start) > 0 and start[0] == 0
+                if goes_on:
+                    held = (held + int(total[0]) * pow(_ODD, size, 1 << 64)) % (1 << 64)
+                    size += int(end[0])
+                    start, end, total, there = start[1:], end[1:], total[1:], int(end[0])
+                if not (goes_on and there == len(piece)):
+                    out.append(np.array([held], np.uint64))
+                    size = 0
+            if len(end) and end[-1] == len(piece):
+                held, size = int(total[-1]), int(end[-1] - start[-1])
+                total = total[:-1]
+            out.append(total)
+        if size:
+            out.append(np.array([held], np.uint64))
+        h = np.concatenate(out) if out else np.zeros(0, np.uint64)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
 
-    def _piece(self, data: bytes) -> np.ndarray:
+    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and polynomial sums of the words of one piece."""
         c = self.lut[np.frombuffer(data, np.uint8)]
         inside = np.zeros(len(c) + 2, bool)
         inside[1:-1] = c > 0
@@ -90,10 +103,7 @@ class WordHasher:
         start, end = change[::2], change[1::2]
         total = np.zeros(len(c) + 1, np.uint64)
         np.cumsum(c * self.up[: len(c)], out=total[1:])
-        h = (total[end] - total[start]) * self.down[start]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(32))
+        return start, end, (total[end] - total[start]) * self.down[start]
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -16,6 +16,12 @@ def test_word_hashes_are_by_word():
     a = h.hashes("The cat, the CAT; naïve-dog 12 the")
     assert len(a) == 7 and a[0] == a[2] == a[6] and a[1] == a[3] and len(set(a.tolist())) == 4
     assert len(h.hashes(None)) == 0 == len(h.hashes("... 12"))
+    # Words across the ends of pieces, one of them longer than two pieces.
+    rng = random.Random(1)
+    parts = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (base.PIECE - 2, 7, 2 * base.PIECE + 9, 3, base.PIECE, 1, 5, base.PIECE - 1, 4)]
+    single = [int(h._words(p.encode())[2][0]) if len(p) <= base.PIECE else sum(ord(c) * pow(base._ODD, k, 2**64) for k, c in enumerate(p)) % 2**64 for p in parts]
+    mixed = lambda v: (v ^ v >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+    assert h.hashes(" ".join(parts)).tolist() == [mixed(v) ^ mixed(v) >> 32 for v in single]
     long = "word " * 500_000
     assert set(h.hashes(long).tolist()) == set(h.hashes("word").tolist())
 
@@ -53,6 +59,71 @@ def test_chain_on_unseen_documents(spark, toxic_corpus):
     assert all(0.5 < v <= 1 for v in p)
 
 
+def test_chain_against_plain_python():
+    """Each model sees the features and the held-out probabilities of those before it, row by row."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 5, (150, 4)).astype(float)
+    y = np.column_stack([x[:, 0] > 2, (x[:, 0] > 2) & (x[:, 1] > 1), rng.random(150) > 0.5]).astype(float)
+    fold = np.arange(150) * 7 % 5
+    c = toxicity.Chain(x, y, ["a", "b", "c"], fold=fold)
+    chance = lambda beta, row: 1 / (1 + np.exp(-(sum(b * v for b, v in zip(beta, row, strict=False)) + beta[-1])))
+    rows = [list(r) for r in x]
+    for j in range(3):
+        whole = base.fit_logistic(np.array(rows), y[:, j], 0.1)
+        assert np.allclose(whole, c.models[j])
+        held = [0.0] * 150
+        for f in range(5):
+            rest = [i for i in range(150) if fold[i] != f]
+            beta = base.fit_logistic(np.array([rows[i] for i in rest]), y[rest, j], 0.1)
+            for i in set(range(150)) - set(rest):
+                held[i] = chance(beta, rows[i])
+        rows = [[*r, h] for r, h in zip(rows, held, strict=True)]
+    assert np.allclose([r[4:] for r in rows], c.out_of_fold)
+    got = c.predict(x)
+    for i in range(0, 150, 7):
+        row = list(x[i])
+        for beta in c.models:
+            row.append(chance(beta, row))
+        assert np.allclose(row[4:], got[i])
+
+
+def test_categories_of_the_label_table(spark):
+    """Own category columns: each document's probabilities follow them, and any of them rejects it."""
+    rng = random.Random(13)
+    bad = {"insult": ["idiot", "moron"], "threat": ["stab", "burn"], "obscene": ["filth", "smut"]}
+    rows, labels = [], []
+    for k in range(900):
+        own = [c for i, c in enumerate(bad) if k % 7 == i or k % 11 == i]
+        w = words(rng, rng.randint(20, 60))
+        for c in own:
+            for _ in range(4):
+                w.insert(rng.randrange(len(w)), rng.choice(bad[c]))
+        rows.append((k, " ".join(w), "in", True, 0.5))
+        if k % 2:
+            labels.append((k, *(int(c in own) for c in bad)))
+    labels += [(1, 0, 0, 0), (3, None, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, p_insult string, rejected boolean, p_other double")
+    table = spark.createDataFrame(labels, "doc_id long, insult int, threat int, obscene int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, table, list(bad)).collect()}
+    assert len(got) == 900 and got[0]["p_other"] == 0.5
+    wrong = 0
+    for k in range(0, 900, 2):
+        truth = [k % 7 == i or k % 11 == i for i in range(3)]
+        said = [got[k][f"p_{c}"] > 0.5 for c in bad]
+        assert got[k]["rejected"] == any(said)
+        wrong += said != truth
+    assert wrong <= 9
+
+
+def test_derived_categories_come_from_the_other_folds():
+    count = np.array([[3, 0, 0], [0, 2, 0], [1, 1, 1], [0, 0, 4], [2, 2, 2]], float)
+    fold, y = np.array([0, 1, 0, 1, 2]), np.array([1, 1, 1, 0, 1], float)
+    strong = np.array([[True, False, False], [True, True, True], [True, True, False], [False] * 3, [False] * 3])
+    got = toxicity.derived(count, np.full(5, 10.0), y, fold, strong)
+    # Fold 0 by the first word: shares .3 and .1, the others' median of (0, .2); fold 1: .2 over (.3, .3, .6); fold 2: .4 over (.3, .2, .2).
+    assert got.tolist() == [[1, 1, 0], [1, 0, 0], [1, 0, 0], [0, 0, 0], [1, 1, 0]]
+
+
 def test_chain_uses_out_of_fold_predictions():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 3))
@@ -85,17 +156,61 @@ def test_quality_and_language_on_given_tables(spark, table):
     assert found.where("score < 0 or score > 1").count() == 0
 
 
-def test_views_teach_each_other():
+def plain_cotraining(x, y, pool, rounds, growth, sure):
+    """The rounds in plain Python over lists of rows: who teaches whom what, and the final scores."""
+    n, width = len(y), quality.WIDTH
+    mean, spread = x.mean(0), x.std(0) + 1e-3
+    scale = lambda r: (r - mean) / spread
+    apart, dealt = set(), {0: 0, 1: 0}
+    for i in sorted(range(n), key=lambda i: (y[i], i)):  # every fourth row in the order of classes
+        if sum(dealt.values()) % 4 == 0:
+            apart.add(i)
+        dealt[int(y[i])] += 1
+    part = lambda r, view: scale(r)[:width] if view == 0 else scale(r)[width:]
+    taught = [[(part(x[i], v), y[i]) for i in range(n) if i not in apart] for v in (0, 1)]
+    fit = lambda rows: base.fit_logistic(np.array([r for r, _ in rows]), np.array([v for _, v in rows], float), 1.0)
+    free = {r.tobytes(): r.astype(float) for r in pool}
+    for r in x:
+        free.pop(r.astype("<f4").tobytes(), None)
+    models = [fit(t) for t in taught]
+    for _ in range(rounds):
+        said = [{}, {}]
+        for view in (0, 1):
+            p = {k: float(base.sigmoid(part(r, view) @ models[view][:-1] + models[view][-1])) for k, r in free.items()}
+            for label in (1, 0):
+                best = sorted(p, key=lambda k: (-(p[k] if label else 1 - p[k]), k))[:growth]
+                said[1 - view] |= {k: label for k in best if (p[k] if label else 1 - p[k]) >= sure}
+        clash = {k for k in said[0].keys() & said[1].keys() if said[0][k] != said[1][k]}
+        for view in (0, 1):
+            taught[view] += [(part(free[k], view), label) for k, label in sorted(said[view].items()) if k not in clash]
+        for k in (said[0].keys() | said[1].keys()) - clash:
+            del free[k]
+        models = [fit(t) for t in taught]
+    own = sorted(apart)
+    raw = lambda r: [part(r, v) @ models[v][:-1] + models[v][-1] for v in (0, 1)]
+    held = np.array([raw(x[i]) for i in own])
+    platt = [base.fit_logistic(held[:, [v]], y[own], 0.1) for v in (0, 1)]
+    z = lambda r: np.array([np.clip(raw(r)[v] * platt[v][0] + platt[v][1], -12, 12) for v in (0, 1)])
+    joint = base.fit_logistic(np.array([z(x[i]) for i in own]), y[own], 0.1)
+    return [len(t) - len(x) + len(own) for t in taught], [float(base.sigmoid(z(r.astype(float)) @ joint[:-1] + joint[-1])) for r in pool]
+
+
+def test_views_teach_each_other_as_in_plain_python(spark):
     rng = np.random.default_rng(6)
-    n, m = 80, 600
-    width = quality.WIDTH
+    n, m = 80, 900
     y = (np.arange(n + m) % 2).astype(float)
-    x = rng.normal(size=(n + m, width + quality.SOURCES + quality.LANGS + 3)) * 0.3
+    x = (rng.normal(size=(n + m, quality.ALL)) * 0.3).astype("<f4")
     x[:, 0] += 2 * y
-    x[:, width] += 2 * y
-    c = quality.CoTrained(x[:n], y[:n], x[n:])
-    assert min(c.taught) > 50
-    assert ((c.scores(x[n:])[:, 2] > 0.5) == (y[n:] > 0)).mean() > 0.95
+    x[:, quality.WIDTH] += 2 * y
+    x[n + 500 :] = x[n + 100]  # many copies
+    rows = spark.createDataFrame([(i, x[i].tobytes()) for i in range(n + m)], "doc_id long, x binary").repartition(7)
+    labels = spark.createDataFrame([(i, int(y[i])) for i in range(n)], "doc_id long, quality int")
+    model = quality.train(rows, labels, rounds=3, growth=40, sure=0.9)
+    taught, want = plain_cotraining(x[:n].astype(float), y[:n], x, 3, 40, 0.9)
+    assert model.taught == taught and min(taught) > 50
+    got = {r["doc_id"]: r["score"] for r in quality.score(rows, model).collect()}
+    assert np.allclose([got[i] for i in range(n + m)], want, atol=1e-6)
+    assert np.mean([(got[i] > 0.5) == (y[i] > 0) for i in range(n, n + 500)]) > 0.95
 
 
 def test_quality_awkward(spark, awkward, nothing):
