@@ -1,17 +1,21 @@
 """Exact top-k search by inner product over a pivot-distance index.
 
-Index: a vector's key is its nearest pivot and its distance to it. Each
-pivot's vectors, in order of distance, form annuli; annuli of many vectors are
-cut into blocks. The summary of all annuli (pivot, distance range, largest
-norm, number of vectors) has at most pivots * annuli rows.
-
-Search, for a query q and an annulus of pivot p with distances in [lo, hi]: by
+Index: a vector's key is its nearest pivot and its distance to it; there are
+about as many pivots as the square root of the number of vectors. Each pivot's
+vectors, in order of distance, form annuli. The summary of all annuli (pivot,
+distance ranges to the own pivot and to `REFERENCES` further ones, largest norm,
+number of vectors) has at most pivots * rings rows. Annuli are packed into
+blocks of about `block` vectors, large ones cut into several.
+
+Search, for a query q and an annulus with distances to pivot p in [lo, hi]: by
 the triangle inequality no member is nearer to q than gap = max(0, lo - d(q,p),
-d(q,p) - hi), so with the largest norm m its inner product is at most
-(|q|^2 + m^2 - gap^2) / 2, and at most |q| m. A query first scans the annuli
-around its own distance, outwards from its nearest pivots, until they hold
-enough vectors; its k-th score is a floor. It then expands to every other
-annulus whose bound reaches the floor, and stops at those whose bound doesn't.
+d(q,p) - hi), for each of the annulus's pivots, so that with the largest gap
+and the largest norm m its inner product is at most (|q|^2 + m^2 - gap^2) / 2,
+and at most |q| m. A query first scans the annuli around its own distance,
+outwards from its nearest pivots, until they hold `seeds` vectors; its k-th score
+is a floor. It then expands to every other annulus whose bound reaches the
+floor, and stops at those whose bound doesn't. A query travels once to each
+block that holds such annuli, and scans none but these there.
 
 Scores are integers: components are floor(scale * x). Vectors that are null or
 hold null or non-finite components take no part. Shorter vectors count as
@@ -79,109 +83,172 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
 
 
+#: Pivots besides the own one to which an annulus's distances are known.
+REFERENCES = 8
+
+
 class Summary:
-    """The annuli as arrays, for the bounds."""
+    """The annuli as arrays, for the bounds, and the blocks that hold them."""
 
-    def __init__(self, rows, pivots: np.ndarray) -> None:
+    def __init__(self, rows, pivots: np.ndarray, block: int = 1 << 14) -> None:
         self.pivots = pivots
-        self.annulus = [(r["pivot"], r["ring"]) for r in rows]
+        self.at = {(r["pivot"], r["ring"]): i for i, r in enumerate(rows)}
         self.pivot = np.array([r["pivot"] for r in rows], int)
         self.lo, self.hi, self.norm = (np.array([r[n] for r in rows], float) for n in ("lo", "hi", "norm"))
-        self.n, self.cuts = (np.array([r[n] for r in rows], int) for n in ("n", "cuts"))
+        self.n = np.array([r["n"] for r in rows], int)
+        # Ranges to the first pivots: columns lo0, hi0, ...
+        self.references = [j for j in range(min(REFERENCES, len(pivots))) if rows and f"lo{j}" in rows[0]]
+        self.far = [(np.array([r[f"lo{j}"] for r in rows], float), np.array([r[f"hi{j}"] for r in rows], float)) for j in self.references]
+        # Small annuli share a block, large ones have several.
+        self.first, self.cuts = np.zeros(len(rows), int), np.ones(len(rows), int)
+        number, held = 0, 0
+        for i, n in enumerate(self.n.tolist()):
+            if held and held + n > block:
+                number, held = number + 1, 0
+            self.first[i], held = number, held + n
+            if n > block:
+                self.cuts[i] = -(-n // block)
+                number, held = number + int(self.cuts[i]), 0
+        self.blocks = number + (held > 0)
 
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gap and upper bound of the score of each query (row) and annulus (column); a margin covers rounding."""
-        d = distances(q, self.pivots)[:, self.pivot]
+        to_all = distances(q, self.pivots)
+        d = to_all[:, self.pivot]
         gap = np.maximum(0, np.maximum(self.lo - d, d - self.hi))
+        widest = gap.copy()
+        for j, (lo, hi) in zip(self.references, self.far, strict=True):
+            d = to_all[:, [j]]
+            np.maximum(widest, np.maximum(lo - d, d - hi), out=widest)
         norm = np.sqrt((q * q).sum(1))[:, None]
-        bound = np.minimum((norm**2 + self.norm**2 - gap**2) / 2, norm * self.norm)
+        bound = np.minimum((norm**2 + self.norm**2 - widest**2) / 2, norm * self.norm)
         return gap, bound + 1e-6 * (1 + norm**2 + self.norm**2)
 
-    def seeds(self, gap: np.ndarray, enough: int) -> list[np.ndarray]:
-        """For each query the annuli in order of gap until they hold `enough` vectors."""
+    def wanted(self, q: np.ndarray, floor: np.ndarray | None, enough: int) -> np.ndarray:
+        """Which annuli each query scans: at first those in order of gap that hold `enough` vectors, then (with floors) the others whose bound reaches the floor."""
+        gap, bound = self.bounds(q)
         order = np.argsort(gap, axis=1, kind="stable")
-        held = np.cumsum(self.n[order], axis=1)
-        return [o[: int(np.searchsorted(h, enough)) + 1] for o, h in zip(order, held, strict=True)]
-
-
-def search(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 64, most_rings: int = 64, block: int = 1024, query_block: int = 8192) -> DataFrame:
-    """(query_id, rank, vec_id, score) of vectors (vec_id, v); `is_query` is a condition on vec_id."""
+        before = np.cumsum(self.n[order], axis=1) - self.n[order]
+        first = np.zeros(gap.shape, bool)
+        np.put_along_axis(first, order, before < enough, axis=1)
+        return first if floor is None else ~first & (bound >= floor[:, None])
+
+    def asked_blocks(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, block) for each block that holds an annulus the query wants."""
+        q, a = np.nonzero(wanted)
+        times = self.cuts[a]
+        q, block = np.repeat(q, times), np.repeat(self.first[a], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        pair = np.unique(q * max(self.blocks, 1) + block)
+        return pair // max(self.blocks, 1), pair % max(self.blocks, 1)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int | None = None, most_rings: int = 64, block: int = 1 << 14, query_block: int = 8192, seeds: int = 256) -> DataFrame:
+    """(query_id, rank, vec_id, score) of vectors (vec_id, v); `is_query` is a condition on vec_id; pivots: the square root of the vectors, from 16 to 4096, if not given."""
     base = written(vectors, "vectors")
+    n = base.count()
+    pivots = pivots or int(min(max(n**0.5, 16), 4096))
     # Pivots: the vectors with the smallest hashes. At most `pivots` rows reach the driver.
     chosen = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("v").collect()
     centers = matrix(pa.array([r["v"] for r in chosen], pa.list_(pa.int64()))) if chosen else np.zeros((1, 1))
+    near = range(min(REFERENCES, len(centers)))
+    sent = base.sparkSession.sparkContext.broadcast(centers)  # at most 4096 vectors
 
     def key(batches):
+        centers = sent.value
         for b in batches:
             x = matrix(b.column(1))
             d = distances(x, centers)
             p = d.argmin(1)
-            cols = [b.column(0), b.column(1), pa.array(p, pa.int32()), pa.array(d[np.arange(len(p)), p]), pa.array(np.sqrt((x * x).sum(1)))]
-            yield pa.RecordBatch.from_arrays(cols, ["vec_id", "v", "pivot", "dist", "norm"])
-
-    keyed = written(base.mapInArrow(key, "vec_id long, v array<long>, pivot int, dist double, norm double"), "keyed")
-    rings = min(most_rings, max(1, -(-4 * keyed.count() // (block * pivots))))  # about four to a block's worth of rows
-    widest = keyed.groupBy("pivot").agg(F.max("dist").alias("far"))
-    radius = {r["pivot"]: r["far"] for r in widest.collect()}  # at most `pivots` rows
-    far = F.element_at(F.create_map(*(F.lit(x) for p, d in radius.items() for x in (p, max(d, 1e-9)))), F.col("pivot")) if radius else F.lit(1.0)
-    ringed = keyed.withColumn("ring", F.least(F.floor(F.col("dist") / far * rings), F.lit(rings - 1)).cast("int"))
-    rows = ringed.groupBy("pivot", "ring").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.max("norm").alias("norm"), F.count(F.lit(1)).alias("n"))
-    rows = rows.withColumn("cuts", F.ceil(F.col("n") / block).cast("int")).orderBy("pivot", "ring").collect()  # at most pivots * rings rows
-    summary = Summary(rows, centers)
-    cuts = {a: int(c) for a, c in zip(summary.annulus, summary.cuts, strict=True)}
-    n_queries = keyed.where(is_query).count()
-    parts = max(1, -(-n_queries // query_block))
-
-    # Vectors by annulus and block; large annuli are cut by a hash, large query sets into `parts`.
-    number = F.element_at(F.create_map(*(F.lit(x) for (p, r), c in cuts.items() for x in (p * rings + r, c))), F.col("pivot") * rings + F.col("ring")) if cuts else F.lit(1)
-    blocks = ringed.withColumn("cut", F.pmod(F.xxhash64("vec_id"), number).cast("int")).select("pivot", "ring", "cut", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "vec_id", "v")
+            cols = [b.column(0), b.column(1), pa.array(p, pa.int32()), pa.array(d[np.arange(len(p)), p]), pa.array(np.sqrt((x * x).sum(1))), *(pa.array(d[:, j]) for j in near)]
+            yield pa.RecordBatch.from_arrays(cols, ["vec_id", "v", "pivot", "dist", "norm", *(f"d{j}" for j in near)])
+
+    keyed = written(base.mapInArrow(key, "vec_id long, v array<long>, pivot int, dist double, norm double" + "".join(f", d{j} double" for j in near)), "keyed")
+    rings = min(most_rings, max(4, -(-4 * n // (block * pivots))))
+    reach = keyed.groupBy("pivot").agg(F.min("dist").alias("near"), F.max("dist").alias("far")).collect()  # at most `pivots` rows
+    span = {r["pivot"]: (r["near"], max(r["far"] - r["near"], 1e-9)) for r in reach}
+    bounds_of = lambda i: F.element_at(F.create_map(*(F.lit(x) for p, s in span.items() for x in (p, s[i]))), F.col("pivot")) if span else F.lit(1.0)
+    ringed = keyed.withColumn("ring", F.least(F.floor((F.col("dist") - bounds_of(0)) / bounds_of(1) * rings), F.lit(rings - 1)).cast("int"))
+    ranges = [f(f"d{j}").alias(f"{name}{j}") for j in near for name, f in (("lo", F.min), ("hi", F.max))]
+    rows = ringed.groupBy("pivot", "ring").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.max("norm").alias("norm"), F.count(F.lit(1)).alias("n"), *ranges)
+    summary = Summary(rows.orderBy("pivot", "ring").collect(), centers, block)  # at most pivots * rings rows
+    index = base.sparkSession.sparkContext.broadcast(summary)
+    parts = max(1, -(-keyed.where(is_query).count() // query_block))
+
+    def place(batches):
+        """Every vector with its annulus and block."""
+        s = index.value
+        for b in batches:
+            a = np.array([s.at[key] for key in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], int)
+            spread = np.asarray(b.column(4)) % s.cuts[a]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(a, pa.int32()), pa.array(s.first[a] + spread, pa.int32())], ["vec_id", "v", "annulus", "block"])
+
+    hashed = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
+    placed = ringed.select("vec_id", "v", "pivot", "ring", hashed.alias("h")).mapInArrow(place, "vec_id long, v array<long>, annulus int, block int")
     queries = keyed.where(is_query).select("vec_id", "v").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(parts)).cast("int"))
-    asked = "part int, pivot int, ring int, cut int, vec_id long, v array<long>"
 
-    def ask(first: bool):
-        """Sends every query to the blocks it scans first, or (with its floor) to all others that can hold a result."""
+    def ask(first: bool, with_vectors: bool):
+        """Sends every query to the blocks that hold what it wants: at first, or (with its floor) after that."""
+        names = ["part", "block"] + ["vec_id", "v", "floor"] * with_vectors
 
         def run(batches):
+            s = index.value
             for b in batches:
-                q = matrix(b.column(1))
-                gap, bound = summary.bounds(q)
-                seeds = summary.seeds(gap, 4 * (k + 1))
-                out = [[] for _ in range(5)]
-                floor = np.full(len(q), -np.inf) if first else np.asarray(b.column(3).to_numpy(zero_copy_only=False), float)
-                for i in range(len(q)):
-                    go = seeds[i] if first else np.setdiff1d(np.flatnonzero(bound[i] >= (floor[i] if floor[i] == floor[i] else -np.inf)), seeds[i])
-                    for a in go:
-                        for cut in range(summary.cuts[a]):
-                            for column, x in zip(out, (i, *summary.annulus[a], cut), strict=False):
-                                column.append(x)
-                at = pa.array(out[0], pa.int64())
-                cols = [b.column(2).take(at), *(pa.array(c, pa.int32()) for c in out[1:4]), b.column(0).take(at), b.column(1).take(at)]
-                yield pa.RecordBatch.from_arrays(cols, ["part", "pivot", "ring", "cut", "vec_id", "v"])
+                floor = np.nan_to_num(np.asarray(b.column(3).to_numpy(zero_copy_only=False), float), nan=-np.inf)
+                q, to = s.asked_blocks(s.wanted(matrix(b.column(1)), None if first else floor, seeds))
+                at = pa.array(q, pa.int64())
+                cols = [b.column(2).take(at), pa.array(to, pa.int32()), b.column(0).take(at), b.column(1).take(at), pa.array(floor[q])]
+                yield pa.RecordBatch.from_arrays(cols[: len(names)], names)
 
         return run
 
-    def score(_, left, right):
-        """The k best of one block for each query that asks for it."""
-        ids, x = left.column("vec_id").to_numpy(), matrix(left.column("v").combine_chunks())
-        out = [[] for _ in range(3)]
-        if len(ids) and right.num_rows:
-            asks, q = right.column("vec_id").to_numpy(), matrix(right.column("v").combine_chunks())
-            for at in range(0, len(q), 512):
-                for query, row in zip(asks[at : at + 512], products(q[at : at + 512], x), strict=True):
-                    other = np.flatnonzero(ids != query)
-                    top = other[best(row[other], ids[other], k)]
-                    out[0] += [query] * len(top)
-                    out[1] += ids[top].tolist()
-                    out[2] += [int(s) for s in row[top]]
-        return pa.table([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
-
-    by = ["part", "pivot", "ring", "cut"]
-    scan = lambda asks: blocks.groupBy(*by).cogroup(asks.groupBy(*by)).applyInArrow(score, "query_id long, vec_id long, score long")
+    def score(first: bool):
+        def run(_, left, right):
+            """The k best of one block for each query that asks for it, among the annuli it wants."""
+            s = index.value
+            ids, x = left.column("vec_id").to_numpy(), matrix(left.column("v").combine_chunks())
+            annulus = left.column("annulus").to_numpy()
+            order = np.argsort(annulus, kind="stable")
+            own, starts = np.unique(annulus[order], return_index=True)
+            groups = dict(zip(own.tolist(), np.split(order, starts[1:]), strict=True)) if len(ids) else {}
+            out = [[], [], []]
+            asks, q, floor = right.column("vec_id").to_numpy(), matrix(right.column("v").combine_chunks()), right.column("floor").to_numpy()
+            for at in range(0, len(q) if groups else 0, 512):
+                wanted = s.wanted(q[at : at + 512], None if first else floor[at : at + 512], seeds)[:, own]
+                found: list[list] = [[] for _ in range(len(wanted))]
+                for j, a in enumerate(own.tolist()):
+                    who = np.flatnonzero(wanted[:, j])
+                    if len(who):
+                        rows = groups[a]
+                        for i, scores in zip(who.tolist(), products(q[at + who], x[rows]), strict=True):
+                            keep = best(scores, ids[rows], k + 1)  # one of them may be the query itself
+                            found[i].append((scores[keep], ids[rows][keep]))
+                for i, tops in enumerate(found):
+                    if tops:
+                        scores, who = np.concatenate([t[0] for t in tops]), np.concatenate([t[1] for t in tops])
+                        other = np.flatnonzero(who != asks[at + i])
+                        top = other[best(scores[other], who[other], k)]
+                        out[0] += [asks[at + i]] * len(top)
+                        out[1] += who[top].tolist()
+                        out[2] += [int(v) for v in scores[top]]
+            return pa.table([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
+
+        return run
+
+    def scan(asking: DataFrame, first: bool) -> DataFrame:
+        pairs = asking.mapInArrow(ask(first, False), "part int, block int").distinct()
+        blocks = placed.join(pairs, "block").groupBy("part", "block")
+        asked = asking.mapInArrow(ask(first, True), "part int, block int, vec_id long, v array<long>, floor double").groupBy("part", "block")
+        return blocks.cogroup(asked).applyInArrow(score(first), "query_id long, vec_id long, score long")
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    seeded = written(ranked(scan(queries.select("vec_id", "v", "part").mapInArrow(ask(True), asked))), "seeds")
-    floors = seeded.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "score")
-    rest = queries.join(floors, "vec_id", "left").select("vec_id", "v", "part", F.col("score").cast("double"))
-    found = seeded.drop("rank").unionByName(scan(rest.mapInArrow(ask(False), asked)))
+    seeded = written(ranked(scan(queries.withColumn("floor", F.lit(None).cast("double")), True)), "seeds")
+    floors = seeded.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
+    found = seeded.drop("rank").unionByName(scan(queries.join(floors, "vec_id", "left").select("vec_id", "v", "part", "floor"), False))
     return ranked(found).select("query_id", "rank", "vec_id", "score")
+
+
+def scanned_share(queries: np.ndarray, floor: np.ndarray, summary: Summary, seeds: int = 256) -> float:
+    """The share of all (query, vector) pairs that these queries, given their k-th scores, scan."""
+    seen = (summary.wanted(queries, None, seeds) | summary.wanted(queries, floor, seeds)) @ summary.n
+    return float(seen.mean() / max(summary.n.sum(), 1))

@@ -68,3 +68,41 @@ def test_bounds_hold():
     _, bound = T.Summary(rows, pivots).bounds(q)
     for a, r in enumerate(rows):
         assert ((q @ x[r["own"]].T).max(1) <= bound[:, a]).all()
+
+
+def test_references_sharpen_bounds_and_blocks_hold_all():
+    """Ranges to further pivots: bounds stay true and get smaller; every annulus has its blocks."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-200, 200, (500, 6)).astype(float)
+    pivots, q = x[:10], x[490:]
+    d = T.distances(x, pivots)
+    p, rows = d.argmin(1), []
+    for k in range(10):
+        own = np.flatnonzero(p == k)
+        for n, ring in enumerate(np.array_split(own[np.argsort(d[own, k])], 3)):
+            if len(ring):
+                refs = {f"{name}{j}": f(d[ring, j]) for j in range(T.REFERENCES) for name, f in (("lo", np.min), ("hi", np.max))}
+                rows.append({"pivot": k, "ring": n, "lo": d[ring, k].min(), "hi": d[ring, k].max(), "norm": np.linalg.norm(x[ring], axis=1).max(), "n": len(ring), "own": ring, **refs})
+    with_refs = T.Summary(rows, pivots, 40)
+    without = T.Summary([{k: v for k, v in r.items() if k[:2] not in ("lo", "hi") or k in ("lo", "hi")} for r in rows], pivots, 40)
+    sharp, blunt = with_refs.bounds(q)[1], without.bounds(q)[1]
+    assert (sharp <= blunt).all() and (sharp < blunt - 1).any()
+    for a, r in enumerate(rows):
+        assert ((q @ x[r["own"]].T).max(1) <= sharp[:, a]).all()
+    floor = np.sort(q @ x.T, axis=1)[:, -5]
+    assert T.scanned_share(q, floor, with_refs, 20) <= T.scanned_share(q, floor, without, 20) <= 1
+    wanted = with_refs.wanted(q, floor, 20) | with_refs.wanted(q, None, 20)
+    for i, scores in enumerate(q @ x.T):  # nothing that reaches the floor is left out
+        need = {a for a, r in enumerate(rows) if (scores[r["own"]] >= floor[i]).any()}
+        assert need <= set(np.flatnonzero(wanted[i]).tolist())
+    held = [(a, b) for a in range(len(rows)) for b in range(with_refs.first[a], with_refs.first[a] + with_refs.cuts[a])]
+    assert {b for _, b in held} == set(range(with_refs.blocks))
+    who, block = with_refs.asked_blocks(wanted)
+    assert {(i, b) for i in range(len(q)) for a, b in held if wanted[i, a]} == set(zip(who.tolist(), block.tolist(), strict=True))
+
+
+def test_annuli_in_several_blocks_and_seeds(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(700, 8)))]
+    for options in ({"pivots": 2, "block": 30, "query_block": 4, "seeds": 10}, {"pivots": 40, "block": 64, "seeds": 1}, {"block": 10_000, "seeds": 10_000}):
+        assert run(spark, rows, **options) == brute(rows)
