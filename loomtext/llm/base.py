@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are maximal runs of these characters' complement: space and the five ASCII control spaces.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,7 +30,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Removes the files of a table from `written` that nothing reads any more: what was made from it is written itself."""
+    if df is not None:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_with_hot(many: DataFrame, one: DataFrame, key: str, n: str, least: int = 10_000) -> DataFrame:
+    """Inner join on `key`; `one` has a row for each key, and in `n` how many rows of `many` have it.
+
+    Keys with more than a quarter of a shuffle partition's even share of rows
+    (and more than `least`) meet by broadcast, the others by shuffle. Of the
+    former there are at most four for each shuffle partition. `one` is computed
+    more than once: it should be a written table or a small aggregate.
+    """
+    most, total = one.agg(F.max(n), F.sum(n)).first()
+    limit = max(least, (total or 0) // (4 * int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    if (most or 0) <= limit:
+        return many.join(one.drop(n), key)
+    hot = F.broadcast(one.where(F.col(n) > limit).drop(n))
+    cold = many.join(hot.select(key), key, "left_anti").join(one.where(F.col(n) <= limit).drop(n), key)
+    return many.join(hot, key).unionByName(cold)
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:

@@ -1,15 +1,16 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
 1. A 64-bit fingerprint of every whole text (XXH64 of its word shingles).
-2. Bits that correlate are grouped into partitions, from the pair counts of
-   all fingerprints' bits.
+2. Bits that correlate are grouped into partitions of about equal information,
+   from the pair counts of all fingerprints' bits. Bits that say little, or
+   nothing new, make a partition longer.
 3. Dynamic programming gives partition i a threshold t_i >= -1 with
    sum(t_i) = distance - partitions + 1: two fingerprints that differ in at
    most `distance` bits then differ in at most t_i bits of some partition i.
-   The cost of (i, t) is the estimated number of candidates, from the bits'
-   frequencies over all fingerprints. t_i = -1 leaves a partition out. The
-   number of partitions is the one of least cost: many fingerprints get fewer
-   and longer ones, with more probes.
+   The cost of (i, t) is the estimated number of candidates: the pairs of
+   fingerprints that agree on the whole partition, counted over all of them, and
+   for t bits more the growth that the bits' frequencies give. t_i = -1 leaves a
+   partition out. The number of partitions is the one of least cost.
 4. Fingerprints probe: t_i = 0 by the partition's bits, t_i = t by these with
    each t-subset of bits masked. Those with a common key are compared.
 5. Connected components of the links.
@@ -36,12 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.base import written
+from loomtext.llm.base import join_with_hot, written
 from loomtext.llm.graph import components
 
 SEED, BITS = 42, 64
 #: A probe row, shuffled and sorted, costs about as much as so many comparisons.
 ROW_COST = 200
+#: Numbers of partitions to choose from.
+PARTS = (2, 3, 4, 5, 6)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -105,28 +108,47 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def group_bits(n: int, counts: np.ndarray, parts: int) -> list[list[int]]:
-    """`parts` groups of equal size: a group starts from the free bit with the most correlation and takes the bits that correlate most with it."""
+    """`parts` groups of about equal information: a group starts from the free bit with the most correlation and takes the bits that correlate most with it."""
     p = np.diag(counts) / max(n, 1)
     cov = counts / max(n, 1) - np.outer(p, p)
     dev = np.sqrt(np.clip(np.outer(p * (1 - p), p * (1 - p)), 1e-12, None))
-    rho = np.abs(cov / dev)
+    rho = np.minimum(np.abs(cov / dev), 1)
     np.fill_diagonal(rho, 0)
+    alone = -np.log2(np.clip(p * p + (1 - p) ** 2, 1e-12, 1)) + 1e-3  # of a bit: how rarely two fingerprints agree on it
     free, groups = set(range(BITS)), []
     for k in range(parts):
-        size = BITS // parts + (k < BITS % parts)
         left = sorted(free)
         group = [max(left, key=lambda b: (rho[b, left].sum(), -b))]
         free.remove(group[0])
-        while len(group) < size:
+        goal = sum(alone[b] * (1 - max(rho[b, left]) ** 2) for b in left) / (parts - k)
+        held = alone[group[0]] * (1 - rho[group[0], left].max() ** 2) if len(left) > 1 else 0.0
+        while len(free) > parts - k - 1:
             best = max(sorted(free), key=lambda b: (rho[b, group].sum(), -b))
+            new = alone[best] * (1 - rho[best, left].max() ** 2)
+            copy = rho[best, group].max() > 0.9  # belongs here, at no cost
+            if k + 1 < parts and not copy and held + new / 2 > goal:
+                break
             group.append(best)
             free.remove(best)
+            held += new
         groups.append(sorted(group))
     return groups
 
 
-def candidate_costs(n: int, counts: np.ndarray, groups: list[list[int]], most: int) -> np.ndarray:
-    """cost[i, t + 1]: estimated pairs within t bits in group i, t from -1 to most, were bits independent; probes cost a row for each masked subset."""
+def agreeing_pairs(fps: DataFrame, masks: list[int]) -> list[float]:
+    """For each mask the number of pairs of fingerprints that agree on its bits, over all of them."""
+    keys = F.array(*(F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)))
+    sizes = fps.select(F.explode(keys).alias("k")).groupBy("k.mask", "k.key").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    found = {r["mask"]: r["pairs"] for r in sizes.groupBy("mask").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).collect()}  # a row for each mask
+    return [found.get(k, 0.0) for k in range(len(masks))]
+
+
+def candidate_costs(n: int, counts: np.ndarray, groups: list[list[int]], most: int, agree: list[float] | None = None) -> np.ndarray:
+    """cost[i, t + 1]: estimated pairs within t bits in group i, t from -1 to most, and a row for each probe.
+
+    agree: pairs that agree on each whole group, as counted; without it, as many
+    as if bits were independent. With t it grows as for independent bits.
+    """
     n = max(n, 2)  # with no cost at all, any number of probes would do
     p = np.diag(counts) / n
     differ = 2 * p * (1 - p)
@@ -135,10 +157,14 @@ def candidate_costs(n: int, counts: np.ndarray, groups: list[list[int]], most: i
         dist = np.array([1.0])
         for b in group:
             dist = np.convolve(dist, [1 - differ[b], differ[b]])
+        within = np.cumsum(np.append(dist, np.zeros(most + 1)))[: most + 1]
+        pairs = n * n / 2 * within if agree is None else np.minimum(agree[i] * within / max(within[0], 1e-30), n * n / 2)
         subsets = 1.0
         for t in range(most + 1):
             subsets = subsets * (len(group) - t + 1) / t if t else 1.0
-            cost[i, t + 1] = n * n / 2 * dist[: t + 1].sum() * (1 + t) + ROW_COST * n * subsets
+            cost[i, t + 1] = pairs[t] * (1 + t) + ROW_COST * n * max(subsets, 1.0)
+            if t > len(group):  # no more bits to mask
+                cost[i, t + 1] = np.inf
     return cost
 
 
@@ -190,22 +216,25 @@ def forest(nodes: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
-def plan(n: int, counts: np.ndarray, distance: int, parts: tuple[int, ...]) -> list[int]:
-    """The probe masks of the number of partitions that costs least."""
-    best = None
-    for k in parts:
-        groups = group_bits(n, counts, k)
-        cost = candidate_costs(n, counts, groups, distance)
+def plan(fps: DataFrame, distance: int, parts: tuple[int, ...]) -> tuple[list[list[int]], list[int]]:
+    """Bit groups and thresholds of the number of partitions that costs least."""
+    n, counts = bit_statistics(fps)
+    schemes = [group_bits(n, counts, k) for k in parts]
+    agree = agreeing_pairs(fps, [signed(sum(1 << b for b in g)) for groups in schemes for g in groups])
+    best, at = None, 0
+    for groups in schemes:
+        cost = candidate_costs(n, counts, groups, distance, agree[at : at + len(groups)])
+        at += len(groups)
         thresholds = allocate(cost, distance)
         total = sum(cost[i, t + 1] for i, t in enumerate(thresholds))
         if best is None or total < best[0]:
-            best = (total, probe_masks(groups, thresholds))
-    return best[1]
+            best = (total, groups, thresholds)
+    return best[1:]
 
 
-def links(fps: DataFrame, distance: int = 3, parts: tuple[int, ...] = (2, 3, 4), block: int = 512) -> DataFrame:
+def links(fps: DataFrame, distance: int = 3, parts: tuple[int, ...] = PARTS, block: int = 512) -> DataFrame:
     """(a, b): links of distinct fingerprints within `distance` bits that connect what all such links connect."""
-    masks = plan(*bit_statistics(fps), distance, parts)
+    masks = probe_masks(*plan(fps, distance, parts))
     keys = F.array(*(F.struct(F.lit(k).alias("probe"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)))
     probes = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.probe", "k.key")
     # A key of one fingerprint has nothing to compare. Larger ones are cut into pieces of about `block`;
@@ -244,22 +273,14 @@ def links(fps: DataFrame, distance: int = 3, parts: tuple[int, ...] = (2, 3, 4),
     return squares.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, parts: tuple[int, ...] = (2, 3, 4), block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, parts: tuple[int, ...] = PARTS, block: int = 512, hot: int = 10_000) -> DataFrame:
     """One row for each document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     rows = written(with_fingerprints(docs, shingle), "fingerprints")
     # One row for each distinct fingerprint, with the smallest document that has it.
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = components(links(fps, distance, parts, block), "simhash")
-    named = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_fp = named.select("fp", "component").join(least, "component").select("fp", "component_id")
-    # Documents that repeat one fingerprint are spread over salts, so that a large group of copies is no hot key.
-    salts = 16
-    salted = by_fp.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (
-        rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-        .join(salted, ["fp", "salt"])
-        .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    )
-
-
+    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
+    found = components(links(fps.select("fp"), distance, parts, block), "simhash", hub=hot)
+    named = written(fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    # A giant component, and a fingerprint of very many copies, are no hot keys: these meet by broadcast.
+    by_fp = written(join_with_hot(named, least, "component", "m", hot).select("fp", "component_id", "n"), "by_fp")
+    return join_with_hot(rows, by_fp, "fp", "n", hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -111,3 +111,48 @@ def test_components_of_a_path_and_a_star(spark):
 
 def test_empty(spark, nothing):
     assert S.near_duplicates(nothing).count() == 0
+
+
+def test_skewed_bits_get_unequal_groups_and_thresholds(spark):
+    """Half of the bits are nearly constant, or copies of others: groups and thresholds differ, components don't."""
+    rng = random.Random(31)
+    fps = set()
+    for _ in range(40):
+        base = rng.getrandbits(24)
+        base |= (base & 0xFFFF) << 24  # copies of sixteen bits; the highest 24 are rarely set
+        for _ in range(25):
+            x = base
+            for b in rng.sample(range(64), rng.randint(0, 3)):
+                x ^= 1 << b
+            fps.add(S.signed(x))
+    fps = sorted(fps)
+    d = spark.createDataFrame([(x,) for x in fps], "fp long").repartition(3)
+    for parts in ((3,), (5,), S.PARTS):
+        groups, thresholds = S.plan(d, 3, parts)
+        assert sum(thresholds) == 3 - len(groups) + 1 and sorted(b for g in groups for b in g) == list(range(64))
+        assert len({len(g) for g in groups}) > 1
+        assert len(parts) > 1 or len(set(thresholds)) == 2
+    want = brute_components([(a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) % (1 << 64)).bit_count() <= 3], fps)
+    for parts in ((3,), (5,), S.PARTS):
+        assert brute_components([(r["a"], r["b"]) for r in S.links(d, parts=parts).collect()], fps) == want
+
+
+def test_agreeing_pairs_are_counted(spark):
+    rng = random.Random(2)
+    fps = [rng.getrandbits(8) for _ in range(60)]
+    masks = [0xF, 0xF0, S.signed(1 << 63), 0xFF]
+    d = spark.createDataFrame([(x,) for x in fps], "fp long").repartition(4)
+    assert S.agreeing_pairs(d, masks) == [sum((a & m) == (b & m) for a, b in itertools.combinations(fps, 2)) for m in masks]
+
+
+def test_hubs_and_giant_components(spark):
+    """A hub, a long path between hubs, and a group of many copies, through the broadcast side."""
+    edges = [(0, k) for k in range(1000, 1400)] + [(5000, k) for k in range(6000, 6300)] + [(1399, 4000), (4000, 4001), (4001, 6299)] + [(9000, 9001)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(3), hub=50).collect()}
+    assert got == brute_components(edges, sorted({n for e in edges for n in e}))
+    rng = random.Random(3)
+    base = " ".join(rng.choice("abcdefghij") * 3 for _ in range(300))
+    texts = [base] * 150 + [base + f" {k}" for k in range(120)] + [f"quite another text number {k} of its own" for k in range(20)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    a, b = (sorted(map(tuple, S.near_duplicates(d, hot=h).collect())) for h in (20, 10_000))
+    assert a == b and len(a) == len(texts) and sum(r[2] == 0 for r in a) > 200
