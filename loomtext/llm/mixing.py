@@ -24,7 +24,10 @@ sizes need d * (d - 1) / 2 words.
 Defined cases: null and empty texts have size 0 and stay once; sources are
 ordered by code point with null, a source of its own, last; a source of no
 words has target 0; rows that repeat a doc_id are separate documents; an empty
-table gives an empty result.
+table gives an empty result; other columns, of whatever names, are handed on.
+
+Tasks that don't grow with the documents: the targets' sorted windows have a row
+for each source; the rounding of a source sees its histogram.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomtext.llm.base import WORD, written
+from loomtext.llm.base import WORD, discard, written
 
 KEY = ["_source", "_size"]
 
@@ -43,10 +46,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def keyed(docs: DataFrame, pieces: int) -> DataFrame:
-    """docs with the keys of its histogram cell and of its piece of that cell."""
-    source = F.coalesce(F.concat(F.lit("s"), docs["source"].cast("string")), F.lit("~"))
-    return docs.select("*", source.alias("_source"), words(docs["text"]).alias("_size"), F.pmod(F.xxhash64(docs["doc_id"]), F.lit(pieces)).cast("int").alias("_piece"))
+def source_key(source: Column) -> Column:
+    """Sources by code point, null last."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("~"))
 
 
 def targets(sizes: DataFrame, factor: float, weights: tuple[float, ...], most: float) -> DataFrame:
@@ -89,7 +91,8 @@ def tilt(cells: DataFrame, goals: DataFrame, most: float, steps: int = 60, close
         s = s.withColumn("done", F.col("done") | (F.abs(off) <= close * F.col("target")))
         middle = F.when((F.col("lo") > -1e6) & (F.col("hi") < 1e6), (F.col("lo") + F.col("hi")) / 2).otherwise(F.col("lam") - F.signum(off) * (1 + F.abs("lam")))
         s = s.withColumn("lam", F.when(F.col("done"), F.col("lam")).when(inside, newton).otherwise(middle))
-        state = written(s.select(*state.columns), "tilt")
+        before, state = state, written(s.select(*state.columns), "tilt")
+        discard(before)
     return state
 
 
@@ -105,12 +108,21 @@ def _round(cells: pd.DataFrame) -> pd.DataFrame:
     return cells.assign(copies=out)[["_source", "_size", "copies"]]
 
 
-def mix(docs: DataFrame, factor: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: float = 2.0, per_piece: int = 100_000) -> DataFrame:
-    """docs with size, source_size, target, rate and copies (how often the mix takes the document)."""
+def mix(docs: DataFrame, factor: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: float = 2.0, per_piece: int = 100_000, size: str | None = None, tie: str | None = None) -> DataFrame:
+    """docs with size, source_size, target, rate and copies (how often the mix takes the document).
+
+    size, tie: columns that hold the number of words and a hash of the text, so
+    that no text is needed; without them both come from `text`. Documents of one
+    source and size are dealt copies in the order of doc_id and tie.
+    """
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "rate", "copies")]
-    docs = docs.select(*names)
+    n_words = docs[size] if size else words(docs["text"])
+    order = docs[tie] if tie else F.xxhash64(docs["text"])
+    # The columns handed on travel in one struct, where no name can clash.
     pieces = max(64, docs.count() // per_piece)
-    parts = written(keyed(docs.select("doc_id", "source", "text"), pieces).groupBy(*KEY, "_piece").agg(F.count(F.lit(1)).alias("n")), "pieces")
+    piece = F.pmod(F.xxhash64(docs["doc_id"]), F.lit(pieces)).cast("int").alias("_piece")
+    key = [source_key(docs["source"]).alias("_source"), n_words.cast("long").alias("_size"), piece]
+    parts = written(docs.select(*key).groupBy(*KEY, "_piece").agg(F.count(F.lit(1)).alias("n")), "pieces")
     cells = written(parts.groupBy(*KEY).agg(F.sum("n").alias("n")), "cells")
     goals = targets(cells.groupBy("_source").agg(F.sum(F.col("n") * F.col("_size")).alias("total")), factor, weights, most)
     state = tilt(cells, goals, most)
@@ -120,15 +132,15 @@ def mix(docs: DataFrame, factor: float = 1.5, weights: tuple[float, ...] = (3, 1
     share = rated.join(copies, KEY)
     before = Window.partitionBy(*KEY).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     first = parts.withColumn("_first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    dealt = first.join(share, KEY).select(*KEY, "_piece", "_first", "rate", F.col("total").alias("_total"), F.col("target").alias("_target"), F.expr("copies div n").alias("_each"), F.expr("copies % n").alias("_more"))
-    tie = [F.col("doc_id"), F.xxhash64("text")]
-    numbered = keyed(docs, pieces).withColumn("_row", F.row_number().over(Window.partitionBy(*KEY, "_piece").orderBy(*tie)))
+    dealt = first.join(share, KEY).select(*KEY, "_piece", "_first", "rate", "total", "target", F.expr("copies div n").alias("_each"), F.expr("copies % n").alias("_more"))
+    own = docs.select(F.struct(*(docs[c] for c in names)).alias("_own"), *key, docs["doc_id"].alias("_id"), order.alias("_tie"))
+    numbered = own.withColumn("_row", F.row_number().over(Window.partitionBy(*KEY, "_piece").orderBy("_id", "_tie")))
     copies = F.col("_each") + F.when(F.col("_first") + F.col("_row") - 1 < F.col("_more"), 1).otherwise(0)
     return numbered.join(dealt, [*KEY, "_piece"]).select(
-        *(numbered[c] for c in names),
+        *(F.col("_own").getField(c).alias(c) for c in names),
         F.col("_size").alias("size"),
-        F.col("_total").cast("long").alias("source_size"),
-        F.col("_target").cast("double").alias("target"),
+        F.col("total").cast("long").alias("source_size"),
+        F.col("target").cast("double").alias("target"),
         "rate",
         copies.cast("long").alias("copies"),
     )

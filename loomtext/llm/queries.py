@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import langid, media, mixing, piece, quality, sharding, simhash, substring, topk, toxicity
+from loomtext.llm.base import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +52,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = table(spark, sf_dir, "documents")
+    # Texts are read once; all that follows works on this narrow table.
+    sizes = written(docs.select("doc_id", "source", mixing.words(docs["text"]).alias("n_words"), F.xxhash64("text").alias("tie")), "sizes")
+    mixed = mixing.mix(sizes, size="n_words", tie="tie")
     taken = (F.col("copies") * F.col("size")).alias("taken")
     return mixed.select("doc_id", "size", "source_size", "target", taken, "copies", "rate")
 

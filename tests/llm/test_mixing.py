@@ -69,3 +69,24 @@ def test_awkward(spark, awkward, nothing):
     assert all(r["t"] <= 2 * r["s"] for r in sums)
     assert M.mix(nothing).count() == 0
     assert M.mix(awkward.where("doc_id in (1, 2)")).count() == 2
+
+
+def test_clashing_names_and_sizes_given(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.choice("ab"), "w " * rng.randint(1, 30), k % 3, "x", 1, "y", k, 2.5, 7) for k in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string, _source int, _size string, _piece int, _row string, _own int, total double, n int").repartition(3)
+    got = M.mix(d)
+    assert got.columns == [*d.columns, "size", "source_size", "target", "rate", "copies"]
+    assert sorted(map(tuple, got.select(*d.columns).collect())) == rows
+    narrow = d.select("doc_id", "source", M.words(d["text"]).alias("words"), F.xxhash64("text").alias("tie"))
+    same = M.mix(narrow, size="words", tie="tie")
+    columns = ["doc_id", "size", "source_size", "target", "rate", "copies"]
+    assert sorted(map(tuple, same.select(*columns).collect())) == sorted(map(tuple, got.select(*columns).collect()))
+
+
+def test_many_sources(spark):
+    """As many sources as documents: a histogram cell each."""
+    rows = [(k, f"s{k:05}", "w " * (k % 4)) for k in range(3000)]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)).collect()
+    want = brute_targets({s: len(t.split()) for _, s, t in rows})
+    assert len(got) == 3000 and all(r["target"] == pytest.approx(want[r["source"]], rel=1e-9) for r in got)
