@@ -10,8 +10,12 @@
 A-law codes, or the nibbles of ADPCM blocks of 64 data bytes. Which of the
 three a payload gets follows from its CRC, so equal payloads are equal files.
 
-Defined cases: a null or empty text is 64 zero bytes; a file that is no such
-WAV raises an error; other columns are not read; rows that repeat stay apart.
+`with_pcm` decodes a column of files: `pcm` is their sound, resampled; a file that
+is null or no such WAV has null there and the reason in `error`.
+
+Defined cases: a null or empty text is 64 zero bytes; other columns, of whatever
+names, are handed on by `with_pcm` and not read otherwise; rows that repeat stay
+apart; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +26,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from loomtext.llm.base import written
 
 UNIT = 64
 #: Format tags of WAV.
@@ -81,11 +89,14 @@ def decode_ima(blocks: np.ndarray) -> np.ndarray:
     return out
 
 
-def payload_of(text: str | None) -> bytes:
-    data = (text or "").encode("utf-8", "surrogatepass")
+def padded(data: bytes) -> bytes:
     return data + bytes((-len(data)) % UNIT or (0 if data else UNIT))
 
 
+def payload_of(text: str | None) -> bytes:
+    return padded((text or "").encode("utf-8", "surrogatepass"))
+
+
 def format_of(payload: bytes) -> int:
     return (MULAW, ALAW, IMA)[zlib.crc32(payload) % 3]
 
@@ -105,17 +116,26 @@ def encode_media(payload: bytes, tag: int) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def read_media(media: bytes) -> tuple[int, int, bytes]:
-    """Format tag, block size and sample data of a WAV file."""
+def read_media(media: bytes | None) -> tuple[int, int, bytes]:
+    """Format tag, block size and sample data of a WAV file; ValueError says what is wrong with it."""
+    if media is None:
+        raise ValueError("no file")
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, tag, align = 12, None, 1
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         if name == b"fmt ":
+            if size < 14 or at + 22 > len(media):
+                raise ValueError("broken format chunk")
             tag, _, _, _, align = struct.unpack_from("<HHIIH", media, at + 8)
         if name == b"data" and tag in NAMES:
-            return tag, align, media[at + 8 : at + 8 + size]
+            data = media[at + 8 : at + 8 + size]
+            if len(data) < size:
+                raise ValueError("file ends within the sound")
+            if tag == IMA and (align < 5 or len(data) % align):
+                raise ValueError("broken ADPCM blocks")
+            return tag, align, data
         at += 8 + size + size % 2
     raise ValueError("no telephony sound in this file")
 
@@ -125,12 +145,16 @@ def read_payload(media: bytes) -> bytes:
     return np.frombuffer(data, np.uint8).reshape(-1, align)[:, 4:].tobytes() if tag == IMA else data
 
 
-def decode_media(files: list[bytes]) -> list[np.ndarray]:
-    """16-bit samples of each file; the ADPCM blocks of all files go together, by block size."""
+def decode_media(files: list[bytes | None]) -> list[np.ndarray | str]:
+    """16-bit samples of each file, or what is wrong with it; the ADPCM blocks of all files go together, by block size."""
     out: list = [None] * len(files)
     waiting: dict[int, list[tuple[int, np.ndarray]]] = {}
     for i, media in enumerate(files):
-        tag, align, data = read_media(media)
+        try:
+            tag, align, data = read_media(media)
+        except ValueError as e:
+            out[i] = str(e)
+            continue
         codes = np.frombuffer(data, np.uint8)
         if tag == IMA:
             waiting.setdefault(align, []).append((i, codes.reshape(-1, align)))
@@ -138,7 +162,7 @@ def decode_media(files: list[bytes]) -> list[np.ndarray]:
             out[i] = TABLES[tag][codes]
     for own in waiting.values():
         all_blocks = np.concatenate([b for _, b in own])
-        samples = np.concatenate([decode_ima(all_blocks[k : k + 65536]) for k in range(0, len(all_blocks), 65536)])
+        samples = np.concatenate([decode_ima(all_blocks[k : k + 65536]) for k in range(0, len(all_blocks), 65536)]) if len(all_blocks) else np.zeros((0, 1), np.int16)
         at = 0
         for i, blocks in own:
             out[i] = samples[at : at + len(blocks)].ravel()
@@ -148,6 +172,8 @@ def decode_media(files: list[bytes]) -> list[np.ndarray]:
 
 def resample(samples: np.ndarray) -> np.ndarray:
     """Twice the rate: samples stay, and those between come from the taps (-1, 9, 9, -1) / 16 with repeated ends."""
+    if not len(samples):
+        return np.zeros(0, "<i2")
     x = np.concatenate([samples[:1], samples, samples[-1:], samples[-1:]]).astype(np.int32)
     between = (9 * (x[1:-2] + x[2:-1]) - x[:-3] - x[3:] + 8) >> 4
     out = np.empty(2 * len(samples), "<i2")
@@ -163,58 +189,79 @@ def feature_of(tag: int, samples: np.ndarray, pcm: np.ndarray) -> str:
     return f"{NAMES[tag]};samples={len(x)};pcm={len(pcm)};peak={int(np.abs(x).max(initial=0))};energy={int((x * x).sum())};turns={turns};pcm_crc={zlib.crc32(pcm.tobytes())}"
 
 
-FIELDS = ["doc_id", "n_bytes", "media", "pcm"]
+def _slices(b: pa.RecordBatch, column: int, most: int = 4 << 20):
+    """Runs of rows of a batch with at most `most` bytes in a column, or of one row."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0))
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), most, "right")))
+        yield b.slice(at, end - at)
+        at = end
 
 
-def with_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media, pcm): every whole text stored as telephony sound, and its 16 kHz 16-bit PCM."""
+def as_media(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media): every whole text, stored as telephony sound."""
+    names = ["doc_id", "n_bytes", "media"]
 
     def run(batches):
-        for ids, sizes, files, sounds in _batches(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(files, pa.binary()), pa.array([resample(s).tobytes() for s in sounds], pa.binary())], FIELDS)
+        for b in batches:
+            for part in _slices(b, 1):
+                texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+                files = [encode_media(p, format_of(p)) for p in map(padded, texts)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(files, pa.binary())], names)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, n_bytes long, media binary, pcm binary")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def _batches(batches, most: int = 4 << 20):
-    """Columns of runs of rows with at most `most` bytes of text, or of one row."""
-    for b in batches:
-        texts = b.column(1).to_pylist()
-        at = 0
-        while at < len(texts):
-            end, held = at, 0
-            sizes, files = [], []
-            while end < len(texts) and (end == at or held + len(texts[end] or "") <= most):
-                payload = payload_of(texts[end])
-                held += len(payload)
-                sizes.append(len((texts[end] or "").encode("utf-8", "surrogatepass")))
-                files.append(encode_media(payload, format_of(payload)))
-                end += 1
-            yield b.column(0).slice(at, end - at), sizes, files, decode_media(files)
-            at = end
+def with_pcm(files: DataFrame, media: str = "media") -> DataFrame:
+    """All columns of files, `pcm` (16-bit, twice the rate, little-endian) and `error`."""
+    names = [c for c in files.columns if c not in ("pcm", "error")]
+    at = names.index(media)
+    files = files.select(*(files[c] for c in names))
+
+    def run(batches):
+        for b in batches:
+            for part in _slices(b, at):
+                sounds = decode_media(part.column(at).to_pylist())
+                pcm = [None if isinstance(s, str) else resample(s).tobytes() for s in sounds]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pcm, pa.binary()), pa.array([s if isinstance(s, str) else None for s in sounds], pa.string())], [*names, "pcm", "error"])
 
+    return files.mapInArrow(run, T.StructType([*files.schema.fields, T.StructField("pcm", T.BinaryType()), T.StructField("error", T.StringType())]))
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """What `with_media` stores, as digests of the payload and the file read back, in the same pass."""
+
+def with_media(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media, pcm): every whole text as telephony sound, and its 16 kHz 16-bit PCM."""
+    return with_pcm(as_media(docs)).drop("error")
+
+
+def digests(files: DataFrame) -> DataFrame:
+    """What a table of `as_media` holds: digests of the payload read back and of the file, and the sound's feature."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches):
-        for ids, sizes, files, sounds in _batches(batches):
-            back = [read_payload(f) for f in files]
-            features = [feature_of(read_media(f)[0], s, resample(s)) for f, s in zip(files, sounds, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids,
-                    pa.array(sizes, pa.int64()),
-                    pa.array([len(p) for p in back], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in back]),
-                    pa.array([zlib.crc32(p[-UNIT:]) for p in back], pa.int64()),
-                    pa.array([len(f) for f in files], pa.int64()),
-                    pa.array([hashlib.sha256(f).hexdigest() for f in files]),
-                    pa.array(features),
-                ],
-                names,
-            )
+        for b in batches:
+            for part in _slices(b, 2):
+                media = part.column(2).to_pylist()
+                back = [read_payload(f) for f in media]
+                features = [feature_of(read_media(f)[0], s, resample(s)) for f, s in zip(media, decode_media(media), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(1),
+                        pa.array([len(p) for p in back], pa.int64()),
+                        pa.array([hashlib.sha256(p).hexdigest() for p in back], pa.string()),
+                        pa.array([zlib.crc32(p[-UNIT:]) for p in back], pa.int64()),
+                        pa.array([len(f) for f in media], pa.int64()),
+                        pa.array([hashlib.sha256(f).hexdigest() for f in media], pa.string()),
+                        pa.array(features, pa.string()),
+                    ],
+                    names,
+                )
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, schema)
+    return files.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def media_digests(docs: DataFrame) -> DataFrame:
+    """Every text stored as a file in the shared folder, and the digests of what is read back from there."""
+    return digests(written(as_media(docs), "media", compression="zstd"))

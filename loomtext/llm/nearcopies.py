@@ -1,18 +1,21 @@
-"""Near copies by exact Jaccard similarity of word shingles: candidates from MinHash bands, each verified.
+"""Near copies by Jaccard similarity of word shingles: SimHash search, completed by MinHash bands, each candidate verified.
 
 1. A node is a distinct text. Its set is the XXH64 hashes of its `shingle`-word
    shingles, with words as in simhash: ASCII lower case, cut at white space.
-2. BANDS keys of ROWS minima each. Two sets of similarity s share a key with
-   probability 1 - (1 - s^ROWS)^BANDS: 99.995 % at 0.8, more above. A
-   fingerprint of 64 bits would do worse: sets of similarity 0.8 differ in 9.7
-   bits on average, unrelated short ones in few more.
-3. Keys of several nodes are compared; keys of the same nodes are one. A large
-   key is compared in square blocks of at most `block` by `block` nodes, and a
-   block returns a spanning forest of its verified links.
-4. Connected components of the links.
+2. simhash.links finds the fingerprints of these shingles that differ in few bits,
+   by its partitions and thresholds.
+3. Texts of similarity 0.8 have fingerprints that differ in 9.7 bits of 64 on
+   average, up to 17 in 99 of 100 cases; no partition of 64 bits searches so far
+   with few candidates. So there are BANDS keys of ROWS minima each beside them: two
+   sets of similarity s share one with probability 1 - (1 - s^ROWS)^BANDS: 99.995 %
+   at 0.8, more above. Keys of several nodes are compared; keys of the same nodes
+   are one. A large key is compared in square blocks of at most `block` by
+   `block` nodes, and a block returns a spanning forest of its verified links.
+4. Connected components of all links, of which each has the similarity asked for.
 
 Defined cases: null and word-less texts have one set and are copies of each
-other; fewer words than a shingle give one shingle of all words.
+other; fewer words than a shingle give one shingle of all words; columns of any
+name are handed on.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.base import written
+from loomtext.llm import simhash
+from loomtext.llm.base import fresh, written
 from loomtext.llm.graph import components
 from loomtext.llm.simhash import _LOWER, SEED
 
@@ -34,7 +38,7 @@ _PLUS = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint6
 
 
 def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
-    """The sorted distinct hashes of a whole text's shingles; never empty."""
+    """The hashes of a whole text's shingles, repeats included; never empty."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     data, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
@@ -42,7 +46,7 @@ def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[:-1]])[: len(words) - shingle + 1].tolist()
     stops = (ends[shingle - 1 :] - 1).tolist()
-    return np.unique(np.fromiter((digest(data[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts)))
+    return np.fromiter((digest(data[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -80,37 +84,58 @@ def forest(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple
     return out
 
 
-def links(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 512) -> DataFrame:
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * 100 >= percent * (len(a) + len(b) - both)
+
+
+def fingerprint_pairs(sketches: DataFrame, distance: int) -> DataFrame:
+    """(x, y): nodes whose fingerprints are equal or linked by simhash."""
+    heads = written(sketches.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    found = simhash.links(heads.select("fp"), distance)
+    across = found.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    within = sketches.join(heads, "fp").where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
+    return written(across.unionByName(within), "pairs")
+
+
+def links(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 512, distance: int = 3) -> DataFrame:
     """(a, b): verified links of nodes that connect what all such links among the candidates connect."""
 
-    def keys(batches):
+    def sketch(batches):
         for b in batches:
-            found = [band_keys(shingles(t, shingle)) for t in b.column(1).to_pylist()]
-            nodes = np.repeat(np.asarray(b.column(0)), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.array(found, np.uint64).ravel().view(np.int64))], ["node", "key"])
-
-    texts = docs.select(node_of(docs["text"]).alias("node"), docs["text"])
-    bands = written(texts.mapInArrow(keys, "node long, key long").distinct(), "bands")
+            fps, keys = [], []
+            for text in b.column(1).to_pylist():
+                h = shingles(text, shingle)
+                fps.append(simhash.of_hashes(h) if (text or "").strip(simhash.BLANKS) else 0)
+                keys.append(np.array(band_keys(np.unique(h)), np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["node", "fp", "keys"])
+
+    # Rows of one text are combined before each shuffle, so that a group of copies is no hot key.
+    texts = docs.select(node_of(docs["text"]).alias("node"), docs["text"].alias("text"))
+    sketches = written(texts.mapInArrow(sketch, "node long, fp long, keys array<long>").groupBy("node").agg(F.min("fp").alias("fp"), F.min("keys").alias("keys")), "sketches")
+    bands = sketches.select("node", F.explode("keys").alias("key"))
     same = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("who")).where("n > 1")
     cuts = same.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("cuts"))
-    pairs = F.transform(
+    ends = F.transform(
         F.sequence(F.lit(0), F.col("cuts") - 1),
         lambda other: F.struct(F.least(F.col("c"), other).alias("p"), F.greatest(F.col("c"), other).alias("q")),
     )
     squares = (
         bands.join(cuts, "key")
         .withColumn("c", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-        .select("key", "node", F.explode(pairs).alias("s"))
+        .select("key", "node", F.explode(ends).alias("s"))
         .select("key", "s.p", "s.q", "node")
     )
     squares = written(squares, "squares")
 
     def hashed(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingles(t, shingle)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
 
-    met = squares.select("node").distinct()
-    sets = texts.join(met, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")).mapInArrow(hashed, "node long, hashes binary")
+    pairs = fingerprint_pairs(sketches, distance)
+    met = squares.select("node").unionByName(pairs.select(F.col("x").alias("node"))).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+    once = texts.groupBy("node").agg(F.min("text").alias("text"))
+    sets = written(once.join(met, "node", "left_semi").mapInArrow(hashed, "node long, hashes binary"), "sets")
 
     def compare(batches):
         """The rows come sorted, so that a group is a run of rows; it may go over batches."""
@@ -131,19 +156,27 @@ def links(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 512
         out += forest(nodes, own, percent) if len(nodes) > 1 else []
         yield batch()
 
+    def verify(batches):
+        for b in batches:
+            good = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], ["a", "b"])
+
     by = ("key", "p", "q")
     whole = squares.join(sets, "node").select(*by, "node", "hashes")
-    return whole.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "a long, b long")
+    by_bands = whole.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "a long, b long")
+    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("hashes").alias("p")), "x").join(sets.select(F.col("node").alias("y"), F.col("hashes").alias("q")), "y")
+    return by_bands.unionByName(both.select("x", "y", "p", "q").mapInArrow(verify, "a long, b long"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 512) -> DataFrame:
     """The rows of docs (with doc_id and text), one of each component of near copies: the first by doc_id (nulls last), hash of the text, hash of the row."""
     found = components(links(docs, shingle, percent, block), "nearcopies")
-    rows = docs.withColumn("_node", node_of(docs["text"])).withColumn("_row", F.xxhash64(*(F.struct(F.isnull(c), c) for c in docs.columns)))
-    rank = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), F.col("_node"), F.col("_row"))
+    node, row = fresh(docs.columns, "node", "row")
+    rows = docs.withColumn(node, node_of(docs["text"])).withColumn(row, F.xxhash64(*(F.struct(F.isnull(docs[c]), docs[c]) for c in docs.columns)))
+    rank = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), F.col(node).alias("n"), F.col(row).alias("r"))
     # Minima of each text are combined before the shuffle, so that copies are no hot key.
-    firsts = rows.groupBy("_node").agg(F.min(rank).alias("first"))
-    named = firsts.join(found, firsts["_node"] == found["node"], "left").select(F.coalesce("component", "_node").alias("component"), "first")
-    kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first._node").alias("_node"), F.col("first._row").alias("_row"))
+    firsts = rows.groupBy(F.col(node).alias("own")).agg(F.min(rank).alias("first"))
+    named = firsts.join(found, firsts["own"] == found["node"], "left").select(F.coalesce("component", "own").alias("component"), "first")
+    kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.n").alias(node), F.col("first.r").alias(row))
     # Only rows that are equal in all columns share a key here.
-    return rows.join(kept, ["_node", "_row"], "left_semi").dropDuplicates(["_node", "_row"]).select(*docs.columns)
+    return rows.join(kept, [node, row], "left_semi").dropDuplicates([node, row]).select(*docs.columns)

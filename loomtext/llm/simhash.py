@@ -45,6 +45,7 @@ SEED, BITS = 42, 64
 ROW_COST = 200
 #: Numbers of partitions to choose from.
 PARTS = (2, 3, 4, 5, 6)
+BLANKS = " \t\n\r\x0b\x0c"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -70,7 +71,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[:-1]])[: len(words) - shingle + 1].tolist()
     stops = (ends[shingle - 1 :] - 1).tolist()
-    hashes = np.fromiter((digest(data[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
+    return of_hashes(np.fromiter((digest(data[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts)))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes."""
     ones = bit_sums(hashes) * 2 > len(hashes)
     return int(np.packbits(ones, bitorder="little").view(np.uint64)[0])
 

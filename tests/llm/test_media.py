@@ -86,3 +86,22 @@ def test_whole_operator(spark, awkward, nothing):
     assert M.read_payload(stored["media"]) == M.payload_of(own[14])
     assert stored["pcm"] == M.resample(M.decode_media([stored["media"]])[0]).tobytes()
     assert M.media_digests(nothing).count() == 0
+
+
+def test_files_of_any_kind(spark):
+    """Bad files have no sound and a reason; good ones beside them are decoded."""
+    payload = random.Random(2).randbytes(640)
+    good = {t: M.encode_media(payload, t) for t in (M.MULAW, M.ALAW, M.IMA)}
+    cut = good[M.IMA][:-100]
+    odd = good[M.IMA].replace((10 * 68).to_bytes(4, "little"), (10 * 68 - 1).to_bytes(4, "little"))
+    empty = M.encode_media(b"", M.MULAW)
+    files = [*good.values(), None, b"", b"RIFF", b"RIFF1234WAVEfmt ", cut, odd, good[M.MULAW][:30], empty, M.encode_media(b"", M.IMA)]
+    d = spark.createDataFrame([(k, f, 7, "old", "x") for k, f in enumerate(files)], "n int, file binary, pcm int, error string, media string").repartition(3)
+    got = M.with_pcm(d, "file")
+    assert got.columns == ["n", "file", "media", "pcm", "error"]
+    rows = {r["n"]: r for r in got.collect()}
+    for k, f in enumerate(good.values()):
+        assert rows[k]["error"] is None and rows[k]["pcm"] == M.resample(M.decode_media([f])[0]).tobytes() and rows[k]["media"] == "x"
+    assert [rows[k]["error"] for k in range(3, 10)] == ["no file", "not a WAV file", "not a WAV file", "no telephony sound in this file", "file ends within the sound", "broken ADPCM blocks", "broken format chunk"]
+    assert all(rows[k]["pcm"] is None for k in range(3, 10)) and rows[10]["pcm"] == rows[11]["pcm"] == b""
+    assert M.with_pcm(d.where("false"), "file").count() == 0

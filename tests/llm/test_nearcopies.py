@@ -52,3 +52,18 @@ def test_stage_decides_by_row(spark):
     rows = [(1, a), (1, b), (None, c), (None, d), (None, e), (7, e + " more"), (2, a), (1, a), (None, c)]
     want = sorted([(1, a), (1, b), (None, c), (None, d), (7, e + " more")], key=repr)
     assert kept(spark, rows) == want == kept(spark, rows[::-1])
+
+
+def test_fingerprints_alone_miss_what_bands_find(spark):
+    """Pairs over 0.8 whose fingerprints differ in more bits than the search allows are linked all the same; links of less similar texts are not."""
+    texts = [t for t in corpus() for _ in (0, 1)] + ["", " ", "one two", "One  TWO", "one three"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = [(r["a"], r["b"]) for r in N.links(d).collect()]
+    node = {r["node"]: r["text"] for r in d.select(N.node_of(d["text"]).alias("node"), "text").collect()}
+    similar = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    bits = []
+    for a, b in found:
+        assert similar(brute_shingles(node[a]), brute_shingles(node[b]))
+        bits.append((N.simhash.fingerprint(node[a], 5) ^ N.simhash.fingerprint(node[b], 5)).bit_count())
+    assert max(bits) > 3 and min(bits) <= 3
+    assert len({frozenset(p) for p in found if node[p[0]].split() and len(node[p[0]].split()) < 3}) == 1

@@ -12,7 +12,8 @@ from loomtext.llm.queries import queries, vocabulary
 
 from .conftest import LEXICON, words
 from .test_mixing import brute_targets
-from .test_simhash import brute_components, brute_fingerprint
+from .test_nearcopies import brute_shingles
+from .test_simhash import brute_components
 from .test_substring import brute
 
 
@@ -51,9 +52,11 @@ def test_stages(spark, folder, tmp_path):
         if name == "toxicity":
             assert sorted(map(repr, after)) == sorted(repr(r) for r in before if not set((r[1] or "").split()) & set(LEXICON))
         elif name == "simhash":
-            fp = {d: brute_fingerprint(t) for d, t, _ in before}
-            comp = brute_components([(a, b) for a, b in itertools.combinations(sorted(fp), 2) if (fp[a] ^ fp[b]).bit_count() <= 3], sorted(fp))
-            assert sorted(r[0] for r in after) == sorted(set(comp.values()))
+            rows = sorted(set(before), key=lambda r: (r[0], r[1] or ""))
+            sets = [brute_shingles(t) for _, t, _ in rows]
+            near = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+            comp = brute_components(near, range(len(rows)))
+            assert sorted(r[0] for r in after) == sorted(rows[k][0] for k in set(comp.values())) and len(near) > 10
         elif name == "substring":
             want = dict(zip((r[0] for r in before), brute([r[:2] for r in before]), strict=True))
             assert {d: t for d, t, _ in after} == want and want != {d: t for d, t, _ in before}
