@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,9 +94,10 @@ SPACED = r"(?U)\b\p{L}(?:(?: |,| ?\. ?)\p{L}){3,}\b"
 
 
 def join_spaced(c: Column) -> Column:
-    """Four or more single letters with a space, comma or full stop between become a word."""
-    found = F.regexp_extract_all(c, F.lit(f"({SPACED})"), 1)
-    return F.aggregate(found, c, lambda text, m: F.replace(text, m, F.regexp_replace(m, "[ ,.]", "")))
+    """Four or more single letters with a space, comma or full stop between become a word, where they stand."""
+    found = F.transform(F.regexp_extract_all(c, F.lit(f"({SPACED})"), 1), lambda m: F.regexp_replace(m, "[ ,.]", ""))
+    between = F.split(c, SPACED, -1)
+    return F.array_join(F.zip_with(between, found, lambda gap, word: F.concat(gap, F.coalesce(word, F.lit("")))), "")
 
 
 TYPOGRAPHY = [
@@ -126,6 +127,14 @@ def deshout(c: Column, kept: list[str]) -> Column:
     return F.aggregate(F.array_distinct(loud_words(c, kept)), c, quiet)
 
 
+def kept_words(lexicon: DataFrame, most: int = 10_000) -> list[str]:
+    """The words of a lexicon (word, ...) for de-shouting. It is counted first: beyond `most` words it is refused, as every task holds it."""
+    words = [r["word"] for r in lexicon.select("word").where("word is not null").distinct().limit(most + 1).collect()]
+    if len(words) > most:
+        raise ValueError(f"a lexicon of more than {most} words")
+    return sorted(words)
+
+
 def shouts(c: Column, kept: list[str]) -> Column:
     return F.size(loud_words(c, kept))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -141,20 +143,35 @@ def dictionary_hits(docs: DataFrame, dictionary: DataFrame, most: int = 10_000)
 
     The dictionary is counted first. Up to `most` entries it is broadcast and each
     text is searched for each entry. Beyond that, entries and texts meet on a
-    shuffle by the entry's first three code points, each distinct triple of a
-    text once (shorter entries, which are at most all pairs of characters, stay
-    in the broadcast).
+    shuffle by the entry's first code points, up to three, each distinct such
+    beginning of a text once and at most as many as there are in the dictionary.
+    Either way every row of docs has each entry that occurs in it once.
     """
     entries = dictionary.where(F.length("find") > 0)
     cols = ["doc_id", "item_no", "find", "replace", "reason"]
     if entries.count() <= most:
         return docs.join(F.broadcast(entries), F.contains(docs["text"], entries["find"])).select(*cols)
-    short = docs.join(entries.where(F.length("find") < 3), F.contains(docs["text"], F.col("find"))).select(*cols)
-    triples = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1))), lambda k: F.substring(F.col("text"), k, F.lit(3))))
-    long = entries.where(F.length("find") >= 3).withColumn("_t", F.substring("find", 1, 3))
-    met = docs.select("doc_id", F.explode(triples).alias("_t")).join(long, "_t")
-    hit = met.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "find")).select(*cols)
-    return short.unionByName(hit)
+    begin = entries.withColumn("_t", F.substring("find", 1, 3)).withColumn("_size", F.length("_t"))
+    d = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text")
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1))), lambda k: F.substring(F.col("text"), k, F.lit(n)))
+    sizes = [r["_size"] for r in begin.select("_size").distinct().collect()]  # 1, 2 and 3 at most
+    own = F.array_distinct(F.concat(*(grams(n) for n in sizes))) if sizes else F.array().cast("array<string>")
+    met = d.select("doc_id", "_h", F.explode(own).alias("_t")).join(begin.drop("_size"), "_t").drop("_t").distinct()
+    ids = met.withColumnsRenamed({"doc_id": "_id", "_h": "_m"})
+    return d.join(ids, d["doc_id"].eqNullSafe(ids["_id"]) & (d["_h"] == ids["_m"])).where(F.contains("text", "find")).select(*cols)
+
+
+#: The category of a rule by a part of its name (fixed values of the rule engine), the first that fits.
+RULE_CATEGORIES = [("MORFOLOGIK", "TYPOS"), ("SPELL", "TYPOS"), ("WHITESPACE", "SPACING"), ("SPAC", "SPACING"), ("COMMA", "PUNCTUATION"), ("PUNCT", "PUNCTUATION"), ("UPPERCASE", "CASING"), ("CASING", "CASING"), ("AGREEMENT", "SIMPLE_AGREEMENT")]
+
+
+def rule_category(rule: Column, kind: Column | None = None) -> Column:
+    """The safe category of a grammar rule by its name, else by the name of its kind; null for others, whose suggestions are not applied."""
+    out = F.lit(None).cast("string")
+    for name in [c for c in (kind, rule) if c is not None]:
+        for part, category in reversed(RULE_CATEGORIES):
+            out = F.when(F.upper(name).contains(part), category).otherwise(out)
+    return out
 
 
 def offset_suggestions(suggestions: DataFrame, category_map: DataFrame, safe: list[str]) -> DataFrame:
@@ -177,10 +194,10 @@ def masked_edits(matches: DataFrame, ranges: DataFrame) -> DataFrame:
     return matches.join(r, hit, "left_semi")
 
 
-def lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, line_no, line): stripped lines that aren't blank, from 0."""
+def lines(docs: DataFrame, text: str = "text", only: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(doc_id, line_no, line): stripped lines that aren't blank, and for which `only` holds, from 0."""
     trimmed = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    return docs.select("doc_id", F.posexplode(F.filter(trimmed, lambda x: F.length(x) > 0)).alias("line_no", "line"))
+    return docs.select("doc_id", F.posexplode(F.filter(trimmed, lambda x: (F.length(x) > 0) & only(x) if only else F.length(x) > 0)).alias("line_no", "line"))
 
 
 def positions(rows: DataFrame, key: list[str], order: str) -> DataFrame:

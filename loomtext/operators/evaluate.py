@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from loomtext.functions.text import strip
 from loomtext.operators.apply import lines
 
 
@@ -25,10 +28,10 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(n > 0, 1 - F.levenshtein(a, b) / n).otherwise(1.0)
 
 
-def aligned_lines(output: DataFrame, expected: DataFrame) -> DataFrame:
-    """(doc_id, line_no, output, expected): stripped lines that aren't blank side by side; null where a side has no more."""
-    a = lines(output).withColumnRenamed("line", "output")
-    b = lines(expected).withColumnRenamed("line", "expected")
+def aligned_lines(output: DataFrame, expected: DataFrame, only: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(doc_id, line_no, output, expected): stripped lines that aren't blank (of those, the ones that `only` holds for) side by side; null where a side has no more."""
+    a = lines(output, only=only).withColumnRenamed("line", "output")
+    b = lines(expected, only=only).withColumnRenamed("line", "expected")
     return a.join(b, ["doc_id", "line_no"], "full_outer")
 
 
@@ -39,21 +42,39 @@ def line_accuracy(pairs: DataFrame, by: list[str] = ("doc_id",)) -> DataFrame:
     return r.withColumn("accuracy", F.when(F.col("total") > 0, F.col("same") / F.col("total")).otherwise(0.0))
 
 
-def line_metrics(pairs: DataFrame, by: list[str] = ("doc_id",), similarity=edit_similarity) -> DataFrame:
-    """Exact, fuzzy (> 0.9) and content (> 0.8) shares of the compared lines, mean similarity, differing lines, and the headline."""
+def line_metrics(pairs: DataFrame, content: DataFrame | None = None, by: list[str] = ("doc_id",), similarity=edit_similarity) -> DataFrame:
+    """total, exact, fuzzy (> 0.9), content (> 0.8), similarity, differing and headline (the greater of fuzzy and content).
+
+    Shares are of the lines of the longer side. `content` has the lines of content
+    alone, aligned among themselves; without it, or where there are none, that
+    share is 0. Equal lines are similar by 1, and only others are compared;
+    similarity is the mean over lines that both sides have.
+    """
     both = F.col("output").isNotNull() & F.col("expected").isNotNull()
-    p = pairs.withColumn("s", F.when(both, similarity(F.col("output"), F.col("expected"))))
-    share = lambda c: F.avg(F.when(both, c.cast("double")))
-    r = p.groupBy(*by).agg(
-        share(F.col("output") == F.col("expected")).alias("exact"),
-        share(F.col("s") > 0.9).alias("fuzzy"),
-        share(F.col("s") > 0.8).alias("content"),
-        F.avg("s").alias("similarity"),
-        F.sum((~F.col("output").eqNullSafe(F.col("expected"))).cast("long")).alias("differing"),
+    equal = F.col("output").eqNullSafe(F.col("expected"))
+    compared = F.when(both & ~equal, similarity(F.when(both & ~equal, F.col("output")), F.when(both & ~equal, F.col("expected"))))
+    s = F.when(equal, 1.0).otherwise(compared)
+    share = lambda c: F.count_if(F.coalesce(c, F.lit(False))) / F.count(F.lit(1))
+    r = pairs.withColumn("s", s).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total"), share(equal).alias("exact"), share(F.col("s") > 0.9).alias("fuzzy"), F.avg("s").alias("similarity"), F.count_if(~equal).alias("differing")
     )
+    if content is None:
+        r = r.withColumn("content", F.lit(0.0))
+    else:
+        c = content.withColumn("s", s).groupBy(*by).agg(share(F.col("s") > 0.8).alias("content"))
+        r = r.join(c, list(by), "left").withColumn("content", F.coalesce("content", F.lit(0.0)))
     return r.withColumn("headline", F.greatest("fuzzy", "content"))
 
 
+def flattened(text: Column) -> Column:
+    """A text as one line for the comparison of whole texts: line breaks are spaces, two spaces one; stripped."""
+    return strip(F.replace(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("  "), F.lit(" ")))
+
+
+def text_similarity(output: Column, expected: Column, similarity=edit_similarity) -> Column:
+    return similarity(flattened(output), flattened(expected))
+
+
 def changed_lines(pairs: DataFrame) -> DataFrame:
     """The line differences as rows: sign - for the expected side, + for the output."""
     d = pairs.where(~F.col("output").eqNullSafe(F.col("expected")))
@@ -66,7 +87,7 @@ def version_key(text: Column) -> Column:
 
 
 def ranked(runs: DataFrame, measure: str = "similarity") -> DataFrame:
-    """runs with `rank`: best first, failed runs (null measure) last, ties by run_no. Runs are experiments, not documents."""
+    """runs with `rank`: best first, failed runs (null measure) last, ties by run_no. One task sorts them: runs are experiments, a row each, not documents."""
     return runs.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last(measure), "run_no")))
 
 
@@ -94,6 +115,8 @@ def compared(runs: DataFrame, key: str, a: str, b: str, measures: list[str]) ->
     return rows.withColumn("better", F.when(F.col("delta") > 0, b).when(F.col("delta") < 0, a).otherwise("same"))
 
 
-def variants(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """Every document under every variant; the table of variants has a few rows."""
+def variants(docs: DataFrame, table: DataFrame, most: int = 1000) -> DataFrame:
+    """Every document under every variant. The table of variants is counted first: more than `most` are refused."""
+    if table.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} variants")
     return docs.join(F.broadcast(table))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,12 +14,14 @@ from loomtext.operators.responses import END, START
 
 #: Sampling parameters by phase: temperature, longest answer, repetition penalty.
 PARAMS = {"detect": (0.3, 1024, 1.5), "grammar": (0.1, 8192, 1.0), "fix": (0.0, 8192, 1.0)}
+#: Where a model stops, and the wording around hints: fixed values of the requests.
+STOP = "</RESULT>"
 HINTS = "\n\nDETECTED TTS PROBLEMS TO FIX:\n"
 TRAILER = "\n\nApply these corrections to make the text more TTS-friendly while fixing any grammar issues."
 
 
 def requests(chunks: DataFrame, prompts: DataFrame, phase: str, prompt_key: str) -> DataFrame:
-    """(doc_id, chunk_no, phase, system, user, temperature, max_tokens, repetition_penalty); prompts is a table of a few rows."""
+    """(doc_id, chunk_no, phase, system, user, temperature, max_tokens, repetition_penalty, stop, enable_thinking); one prompt, which the key names."""
     t, n, r = PARAMS[phase]
     prompt = prompts.where(F.col("key") == prompt_key).select(F.col("prompt").alias("system")).limit(1)
     return chunks.join(F.broadcast(prompt)).select(
@@ -25,10 +29,12 @@ def requests(chunks: DataFrame, prompts: DataFrame, phase: str, prompt_key: str)
         "chunk_no",
         F.lit(phase).alias("phase"),
         "system",
-        F.concat(F.lit(START), "text", F.lit(END)).alias("user"),
+        F.concat(F.lit(START + "\n"), "text", F.lit("\n" + END)).alias("user"),
         F.lit(t).alias("temperature"),
         F.lit(n).alias("max_tokens"),
         F.lit(r).alias("repetition_penalty"),
+        F.array(F.lit(STOP)).alias("stop"),
+        F.lit(False).alias("enable_thinking"),
     )
 
 
@@ -53,10 +59,33 @@ def with_replacement_map(prompt: Column, pairs: Column, most: int = 100) -> Colu
     return F.when(F.size(pairs) > 0, F.concat(prompt, F.lit("\n\nPREPASS REPLACEMENTS:\n"), said)).otherwise(prompt)
 
 
-def answered(requests: DataFrame, complete: Callable[[dict], str], tries: int = 2, at_once: int | None = None) -> DataFrame:
+def within(seconds: float | None, complete: Callable[[dict], str], row: dict) -> str:
+    """complete(row), or a TimeoutError after so many seconds; the call that hangs is left to itself."""
+    if seconds is None:
+        return complete(row)
+    out: queue.Queue = queue.Queue()
+
+    def call() -> None:
+        try:
+            out.put((complete(row), None))
+        except Exception as e:  # goes to the caller
+            out.put((None, e))
+
+    threading.Thread(target=call, daemon=True).start()
+    try:
+        said, error = out.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"timeout after {seconds} s") from None
+    if error:
+        raise error
+    return said
+
+
+def answered(requests: DataFrame, complete: Callable[[dict], str], tries: int = 2, at_once: int | None = None, seconds: float | None = None) -> DataFrame:
     """(doc_id, chunk_no, phase, response, error): `complete` called for each request row; a failing one gets its error.
 
-    `at_once` is the number of partitions, and so of calls under way together.
+    `at_once` is the number of partitions, and so of calls under way together;
+    `seconds` limits each call.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,7 +95,7 @@ def answered(requests: DataFrame, complete: Callable[[dict], str], tries: int =
                 response, error = None, None
                 for _ in range(tries):
                     try:
-                        response, error = complete(row), None
+                        response, error = within(seconds, complete, row), None
                         break
                     except Exception as e:  # whatever the model's client raises is this request's result
                         error = f"{type(e).__name__}: {e}"
@@ -77,6 +106,21 @@ def answered(requests: DataFrame, complete: Callable[[dict], str], tries: int =
     return spread.mapInPandas(run, "doc_id long, chunk_no int, phase string, response string, error string")
 
 
+def stored_answers(requests: DataFrame, complete: Callable[[dict], str], path: str, **options) -> DataFrame:
+    """Answers from the folder `path`, to which those of requests without a good one there are added first.
+
+    Run again after a failure, it asks only for what is missing. Of several
+    answers to a request a good one counts, else the last error by name.
+    """
+    spark = requests.sparkSession
+    schema = "doc_id long, chunk_no int, phase string, response string, error string"
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    answered(unanswered(requests, spark.read.schema(schema).parquet(path)), complete, **options).write.mode("append").parquet(path)
+    best = F.min(F.struct(F.col("error").isNotNull().alias("bad"), F.col("response"), F.col("error")))
+    rows = spark.read.schema(schema).parquet(path).groupBy("doc_id", "chunk_no", "phase").agg(best.alias("a"))
+    return rows.select("doc_id", "chunk_no", "phase", "a.response", "a.error")
+
+
 def unanswered(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """The requests without a good answer yet: what a resumed run sends."""
     done = responses.where("error is null").select("doc_id", "chunk_no", "phase")

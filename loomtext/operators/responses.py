@@ -66,11 +66,22 @@ def json_replacements(c: Column) -> Column:
     return F.coalesce(found["replacements"], F.expr("cast(array() as array<struct<find:string,replace:string,reason:string>>)"))
 
 
-def rewritten(nodes: DataFrame, responses: DataFrame, key: list[str], factor: float | None = None) -> DataFrame:
-    """nodes with the accepted text, `fixed` and `reject` (timeout, non_response, or the guards' reason).
+def worth_fixing(text: Column, least: int = 20) -> Column:
+    """Whether a node goes to the fixer: shorter ones don't."""
+    return F.length(text) >= least
+
+
+def worth_correcting(kind: Column, text: Column, over: int = 50) -> Column:
+    """Whether a chunk goes to the correction: code and chunks of little text don't."""
+    return (kind != "code") & (F.length(strip(text)) > over)
+
+
+def rewritten(nodes: DataFrame, responses: DataFrame, key: list[str], factor: float | None = None, least: int = 0) -> DataFrame:
+    """nodes with the accepted text, the `original`, `fixed` and `reject` (timeout, non_response, or the guards' reason).
 
     With `factor`, only the length counts; else the full guards. A node without a
-    good answer keeps its text.
+    good answer keeps its text. One of fewer than `least` characters was not asked
+    for: it keeps its text, and `fixed` is null.
     """
     r = responses.select(*(F.col(k).alias(f"_{k}") for k in key), "response", "error")
     on = [nodes[k] == r[f"_{k}"] for k in key]
@@ -78,8 +89,10 @@ def rewritten(nodes: DataFrame, responses: DataFrame, key: list[str], factor: fl
     out = result_part(without_thoughts(F.col("response")))
     guard = F.when(~sane_length(F.col("text"), out, factor), F.lit("growth_limit")) if factor else rewrite_reason(F.col("text"), out)
     why = F.when(F.lower("error").contains("timeout"), F.lit("timeout")).when(F.col("error").isNotNull() | F.col("response").isNull(), F.lit("non_response")).otherwise(guard)
-    j = j.withColumn("reject", why)
-    return j.select(*(c for c in nodes.columns if c != "text"), F.when(F.col("reject").isNull(), out).otherwise(F.col("text")).alias("text"), F.col("reject").isNull().alias("fixed"), "reject")
+    asked = worth_fixing(F.col("text"), least)
+    j = j.withColumn("reject", F.when(asked, why))
+    good = asked & F.col("reject").isNull()
+    return j.select(*(c for c in nodes.columns if c not in ("text", "original")), F.when(good, out).otherwise(F.col("text")).alias("text"), F.col("text").alias("original"), F.when(asked, good).alias("fixed"), "reject")
 
 
 def file_growth(nodes: DataFrame, limit: float = 0.05) -> DataFrame:
@@ -87,3 +100,12 @@ def file_growth(nodes: DataFrame, limit: float = 0.05) -> DataFrame:
     g = nodes.groupBy("doc_id").agg(F.sum(F.length("text") - F.length("original")).alias("_d"), F.sum(F.length("original")).alias("_n"))
     g = g.withColumn("file_growth_ratio", F.when(F.col("_n") > 0, F.col("_d") / F.col("_n")).otherwise(0.0))
     return g.select("doc_id", "file_growth_ratio", (F.abs("file_growth_ratio") > limit).alias("reverted"))
+
+
+def with_reverted(nodes: DataFrame, limit: float = 0.05) -> DataFrame:
+    """nodes (text, original) with the original text in all nodes of a document that file_growth sends back, and `reverted`; a window over a document's nodes."""
+    w = Window.partitionBy("doc_id")
+    change, length = F.sum(F.length("text") - F.length("original")).over(w), F.sum(F.length("original")).over(w)
+    back = F.coalesce((length > 0) & (F.abs(change / length) > limit), F.lit(False))
+    n = nodes.withColumn("reverted", back)
+    return n.withColumn("text", F.when(F.col("reverted"), F.col("original")).otherwise(F.col("text")))

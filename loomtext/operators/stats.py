@@ -41,14 +41,16 @@ def growth(pairs: DataFrame, phases: list[tuple[str, str, str]], by: list[str] =
 
 
 def fixer_stats(nodes: DataFrame) -> DataFrame:
-    """doc_id, nodes_seen, spans_fixed, spans_rejected and the rejections by reason, of rewritten nodes (fixed, reject)."""
+    """doc_id, nodes_seen, spans_total (asked for), spans_fixed, spans_rejected, the rejections by reason and file_growth_ratio, of rewritten nodes (text, original, fixed, reject)."""
     reasons = ["timeout", "non_response", "forbidden_tokens", "growth_limit", "empty_or_non_text"]
     count = lambda c: F.sum(c.cast("long"))
     return nodes.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("nodes_seen"),
-        count(F.col("fixed")).alias("spans_fixed"),
-        count(~F.col("fixed")).alias("spans_rejected"),
+        F.count("fixed").alias("spans_total"),
+        F.count_if("fixed").alias("spans_fixed"),
+        F.count_if(~F.col("fixed")).alias("spans_rejected"),
         *(count(F.coalesce(F.col("reject") == r, F.lit(False))).alias(f"rejected_{r}") for r in reasons),
+        F.when(F.sum(F.length("original")) > 0, F.sum(F.length("text") - F.length("original")) / F.sum(F.length("original"))).otherwise(0.0).alias("file_growth_ratio"),
     )
 
 

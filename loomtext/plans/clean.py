@@ -17,9 +17,10 @@ from loomtext.operators.stats import long_stats
 
 @dataclass
 class Options:
-    """What steps may take: the words de-shouting keeps, a plan for `apply`, and the validators' options."""
+    """What steps may take: the words de-shouting keeps, whether policies are on, a plan for `apply`, and the validators' options."""
 
     kept_words: list[str] = field(default_factory=list)
+    policies: bool = True
     footnotes: bool = False
     plan: DataFrame | None = None
     validators: dict = field(default_factory=dict)
@@ -54,12 +55,18 @@ def _apply(df: DataFrame, o: Options) -> DataFrame:
     return d.withColumnRenamed("replacements_applied", "apply.replacements_applied").withColumnRenamed("replacements_rejected", "apply.replacements_rejected").drop("error", "skipped")
 
 
+def _policies(df: DataFrame, o: Options) -> DataFrame:
+    if not o.policies:  # switched off: texts stay, and every document says so
+        return df.withColumn("policies.prepass_advanced_disabled", F.lit(1).cast("long"))
+    return stepped(df, "policies", text.policies(o.kept_words, o.footnotes))
+
+
 STEPS: dict[str, Callable[[DataFrame, Options], DataFrame]] = {
     "mask": mask,
     "prepass-basic": lambda df, o: stepped(_composed(df, "prepass-basic"), "prepass-basic", text.BASIC),
     "prepass-advanced": lambda df, o: stepped(df, "prepass-advanced", text.ADVANCED),
     "typography": lambda df, o: stepped(df, "typography", text.TYPOGRAPHY),
-    "policies": lambda df, o: stepped(df, "policies", text.policies(o.kept_words, o.footnotes)),
+    "policies": _policies,
     "apply": _apply,
 }
 DEFAULT = ("mask", "prepass-basic", "prepass-advanced")

@@ -176,10 +176,23 @@ def heal_hyphens(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.md5(step.change(F.col("text"))).alias("clean_md5"), step.count(F.col("text")).alias("n"))
 
 
-@query()
+#: Words and what is between them, one row for each document and place; letters of a run by the number of other places before them.
+_SPACED = f"""WITH d AS ({DOCS}), d1 AS (SELECT doc_id, text || ' and then S, p.a c e d; a b c d. Ba b c d or a b c' AS text FROM d),
+  t AS (SELECT doc_id, unnest(x) AS tok, unnest(range(len(x))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS x FROM d1)),
+  s AS (SELECT *, regexp_full_match(tok, '\\p{{L}}') AS letter, regexp_full_match(tok, ' |,| ?\\. ?') AS sep FROM t),
+  r AS (SELECT *, sum(CASE WHEN letter OR (sep AND coalesce(before, false) AND coalesce(after, false)) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run
+    FROM (SELECT *, lag(letter) OVER (PARTITION BY doc_id ORDER BY pos) AS before, lead(letter) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM s)),
+  c AS (SELECT *, letter OR (sep AND coalesce(before, false) AND coalesce(after, false)) AS inside FROM r),
+  n AS (SELECT *, count(*) FILTER (letter AND inside) OVER (PARTITION BY doc_id, run) AS letters FROM c)
+  SELECT doc_id, md5(string_agg(CASE WHEN inside AND NOT letter AND letters >= 4 THEN '' ELSE tok END, '' ORDER BY pos)) AS clean_md5,
+    (count(DISTINCT run) FILTER (inside AND letter AND letters >= 4))::INTEGER AS n FROM n GROUP BY doc_id"""
+
+
+@query(_SPACED)
 def join_spaced_letters(spark, sf_dir):
     step = text.TYPOGRAPHY[1]
-    return documents(spark, sf_dir).select("doc_id", F.md5(step.change(F.col("text"))).alias("clean_md5"), step.count(F.col("text")).alias("n"))
+    d = documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" and then S, p.a c e d; a b c d. Ba b c d or a b c")))
+    return d.select("doc_id", F.md5(step.change(F.col("text"))).alias("clean_md5"), step.count(F.col("text")).alias("n"))
 
 
 @query(f"WITH d AS ({DOCS}) SELECT doc_id, md5(regexp_replace(text, '(\\d)[ \\t\\n\\r\\f\\v]+%', '\\1%', 'g')) AS clean_md5, len(regexp_extract_all(text, '\\d[ \\t\\n\\r\\f\\v]+%'))::INTEGER AS n FROM d")
@@ -235,11 +248,12 @@ def with_spans(df: DataFrame) -> DataFrame:
     return once(df, found=spans.spans(F.col("text")))
 
 
-@query(f"WITH d AS ({DOCS}) SELECT doc_id, true AS same FROM d")
+@query(f"WITH d AS ({DOCS}) SELECT doc_id, true AS same, md5(text) AS text_md5 FROM d")
 def mask_roundtrip(spark, sf_dir):
     d = documents(spark, sf_dir).transform(with_spans)
     d = d.withColumn("masked", spans.masked(F.col("text"), F.col("found")))
-    return d.select("doc_id", (spans.unmasked(F.col("masked"), spans.mask_table(F.col("found"))) == F.col("text")).alias("same"))
+    d = d.withColumn("back", spans.unmasked(F.col("masked"), spans.mask_table(F.col("found"))))
+    return d.select("doc_id", (F.col("back") == F.col("text")).alias("same"), F.md5("back").alias("text_md5"))
 
 
 @query("SELECT page_id, true AS same FROM pages")
@@ -255,11 +269,12 @@ def span_counts(spark, sf_dir):
     return d.groupBy("lang", "s.type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH d AS ({DOCS}) SELECT doc_id, true AS covered FROM d")
+@query(f"WITH d AS ({DOCS}) SELECT doc_id, true AS covered, md5(text) AS text_md5 FROM d")
 def text_nodes_cover(spark, sf_dir):
+    """Text nodes and spans, put in order, are the text."""
     d = documents(spark, sf_dir).transform(with_spans)
-    same = spans.outside(F.col("text"), F.col("found"), lambda t: t) == F.col("text")
-    return d.select("doc_id", same.alias("covered"))
+    d = d.withColumn("whole", spans.outside(F.col("text"), F.col("found"), lambda t: t))
+    return d.select("doc_id", (F.col("whole") == F.col("text")).alias("covered"), F.md5("whole").alias("text_md5"))
 
 
 @query()
@@ -279,14 +294,16 @@ def chunks_600(spark, sf_dir):
     return chunking.chunks(documents(spark, sf_dir)).select("doc_id", "chunk_no", F.col("start").alias("start_at"), F.md5("text").alias("chunk_md5"))
 
 
-@query(f"WITH d AS ({DOCS}) SELECT doc_id, true AS lossless FROM d")
+@query(f"WITH d AS ({DOCS}) SELECT doc_id, true AS lossless, md5(text) AS text_md5 FROM d")
 def sentence_split(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", (F.array_join(chunking.sentences(F.col("text")), "") == F.col("text")).alias("lossless"))
+    d = documents(spark, sf_dir).withColumn("joined", F.array_join(chunking.sentences(F.col("text")), ""))
+    return d.select("doc_id", (F.col("joined") == F.col("text")).alias("lossless"), F.md5("joined").alias("text_md5"))
 
 
-@query(f"WITH d AS ({DOCS}) SELECT doc_id, true AS lossless FROM d")
+@query(f"WITH d AS ({DOCS}) SELECT doc_id, true AS lossless, md5(text) AS text_md5 FROM d")
 def split_long_nodes(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", (F.array_join(chunking.split_long(F.col("text"), 300), "") == F.col("text")).alias("lossless"))
+    d = documents(spark, sf_dir).withColumn("joined", F.array_join(chunking.split_long(F.col("text"), 300), ""))
+    return d.select("doc_id", (F.col("joined") == F.col("text")).alias("lossless"), F.md5("joined").alias("text_md5"))
 
 
 @query()
@@ -480,10 +497,11 @@ def plan_merge(spark, sf_dir):
     return detect.merged([one, two, plan(spark, sf_dir)]).select("doc_id", "find", "replace")
 
 
-@query("SELECT 0::BIGINT AS doc_id, '' AS find, '' AS replace, '' AS side WHERE false")
+@query(f"{WITH_PLAN} SELECT DISTINCT doc_id, find, replace, 'right' AS side FROM p WHERE find <> replace AND reason = 'CASE_GLITCH' AND doc_id % 3 = 0")
 def plan_order_independent(spark, sf_dir):
+    """Two rules in either order give the same pairs; of the first order a third of the documents' capitals are left out, and these are the difference."""
     d = documents(spark, sf_dir)
-    forward = plan(spark, sf_dir)
+    forward = plan(spark, sf_dir).where("not (reason = 'CASE_GLITCH' and doc_id % 3 = 0)")
     backward = detect.detect(d, ["doc_id"], [RULES[1]]).unionByName(detect.detect(d, ["doc_id"], [RULES[0]]))
     return detect.same_pairs(forward, backward)
 
@@ -525,9 +543,10 @@ def apply_all(spark, sf_dir):
     return apply.apply_report(_nodes(spark, sf_dir), detect.first_of_each(plan(spark, sf_dir), ["item_no"]))
 
 
-@query(f"{WITH_PLAN} SELECT doc_id, find FROM p WHERE false")
+@query(f"{WITH_PLAN} SELECT DISTINCT doc_id, find || ' not there' AS find FROM p WHERE find <> replace AND doc_id % 2 = 0")
 def plan_no_match(spark, sf_dir):
     p = detect.first_of_each(plan(spark, sf_dir), ["item_no"])
+    p = p.unionByName(p.where("doc_id % 2 = 0").withColumn("find", F.concat("find", F.lit(" not there"))).dropDuplicates(["doc_id", "find"]))
     return apply.no_match(p, apply.all_matches(_nodes(spark, sf_dir), p)).select("doc_id", "find")
 
 
@@ -591,16 +610,17 @@ PROMPTS = {"detector": "Find and fix text problems.", "grammar": "Fix grammar an
 _CHUNKS = "k AS (SELECT doc_id, k::INTEGER AS chunk_no, substr(text, (k * 600 + 1)::BIGINT, 600) AS t FROM (SELECT doc_id, text, unnest(range((length(text) + 599) // 600)) AS k FROM d))"
 
 
-def _requests(spark, sf_dir):
+def _requests(spark, sf_dir, least: int = 0):
     prompts = files.read_prompts(spark, None, PROMPTS)
-    return requests.requests(chunking.chunks(documents(spark, sf_dir)), prompts, "detect", "detector")
+    chunks = chunking.chunks(documents(spark, sf_dir))
+    return requests.requests(chunks.where(responses.worth_fixing(F.col("text"), least)) if least else chunks, prompts, "detect", "detector")
 
 
 @query(
     f"""WITH d AS ({DOCS}), p AS ({PLAN}), {_CHUNKS}, l AS (SELECT doc_id, '- "' || find || '" → "' || replace || '" (reason: ' || reason || ')' AS line, item_no, row_number() OVER (PARTITION BY doc_id ORDER BY item_no) AS n FROM p WHERE find <> replace),
     h AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY item_no) AS hints FROM l WHERE n <= 20 GROUP BY doc_id)
     SELECT doc_id, chunk_no, md5('{PROMPTS["detector"]}' || CASE WHEN hints IS NULL THEN '' ELSE chr(10) || chr(10) || 'DETECTED TTS PROBLEMS TO FIX:' || chr(10) || hints || chr(10) || chr(10) || '{requests.TRAILER.strip()}' END) AS system_md5,
-      md5('<TEXT_TO_CORRECT>' || t || '</TEXT_TO_CORRECT>') AS user_md5 FROM k LEFT JOIN h USING (doc_id) WHERE regexp_matches(t, '[^\\s]')"""
+      md5('<TEXT_TO_CORRECT>' || chr(10) || t || chr(10) || '</TEXT_TO_CORRECT>') AS user_md5 FROM k LEFT JOIN h USING (doc_id) WHERE regexp_matches(t, '[^\\s]')"""
 )
 def requests_with_hints(spark, sf_dir):
     r = requests.with_hints(_requests(spark, sf_dir), plan(spark, sf_dir))
@@ -611,12 +631,12 @@ def echo(row: dict) -> str:
     """A stand-in for a model: the start of the request in result tags; it fails on a few."""
     if row["chunk_no"] % 7 == 6:
         raise TimeoutError("timeout")
-    return f"<think>hm</think> <RESULT>{row['user'][17:47]}</RESULT>"
+    return f"<think>hm</think> <RESULT>{row['user'][18:48]}</RESULT>"
 
 
 @query(
     f"""WITH d AS ({DOCS}), {_CHUNKS} SELECT doc_id, chunk_no, 'detect' AS phase, CASE WHEN chunk_no % 7 = 6 THEN 'TimeoutError: timeout' END AS error,
-    CASE WHEN chunk_no % 7 < 6 THEN md5('<think>hm</think> <RESULT>' || substr(t || '</TEXT_TO_CORRECT>', 1, 30) || '</RESULT>') END AS response_md5 FROM k WHERE regexp_matches(t, '[^\\s]')"""
+    CASE WHEN chunk_no % 7 < 6 THEN md5('<think>hm</think> <RESULT>' || substr(t || chr(10) || '</TEXT_TO_CORRECT>', 1, 30) || '</RESULT>') END AS response_md5 FROM k WHERE regexp_matches(t, '[^\\s]')"""
 )
 def batch_infer(spark, sf_dir):
     r = requests.answered(_requests(spark, sf_dir), echo, tries=1)
@@ -679,11 +699,37 @@ def extract_sentinels(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.md5(responses.between_sentinels(said)).alias("inner_md5"))
 
 
-@query()
-def rewrite_nodes(spark, sf_dir):
+_STRIPPED = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+#: The stand-in's answers to chunks of twenty characters or more, and what the guards say to them.
+_REWRITES = f"""WITH d AS ({DOCS}), {_CHUNKS}, q AS (SELECT doc_id, chunk_no, t, length(t) >= 20 AS asked, {_STRIPPED("substr(t || chr(10) || '</TEXT_TO_CORRECT>', 1, 30)")} AS out FROM k WHERE regexp_matches(t, '[^\\s]')),
+  w AS (SELECT *, CASE WHEN NOT asked THEN NULL WHEN chunk_no % 7 = 6 THEN 'timeout' WHEN length(out) = 0 THEN 'empty_or_non_text'
+    WHEN len(regexp_extract_all(out, '{_FORBID}')) > len(regexp_extract_all(t, '{_FORBID}')) THEN 'forbidden_tokens'
+    WHEN length(out) > length({_STRIPPED("t")}) * 1.2::DOUBLE OR length(out) < length({_STRIPPED("t")}) * 0.5::DOUBLE THEN 'growth_limit' END AS reject FROM q),
+  f AS (SELECT *, CASE WHEN asked AND reject IS NULL THEN out ELSE t END AS new FROM w)"""
+
+
+def _rewritten(spark, sf_dir):
     nodes = chunking.chunks(documents(spark, sf_dir)).select("doc_id", "chunk_no", "text")
-    said = requests.answered(_requests(spark, sf_dir), echo, tries=1).select("doc_id", "chunk_no", "response", "error")
-    return stats.fixer_stats(responses.rewritten(nodes, said, ["doc_id", "chunk_no"]))
+    asked = _requests(spark, sf_dir, least=20)
+    said = requests.answered(asked, echo, tries=1).select("doc_id", "chunk_no", "response", "error")
+    return responses.rewritten(nodes, said, ["doc_id", "chunk_no"], least=20)
+
+
+@query(
+    f"""{_REWRITES} SELECT doc_id, count(*) AS nodes_seen, count(*) FILTER (asked) AS spans_total, count(*) FILTER (asked AND reject IS NULL) AS spans_fixed, count(*) FILTER (reject IS NOT NULL) AS spans_rejected,
+    """ + ", ".join(f"count(*) FILTER (reject = '{r}') AS rejected_{r}" for r in ("timeout", "non_response", "forbidden_tokens", "growth_limit", "empty_or_non_text")) + """,
+    sum(length(new) - length(t)) / sum(length(t)) AS file_growth_ratio FROM f GROUP BY doc_id"""
+)
+def rewrite_nodes(spark, sf_dir):
+    return stats.fixer_stats(_rewritten(spark, sf_dir))
+
+
+@query(
+    f"""{_REWRITES}, b AS (SELECT doc_id, abs(sum(length(new) - length(t)) / sum(length(t))) > 0.05::DOUBLE AS reverted FROM f GROUP BY doc_id)
+    SELECT doc_id, chunk_no, reverted, md5(CASE WHEN reverted THEN t ELSE new END) AS text_md5 FROM f JOIN b USING (doc_id)"""
+)
+def reverted_documents(spark, sf_dir):
+    return responses.with_reverted(_rewritten(spark, sf_dir)).select("doc_id", "chunk_no", "reverted", F.md5("text").alias("text_md5"))
 
 
 # Evaluation
@@ -709,9 +755,32 @@ def changed_lines(spark, sf_dir):
     return evaluate.changed_lines(_sides(spark, sf_dir))
 
 
-@query()
+#: A line's similarity in both engines: characters beyond ASCII count as one sign each.
+_ASCII = lambda c: f"regexp_replace({c}, '[^\\x00-\\x7F]', '?', 'g')"
+_METRICS = f"""{WITH}, {_LINES}, m AS (SELECT doc_id, o, e, CASE WHEN o = e THEN 1.0::DOUBLE WHEN o IS NOT NULL AND e IS NOT NULL THEN 1 - levenshtein({_ASCII('o')}, {_ASCII('e')}) / greatest(length(o), length(e)) END AS s FROM l),
+  k AS (SELECT doc_id, list_filter(o, lambda x: contains(x, '!') OR contains(x, '.')) AS o, list_filter(e, lambda x: contains(x, '!') OR contains(x, '.')) AS e FROM a),
+  j AS (SELECT doc_id, o[k + 1] AS o, e[k + 1] AS e FROM (SELECT *, unnest(range(greatest(len(o), len(e)))) AS k FROM k)),
+  n AS (SELECT doc_id, count(*) FILTER (s > 0.8::DOUBLE) / count(*) AS content FROM (SELECT doc_id, CASE WHEN o = e THEN 1.0::DOUBLE WHEN o IS NOT NULL AND e IS NOT NULL THEN 1 - levenshtein({_ASCII('o')}, {_ASCII('e')}) / greatest(length(o), length(e)) END AS s FROM j) GROUP BY doc_id),
+  g AS (SELECT doc_id, count(*) AS total, count(*) FILTER (o = e) / count(*) AS exact, count(*) FILTER (s > 0.9::DOUBLE) / count(*) AS fuzzy, round(avg(s), 9) AS similarity, count(*) FILTER (o IS DISTINCT FROM e) AS differing FROM m GROUP BY doc_id)
+  SELECT g.*, coalesce(content, 0::DOUBLE) AS content, greatest(fuzzy, coalesce(content, 0::DOUBLE)) AS headline FROM g LEFT JOIN n USING (doc_id)"""
+
+
+@query(_METRICS)
 def line_metrics(spark, sf_dir):
-    return evaluate.line_metrics(_sides(spark, sf_dir))
+    p = pairs(spark, sf_dir)
+    sign = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "?")
+    content = evaluate.aligned_lines(p.select("doc_id", "text"), p.select("doc_id", F.col("original").alias("text")), lambda x: x.contains("!") | x.contains("."))
+    m = evaluate.line_metrics(_sides(spark, sf_dir), content, similarity=lambda a, b: evaluate.edit_similarity(sign(a), sign(b)))
+    return m.withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"{WITH} SELECT doc_id, round(1 - levenshtein({_ASCII('o')}, {_ASCII('e')}) / greatest(length(o), length(e), 1), 9) AS similarity FROM (SELECT doc_id, " + ", ".join(f"regexp_replace(replace(replace(substr({c}, greatest(length({c}) - 299, 1)), chr(10), ' '), '  ', ' '), '^\\s+|\\s+$', '', 'g') AS {n}" for c, n in (("a2", "o"), ("text", "e"))) + " FROM c)")
+def text_similarity(spark, sf_dir):
+    """Whole-text similarity of the last 300 characters, which hold most edits: the distance is quadratic."""
+    sign = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "?")
+    end = lambda c: F.expr(f"substring({c}, greatest(length({c}) - 299, 1))")
+    s = evaluate.text_similarity(sign(end("text")), sign(end("original")))
+    return pairs(spark, sf_dir).select("doc_id", F.round(s, 9).alias("similarity"))
 
 
 @query()
@@ -835,11 +904,8 @@ def stream_stats(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts")
     rows = s.join(events, "doc_id")
     rows.write.parquet(source)
-    sums = incremental.running_stats(incremental.arriving(spark, source, rows.schema), "3650 days")
-    name = f"sums_{state[-32:]}"
-    q = sums.writeStream.format("memory").queryName(name).option("checkpointLocation", state).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    sums = incremental.running_stats(incremental.arriving(spark, source, rows.schema), "1 day")
+    return incremental.last_sums(sums, _folder(spark, "sums"), state)
 
 
 # Whole pipeline, guards and files
@@ -934,6 +1000,114 @@ def stats_roundtrip(spark, sf_dir):
     return files.read_stats(spark, out)
 
 
+@query(f"WITH d AS ({DOCS}) SELECT doc_id // 100 AS file, count(*) AS docs, md5(string_agg(text, chr(10) ORDER BY doc_id) || chr(10)) AS text_md5 FROM d GROUP BY file")
+def texts_scanned(spark, sf_dir):
+    """Texts written as files, a hundred documents in each, and scanned again as whole files."""
+    out = _folder(spark, "texts")
+    own = documents(spark, sf_dir).groupBy(F.expr("doc_id div 100").alias("file")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"), F.count(F.lit(1)).alias("docs"))
+    own.select("file", "docs", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("value")).write.partitionBy("file", "docs").text(out)
+    number = lambda name: F.regexp_extract("path", f"{name}=([0-9]+)", 1).cast("long").alias(name)
+    return files.read_texts(spark, f"{out}/file=*/docs=*/*.txt").select(number("file"), number("docs"), F.md5("text").alias("text_md5"))
+
+
+@query(f"{WITH_PLAN}, q AS (SELECT doc_id % 20 AS file, find, replace, reason FROM p WHERE find <> replace) SELECT file, count(*) AS n, count(DISTINCT find) AS finds, sum(length(replace))::BIGINT AS chars FROM q GROUP BY file")
+def plan_files(spark, sf_dir):
+    """Plans written as JSON arrays, a file for each group of documents, and scanned again."""
+    out = _folder(spark, "plans")
+    item = F.struct("doc_id", "item_no", "find", "replace", "reason")
+    items = plan(spark, sf_dir).groupBy((F.col("doc_id") % 20).alias("file")).agg(F.array_sort(F.collect_list(item)).alias("i"))
+    told = items.select("file", F.to_json(F.transform("i", lambda x: F.struct(x["find"].alias("find"), x["replace"].alias("replace"), x["reason"].alias("reason")))).alias("value"))
+    told.write.partitionBy("file").text(out)
+    read = files.read_plan(spark, f"{out}/file=*/*.txt").withColumn("file", F.regexp_extract("path", "file=([0-9]+)", 1).cast("long"))
+    return read.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("find").alias("finds"), F.sum(F.length("replace")).cast("long").alias("chars"))
+
+
+@query(f"{_RUNS} SELECT run_no - 1 AS run_no, source AS variant, round(similarity, 9) AS similarity, strftime(to_timestamp(run_no * 3600), '%Y%m%d_%H%M%S') AS stamp FROM runs")
+def run_history(spark, sf_dir):
+    """Runs written as two histories and scanned again: numbered through both."""
+    out = _folder(spark, "history")
+    runs = _runs(spark, sf_dir).select("run_no", F.date_format("ts", "yyyyMMdd_HHmmss").alias("timestamp"), F.col("source").alias("variant"), "similarity")
+    half = (F.col("run_no") > 5).cast("int")
+    own = runs.groupBy(half.alias("file")).agg(F.array_sort(F.collect_list(F.struct("run_no", "timestamp", "variant", "similarity"))).alias("results"))
+    own.select("file", F.to_json(F.struct("results")).alias("value")).write.partitionBy("file").text(out)
+    read = files.read_runs(spark, f"{out}/file=*/*.txt")
+    return read.select("run_no", "variant", F.round("similarity", 9).alias("similarity"), F.date_format("ts", "yyyyMMdd_HHmmss").alias("stamp"))
+
+
+@query(
+    f"""WITH d AS ({DOCS}), w AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{4,}}') AND w NOT IN ('NASA', 'BLUH')) AS x, text FROM d)
+    SELECT doc_id, len(x)::INTEGER AS n, md5(list_reduce(list_concat([text], list_distinct(x)), lambda t, w: regexp_replace(regexp_replace(t, '(^|[^\\p{{L}}\\p{{N}}_])' || w || '($|[^\\p{{L}}\\p{{N}}_])', '\\1' || lower(w) || '\\2', 'g'),
+      '(^|[^\\p{{L}}\\p{{N}}_])' || w || '($|[^\\p{{L}}\\p{{N}}_])', '\\1' || lower(w) || '\\2', 'g'))) AS quiet_md5 FROM w"""
+)
+def deshout_lexicon(spark, sf_dir):
+    """The kept words come from a lexicon file; the new text is compared."""
+    out = _folder(spark, "lexicon")
+    spark.createDataFrame([(w,) for w in KEPT], "value string").write.text(out)
+    kept = text.kept_words(files.read_lexicon(spark, out, "acronym"))
+    c = F.col("text")
+    return documents(spark, sf_dir).select("doc_id", text.shouts(c, kept).alias("n"), F.md5(text.deshout(c, kept)).alias("quiet_md5"))
+
+
+@query(f"{WITH_PLAN} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY item_no) - 1)::INTEGER AS item_no, find, replace, reason FROM p WHERE find <> replace")
+def parse_json_object(spark, sf_dir):
+    item = F.struct("find", "replace", "reason")
+    said = plan(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item_no", item.alias("i")))).alias("i"))
+    answer = F.concat(F.lit("Well: "), F.to_json(F.struct(F.transform("i", lambda x: x["i"]).alias("replacements"))), F.lit(" done"))
+    return said.select("doc_id", F.posexplode(responses.json_replacements(answer)).alias("item_no", "i")).select("doc_id", "item_no", "i.find", "i.replace", "i.reason")
+
+
+@query(f"WITH d AS ({DOCS}) SELECT doc_id, md5(text) AS text_md5, 1::BIGINT AS disabled FROM d")
+def policies_disabled(spark, sf_dir):
+    out = clean.cleaned(documents(spark, sf_dir), ("policies",), clean.Options(policies=False))
+    return out.select("doc_id", F.md5("text").alias("text_md5"), F.col("`policies.prepass_advanced_disabled`").alias("disabled"))
+
+
+@query(
+    f"""WITH d AS ({DOCS}), {_CHUNKS} SELECT length(t) >= 20 AS fixed, length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) > 50 AS corrected, count(*) AS n, sum(length(t))::BIGINT AS chars FROM k WHERE regexp_matches(t, '[^\\s]') GROUP BY ALL"""
+)
+def short_nodes(spark, sf_dir):
+    c = chunking.chunks(documents(spark, sf_dir))
+    c = c.select("text", responses.worth_fixing(F.col("text")).alias("fixed"), responses.worth_correcting(F.lit("text"), F.col("text")).alias("corrected"))
+    return c.groupBy("fixed", "corrected").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+def patient(row: dict) -> str:
+    """The stand-in that answers all; asked only for what the other one left."""
+    if row["chunk_no"] % 7 != 6:
+        raise ValueError("asked again")
+    return "late"
+
+
+@query(
+    f"""WITH d AS ({DOCS}), {_CHUNKS} SELECT doc_id, chunk_no, NULL::VARCHAR AS error,
+    CASE WHEN chunk_no % 7 < 6 THEN md5('<think>hm</think> <RESULT>' || substr(t || chr(10) || '</TEXT_TO_CORRECT>', 1, 30) || '</RESULT>') ELSE md5('late') END AS response_md5 FROM k WHERE regexp_matches(t, '[^\\s]')"""
+)
+def stored_answers(spark, sf_dir):
+    """Answers in files: a second run asks only for what the first one left."""
+    out, asked = _folder(spark, "answers"), _requests(spark, sf_dir)
+    requests.stored_answers(asked, echo, out, tries=1)
+    return requests.stored_answers(asked, patient, out, tries=1, seconds=60.0).select("doc_id", "chunk_no", "error", F.md5("response").alias("response_md5"))
+
+
+_RULE_NAMES = "CASE WHEN reason = 'SIMPLE_PUNCT' THEN 'COMMA_RULE' WHEN length(find) > 6 THEN 'UPPERCASE_SENTENCE_START' WHEN length(find) > 4 THEN 'WHITESPACE_RULE' ELSE 'OTHER' END"
+
+
+@query(f"{WITH_PLAN} SELECT category, count(*) AS n FROM (SELECT CASE {_RULE_NAMES} WHEN 'COMMA_RULE' THEN 'PUNCTUATION' WHEN 'UPPERCASE_SENTENCE_START' THEN 'CASING' WHEN 'WHITESPACE_RULE' THEN 'SPACING' END AS category FROM p WHERE find <> replace) GROUP BY category")
+def rule_categories(spark, sf_dir):
+    p = plan(spark, sf_dir).withColumn("rule", F.expr(_RULE_NAMES))
+    return p.groupBy(apply.rule_category(F.col("rule")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{WITH_PLAN} SELECT doc_id, count(DISTINCT find)::INTEGER AS words, arg_min(find, item_no) AS first_word FROM p WHERE find <> replace GROUP BY doc_id")
+def report_files(spark, sf_dir):
+    """Reports written to files and loaded again."""
+    chunks = _byte_ranges(spark, sf_dir).withColumn("source", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
+    out = _folder(spark, "reports")
+    files.write_reports(files.report(chunks, plan(spark, sf_dir).withColumn("chunk_no", F.lit(0))), out)
+    w = F.col("report.summary.unique_problem_words")
+    return files.read_reports(spark, out).where(F.size(w) > 0).select("doc_id", F.size(w).alias("words"), w[0].alias("first_word"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 PLAN = "find string, replace string, reason string"
 REPORT = (
@@ -60,10 +61,14 @@ def read_lexicon(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """(run_no, ts, variant, similarity, ...): the results of run histories, in order; time stamps of both shapes."""
+    """(run_no, ts, variant, similarity, ...): the results of run histories, numbered through all files in the order of their paths; time stamps of both shapes.
+
+    One task numbers the runs: they are experiments, a row each.
+    """
     item = f"struct<{', '.join(f.replace(' ', ':', 1) for f in RUN.split(', '))}>"
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<results:array<{item}>>").alias("h"))
-    rows = whole.select(F.posexplode("h.results").alias("run_no", "r")).select("run_no", "r.*")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", f"struct<results:array<{item}>>").alias("h"))
+    rows = whole.select("path", F.posexplode("h.results").alias("pos", "r"))
+    rows = rows.select((F.row_number().over(Window.orderBy("path", "pos")) - 1).alias("run_no"), "r.*")
     ts = F.coalesce(F.try_to_timestamp("timestamp", F.lit("yyyyMMdd_HHmmss")), F.try_to_timestamp("timestamp"))
     return rows.withColumn("ts", ts).drop("timestamp")
 
@@ -87,6 +92,17 @@ def report(chunks: DataFrame, items: DataFrame, source: str = "source") -> DataF
     return rows.select("doc_id", F.to_json(F.struct(F.col(source).alias("source"), F.lit(None).cast("string").alias("created_at"), "chunks", said.alias("summary"))).alias("report"))
 
 
+def write_reports(reports: DataFrame, path: str) -> None:
+    """Reports (doc_id, report) as files of one JSON object for each line, with the document's id beside it."""
+    reports.select(F.to_json(F.struct("doc_id", parsed_report(F.col("report")).alias("report"))).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, report as a struct) of files from write_reports."""
+    row = "doc_id long, report struct<" + REPORT.replace(" string", ":string", 2).replace("chunks array", "chunks:array").replace("summary struct", "summary:struct") + ">"
+    return spark.read.schema(row).json(path)
+
+
 def parsed_report(report: Column) -> Column:
     """A report's JSON as a struct."""
     return F.from_json(report, REPORT)

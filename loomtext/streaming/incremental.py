@@ -34,6 +34,22 @@ def running_stats(stats: DataFrame, lateness: str = "1 hour", width: str = "1 ho
     return stats.withWatermark("ts", lateness).groupBy(w, "step", "key").agg(F.sum("value").alias("total")).select(F.col("window.start").alias("hour"), "step", "key", "total")
 
 
+def last_sums(stats: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream of running sums over what there is, in update mode: every batch's changed sums go to files of its own; the table of each sum's last value.
+
+    A batch that runs again overwrites its own files. Nothing goes to the driver, and
+    state is kept as long as the sums' watermark says.
+    """
+    by = [c for c in stats.columns if c != "total"]
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stats.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*stats.schema.fields, T.StructField("batch", T.LongType())])
+    return stats.sparkSession.read.schema(schema).parquet(path).groupBy(*by).agg(F.max_by("total", "batch").alias("total"))
+
+
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what there is into a table in memory, for small results."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

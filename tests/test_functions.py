@@ -52,6 +52,23 @@ def test_policies(spark, key, before, after):
     assert one(spark, after, step.change) == after
 
 
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ("a b c d. Ba b c d", "abcd. Ba b c d"),
+        ("x a b c d y", "xabcdy"),
+        ("S. p. a. c e d, n,o,w", "Spaced, n,o,w"),
+        ("a b c", "a b c"),
+        ("", ""),
+        (None, None),
+        ("é ü ö ß x1", "éüöß x1"),
+        ("w o r d\nw o r d", "word\nword"),
+    ],
+)
+def test_letters_are_joined_where_they_stand(spark, before, after):
+    assert one(spark, before, text.join_spaced) == after
+
+
 def test_nfc(spark):
     assert one(spark, "café", text.nfc) == "café"
     assert one(spark, None, text.nfc) is None

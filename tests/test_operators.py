@@ -187,7 +187,8 @@ def test_requests_answers_and_resume(spark):
     prompts = files.read_prompts(spark, None, {"detector": "Find."})
     chunks = chunking.chunks(docs(spark, "one", "two"))
     r = requests.requests(chunks, prompts, "detect", "detector")
-    assert r.where("doc_id = 0").first()["user"] == "<TEXT_TO_CORRECT>one</TEXT_TO_CORRECT>"
+    assert r.where("doc_id = 0").first()["user"] == "<TEXT_TO_CORRECT>\none\n</TEXT_TO_CORRECT>"
+    assert r.where("doc_id = 0").first()["stop"] == ["</RESULT>"]
     hinted = requests.with_hints(r, plan(spark, *((0, k, f"f{k}", "r") for k in range(30))))
     system = hinted.where("doc_id = 0").first()["system"]
     assert system.count('- "f') == 20 and '- "f0" → "r" (reason: x)' in system
@@ -253,7 +254,18 @@ def test_evaluation(spark):
     assert (acc["same"], acc["total"], acc["accuracy"]) == (2, 4, 0.5)
     assert sorted((r["line_no"], r["sign"], r["line"]) for r in evaluate.changed_lines(pairs).collect()) == [(1, "+", "b"), (1, "-", "x"), (3, "-", "d")]
     m = evaluate.line_metrics(pairs).first()
-    assert m["differing"] == 2 and m["exact"] == pytest.approx(2 / 3)
+    # Shares of the longer side's lines: three of the output, four of the expected text.
+    assert (m["total"], m["differing"], m["exact"], m["fuzzy"], m["content"], m["headline"]) == (4, 2, 0.5, 0.5, 0.0, 0.5)
+    near = "a line of text that is long enough"
+    one, two = docs(spark, f"> {near}s\nplain\n> b"), docs(spark, f"other\n> {near}\n> quite another")
+    pairs, quoted = evaluate.aligned_lines(one, two), evaluate.aligned_lines(one, two, lambda x: x.startswith(">"))
+    for similarity in (evaluate.edit_similarity, evaluate.matching_ratio):
+        m = evaluate.line_metrics(pairs, quoted, similarity=similarity).first()
+        assert (m["total"], m["exact"], m["fuzzy"], m["content"], m["headline"]) == (3, 0.0, 0.0, 0.5, 0.5)
+    t = spark.createDataFrame([("a\nb  c ", "a b c"), ("abcd", "abxd"), ("", "")], "a string, b string").select(evaluate.text_similarity(F.col("a"), F.col("b")))
+    assert [r[0] for r in t.collect()] == [1.0, 0.75, 1.0]
+    with pytest.raises(ValueError, match="variants"):
+        evaluate.variants(docs(spark, "a"), spark.range(5), most=4)
     r = spark.createDataFrame([("hello world", "hallo wörld")], "a string, b string").select(evaluate.matching_ratio("a", "b")).first()[0]
     assert r == difflib.SequenceMatcher(None, "hello world", "hallo wörld").ratio()
     runs = spark.createDataFrame([(0, 10, "a", 0.5), (1, 20, "b", None), (2, 30, "a", 0.9), (3, 40, "b", 0.9)], "run_no int, ts long, variant string, similarity double").withColumn("ts", F.timestamp_seconds("ts"))
@@ -285,6 +297,10 @@ def test_files(spark, tmp_path):
     runs = files.read_runs(spark, str(tmp_path / "runs.json"))
     assert [str(r["ts"]) for r in runs.orderBy("run_no").collect()] == ["2025-10-12 01:48:25", "2025-10-24 21:52:46"]
     assert evaluate.best_run(runs).first()["variant"] == "v2"
+    (tmp_path / "runs2.json").write_text('{"results": [{"timestamp": "20251101_000000", "variant": "v3", "similarity": 53.37}]}')
+    both = files.read_runs(spark, str(tmp_path / "runs*.json"))
+    assert [(r["run_no"], r["variant"]) for r in both.orderBy("run_no").collect()] == [(0, "v1"), (1, "v2"), (2, "v3")]
+    assert evaluate.best_run(both).first()["variant"] == "v2"
 
 
 def test_stream_resumes_and_equals_batch(spark, tmp_path):
@@ -319,3 +335,61 @@ def test_json_answers_of_any_length(spark, tmp_path):
     get = lambda f: sorted((r["doc_id"], r["item_no"], r["find"], r["replace"]) for r in f(spark, str(tmp_path)).collect())
     assert len(want) > 40 and get(queries.parse_json_whole) == want
     assert get(queries.parse_json) == [r for r in want if r[1] < 10]
+
+
+def test_dictionaries_of_any_size_give_the_same(spark):
+    d = docs(spark, "the cat sat", "the cat sat", "a dog", "", None, "öx the").withColumn("doc_id", F.when(F.col("doc_id") < 2, 7).otherwise(F.col("doc_id")))
+    entries = [(0, "the"), (1, "cat sat"), (2, "a"), (3, "dog"), (4, "ö"), (5, "ox"), (6, "öx"), (7, "zzzz"), (8, ""), (9, "the ")]
+    e = spark.createDataFrame([(n, f, "r", "x") for n, f in entries], "item_no int, find string, replace string, reason string")
+    small, large = (sorted(map(tuple, apply.dictionary_hits(d, e, most).collect())) for most in (100, 1))
+    assert small == large and len(small) == 2 * 4 + 2 + 3 and [r[:2] for r in small if r[0] == 2] == [(2, 2), (2, 3)]
+
+
+def test_rules_have_categories(spark):
+    rules = [("MORFOLOGIK_RULE_EN", "x"), ("WHITESPACE_RULE", None), ("COMMA_RULE", "x"), ("UPPERCASE_SENTENCE_START", "x"), ("UNKNOWN_RULE", "Unknown"), ("X", "Possible Spelling Mistake"), ("Y", "Casing")]
+    d = spark.createDataFrame(rules, "rule string, kind string").select(apply.rule_category(F.col("rule"), F.col("kind")))
+    assert [r[0] for r in d.collect()] == ["TYPOS", "SPACING", "PUNCTUATION", "CASING", None, "TYPOS", "CASING"]
+
+
+def test_short_nodes_and_reverted_documents(spark):
+    nodes = spark.createDataFrame([(1, 0, "x" * 100), (1, 1, "short"), (2, 0, "y" * 100), (2, 1, "z" * 400)], "doc_id long, chunk_no int, text string")
+    answers = [(1, 0, "x" * 110, None), (1, 1, "longer than before", None), (2, 0, "y" * 103, None), (2, 1, None, "TimeoutError: timeout")]
+    said = spark.createDataFrame(answers, "doc_id long, chunk_no int, response string, error string")
+    done = responses.rewritten(nodes, said, ["doc_id", "chunk_no"], least=20)
+    got = {(r["doc_id"], r["chunk_no"]): (len(r["text"]), r["fixed"], r["reject"]) for r in done.collect()}
+    assert got == {(1, 0): (110, True, None), (1, 1): (5, None, None), (2, 0): (103, True, None), (2, 1): (400, False, "timeout")}
+    back = {(r["doc_id"], r["chunk_no"]): (len(r["text"]), r["reverted"]) for r in responses.with_reverted(done).collect()}
+    assert back == {(1, 0): (100, True), (1, 1): (5, True), (2, 0): (103, False), (2, 1): (400, False)}
+    s = {r["doc_id"]: r for r in stats.fixer_stats(done).collect()}
+    assert (s[1]["nodes_seen"], s[1]["spans_total"], s[1]["spans_fixed"], s[1]["file_growth_ratio"]) == (2, 1, 1, 10 / 105)
+    assert (s[2]["spans_total"], s[2]["spans_rejected"], s[2]["rejected_timeout"], s[2]["file_growth_ratio"]) == (2, 1, 1, 3 / 500)
+    kinds = spark.createDataFrame([("text", "a" * 51), ("text", " " * 9 + "a" * 50), ("code", "a" * 90)], "k string, t string")
+    assert [r[0] for r in kinds.select(responses.worth_correcting(F.col("k"), F.col("t"))).collect()] == [True, False, False]
+
+
+def test_calls_have_a_time_limit_and_answers_stay(spark, tmp_path):
+    def slow(row):
+        import time
+
+        time.sleep(30 if row["chunk_no"] == 1 else 0)
+        return f"said {row['chunk_no']}"
+
+    asked = spark.createDataFrame([(1, n, "detect", "s", "u") for n in range(3)], "doc_id long, chunk_no int, phase string, system string, user string")
+    got = requests.stored_answers(asked, slow, str(tmp_path / "a"), tries=1, seconds=2.0)
+    assert {(r["chunk_no"], r["response"], r["error"]) for r in got.collect()} == {(0, "said 0", None), (1, None, "TimeoutError: timeout after 2.0 s"), (2, "said 2", None)}
+    again = requests.stored_answers(asked, lambda row: "late", str(tmp_path / "a"), tries=1)
+    assert {(r["chunk_no"], r["response"], r["error"]) for r in again.collect()} == {(0, "said 0", None), (1, "late", None), (2, "said 2", None)}
+
+
+def test_policies_switched_off(spark):
+    out, s = clean.clean(docs(spark, "LOUD words!!!"), ("policies",), clean.Options(policies=False))
+    assert out.first()["text"] == "LOUD words!!!" and [tuple(r) for r in s.collect()] == [(0, "policies", "prepass_advanced_disabled", 1)]
+
+
+def test_lexicons_are_bounded(spark):
+    from loomtext.functions import text
+
+    d = spark.createDataFrame([("NASA",), ("BLUH",), ("NASA",), (None,)], "word string")
+    assert text.kept_words(d) == ["BLUH", "NASA"]
+    with pytest.raises(ValueError, match="lexicon"):
+        text.kept_words(d, most=1)
