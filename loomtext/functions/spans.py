@@ -76,14 +76,19 @@ def sentinel(n: Column) -> Column:
 
 
 def stitched(text: Column, found: Column, part: Callable[[Column, Column], Column]) -> Column:
-    """The text with span n replaced by part(n, span)."""
+    """The text with span n replaced by part(n, span): gaps and parts as an array, joined once."""
+
+    def pieces(spans: Column) -> Column:
+        each = F.transform(spans, lambda s, k: F.concat(F.substring(text, before(spans, k) + 1, s["start"] - before(spans, k)), part(k, s)))
+        return F.array_join(F.concat(each, F.array(F.substring(text, before(spans, F.size(spans)) + 1, F.length(text)))), "")
+
+    # Spans are worked out once, as a variable of this one-element transformation.
+    return F.when(F.size(found) == 0, text).otherwise(F.transform(F.array(found), pieces)[0])
 
-    def add(state: Column, x: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, x["s"]["start"] - state["at"])
-        return F.struct(x["s"]["end"].alias("at"), F.concat(state["out"], gap, part(x["k"], x["s"])).alias("out"))
 
-    numbered = F.transform(found, lambda s, k: F.struct(s.alias("s"), k.alias("k")))
-    return F.aggregate(numbered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+def before(spans: Column, k: Column) -> Column:
+    """Where the span before span k ends."""
+    return F.when(k > 0, F.element_at(spans, F.greatest(k, F.lit(1)))["end"]).otherwise(0)
 
 
 def masked(text: Column, found: Column) -> Column:
@@ -103,19 +108,13 @@ def unmasked(text: Column, table: Column) -> Column:
 
 def text_nodes(text: Column, found: Column) -> Column:
     """The gaps between the spans as array<struct<start, end, text>>, without blank ones."""
-    none = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
-
-    def gap(state: Column, end: Column) -> Column:
-        node = F.struct(state["at"].alias("start"), end.cast("int").alias("end"), F.substring(text, state["at"] + 1, end - state["at"]).alias("text"))
-        return F.concat(state["nodes"], F.array(node))
-
-    nodes = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), none.alias("nodes")),
-        lambda state, s: F.struct(s["end"].alias("at"), gap(state, s["start"]).alias("nodes")),
-        lambda state: gap(state, F.length(text)),
-    )
-    return F.filter(nodes, lambda n: n["text"].rlike(r"(?U)\S"))
+
+    def gaps(spans: Column) -> Column:
+        start = lambda k: before(spans, k).cast("int")
+        node = lambda a, z: F.struct(a.alias("start"), z.cast("int").alias("end"), F.substring(text, a + 1, z - a).alias("text"))
+        return F.concat(F.transform(spans, lambda s, k: node(start(k), s["start"])), F.array(node(start(F.size(spans)), F.length(text))))
+
+    return F.filter(F.transform(F.array(found), gaps)[0], lambda n: n["text"].rlike(r"(?U)\S"))
 
 
 def outside(text: Column, found: Column, change: Callable[[Column], Column]) -> Column:

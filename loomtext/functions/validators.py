@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomtext.functions.text import occurrences, strip
 
 Check = Callable[[Column, Column], Column]
+# Names and wording of the checks' errors are fixed values.
 MASK = r"(?U)(__MASKED_\d+__)"
 MARKDOWN = "*_[]()<>`~"
 
@@ -43,15 +44,22 @@ link_sanity = _same("](", lambda m, n: F.concat(F.lit("Link sanity violation: ](
 fence_parity = _same("```", lambda m, n: F.concat(F.lit("Fence parity violation: ``` count "), m, F.lit(" → "), n))
 
 
+def signs(a: Column, b: Column, kept: str, check: Check) -> Column:
+    """check on both texts without all characters but the kept ones, worked out once; a text is read once and not for each sign."""
+    others = "[^" + "".join("\\" + c for c in kept) + "]+"
+    both = F.struct(F.regexp_replace(a, others, "").alias("a"), F.regexp_replace(b, others, "").alias("b"))
+    return F.transform(F.array(both), lambda x: check(x["a"], x["b"]))[0]
+
+
 def bracket_balance(a: Column, b: Column) -> Column:
-    each = [_same(c, lambda m, n, c=c: F.lit(f"Bracket balance violation: {c} count changed"))(a, b) for c in "[](){}"]
-    return F.coalesce(*each)
+    each = [_same(c, lambda m, n, c=c: F.lit(f"Bracket balance violation: {c} count changed")) for c in "[](){}"]
+    return signs(a, b, "[](){}", lambda x, y: F.coalesce(*(c(x, y) for c in each)))
 
 
 def brackets_unbalanced(a: Column, b: Column) -> Column:
     """Stricter: the edited text opens and closes each bracket equally often."""
-    each = [F.when(occurrences(b, o) != occurrences(b, c), F.lit(f"Bracket balance violation: {o}{c} became unbalanced")) for o, c in ("[]", "()", "{}")]
-    return F.coalesce(*each)
+    odd = lambda _, y: F.coalesce(*(F.when(occurrences(y, o) != occurrences(y, c), F.lit(f"Bracket balance violation: {o}{c} became unbalanced")) for o, c in ("[]", "()", "{}")))
+    return signs(b, b, "[](){}", odd)
 
 
 def fence_odd(a: Column, b: Column) -> Column:
@@ -59,8 +67,8 @@ def fence_odd(a: Column, b: Column) -> Column:
 
 
 def token_guard(a: Column, b: Column) -> Column:
-    each = [F.when(occurrences(b, t) > occurrences(a, t), F.lit(f"Token guard violation: new '{t}' tokens introduced")) for t in MARKDOWN]
-    return F.coalesce(*each)
+    more = lambda x, y: F.coalesce(*(F.when(occurrences(y, t) > occurrences(x, t), F.lit(f"Token guard violation: new '{t}' tokens introduced")) for t in MARKDOWN))
+    return signs(a, b, MARKDOWN, more)
 
 
 def length_delta(max_ratio: float = 0.01) -> Check:

@@ -43,18 +43,25 @@ def folded(text: Column, items: Column) -> Column:
 
 
 def apply_plan(docs: DataFrame, plan: DataFrame, **options) -> DataFrame:
+    """apply_items with each document's items from a plan table, which meets the documents on a shuffle."""
+    plans = plans_by_doc(plan).withColumnsRenamed({"doc_id": "_id", "items": "_plan"})
+    d = docs.join(plans, docs["doc_id"] == plans["_id"], "left").drop("_id")
+    return apply_items(d, "_plan", **options)
+
+
+def apply_items(docs: DataFrame, items: str, **options) -> DataFrame:
     """docs with the edited text, replacements_applied, replacements_rejected, error (the validators' first) and skipped (no plan).
 
-    If a validator fails, the original text stays and the counts are kept.
+    `items` is the column of each document's own plan, null or an array in order;
+    it goes. Map-only. If a validator fails, the original text stays and the
+    counts are kept.
     """
-    plans = plans_by_doc(plan).withColumnRenamed("doc_id", "_id")
-    d = docs.join(plans, docs["doc_id"] == plans["_id"], "left").drop("_id")
     none = F.expr(f"cast(array() as {ITEMS})")
-    d = d.withColumn("_items", F.coalesce("items", none))
+    d = docs.withColumn("_items", F.coalesce(items, none))
     d = once(d, _r=folded(F.col("text"), F.col("_items")))
     d = d.withColumn("error", first_failure(F.col("text"), F.col("_r.text"), **options))
     return d.select(
-        *(F.col(f"`{c}`") for c in docs.columns if c != "text"),
+        *(F.col(f"`{c}`") for c in docs.columns if c not in ("text", items)),
         F.when(F.col("error").isNull(), F.col("_r.text")).otherwise(F.col("text")).alias("text"),
         F.col("_r.applied").cast("long").alias("replacements_applied"),
         F.col("_r.rejected").cast("long").alias("replacements_rejected"),

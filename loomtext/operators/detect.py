@@ -43,14 +43,25 @@ def _replacement(rule: str, find: Column) -> Column:
     return F.translate(find, *SMALL_CAPS)
 
 
-def detect(texts: DataFrame, key: list[str], rules: list[str] | None = None) -> DataFrame:
-    """key columns, rule, item_no, find, replace, reason: what each rule finds in each text, in order of place within a rule."""
+def found_items(text: Column, rules: list[str] | None = None) -> Column:
+    """array<struct>: what each rule finds in a text, in order of rules and of place; items that change nothing included."""
+
     def found(number: int, rule: str, reason: str, pattern: str) -> Column:
         item = lambda h, k: F.struct(F.lit(number).alias("rule_no"), k.alias("k"), F.lit(rule).alias("rule"), h.alias("find"), _replacement(rule, h).alias("replace"), F.lit(reason).alias("reason"))
-        return F.transform(F.regexp_extract_all("text", F.lit(pattern), 1), item)
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), item)
+
+    return F.array_sort(F.concat(*(found(number, *r) for number, r in enumerate(RULES) if rules is None or r[0] in rules)))
+
 
-    parts = [found(number, *r) for number, r in enumerate(RULES) if rules is None or r[0] in rules]
-    items = texts.select(*key, F.posexplode(F.array_sort(F.concat(*parts))).alias("item_no", "i"))
+def own_plan(text: Column, rules: list[str] | None = None) -> Column:
+    """A text's own plan as an array for apply_items: the same items and numbers as detect gives."""
+    items = F.transform(found_items(text, rules), lambda i, k: F.struct(k.alias("item_no"), i["find"].alias("find"), i["replace"].alias("replace")))
+    return F.filter(items, lambda i: ~i["find"].eqNullSafe(i["replace"]))
+
+
+def detect(texts: DataFrame, key: list[str], rules: list[str] | None = None) -> DataFrame:
+    """key columns, rule, item_no, find, replace, reason: what each rule finds in each text, in order of place within a rule."""
+    items = texts.select(*key, F.posexplode(found_items(F.col("text"), rules)).alias("item_no", "i"))
     return items.select(*key, "item_no", "i.rule", "i.find", "i.replace", "i.reason").where(~F.col("find").eqNullSafe(F.col("replace")))
 
 

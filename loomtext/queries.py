@@ -243,6 +243,45 @@ def policies_idempotent(spark, sf_dir):
 
 # Spans
 
+#: DuckDB's patterns say the same without references back and looks behind; the tables hold no backslash.
+_TAG = "|".join(f"<{t}.*?</{t}>" for t in ("details", "div", "table", "script", "style"))
+_PATTERNS = [
+    ("CODE_FENCE", "(?ms)^```[a-zA-Z]*\\n.*?^```\\s*$|^~~~[a-zA-Z]*\\n.*?^~~~\\s*$", None),
+    ("INLINE_CODE", "`+[^`]+`+", None),
+    ("LINK_URL", "\\[[^\\]]+\\]\\([^)]+\\)", "^\\[[^\\]]+\\]\\("),
+    ("IMAGE_URL", "!\\[[^\\]]*\\]\\([^)]+\\)", "^!\\[[^\\]]*\\]\\("),
+    ("HTML_BLOCK", f"(?si){_TAG}", None),
+    ("MATH_BLOCK", "(?s)\\$\\$.+?\\$\\$", None),
+    ("INLINE_MATH", "\\$[^$]+\\$", None),
+    ("AUTOLINK", "<https?://[^>\\s]+>", None),
+]
+
+
+def _matches(number: int, kind: str, pattern: str, prefix: str | None) -> str:
+    """One pattern's matches with offsets: the gaps and matches before each, added up."""
+    lead = f"length(regexp_extract(hit, '{prefix}'))" if prefix else "0"
+    return f"""SELECT doc_id, {{'s': place + {lead}, 'o': {number}, 'e': place + length(hit) - {int(bool(prefix))}, 'y': '{kind}', 't': substr(hit, {lead} + 1, length(hit) - {lead} - {int(bool(prefix))})}} AS x
+      FROM (SELECT doc_id, hit, (list_sum(list_transform(g[1:k + 1], lambda v: length(v))) + coalesce(list_sum(list_transform(m[1:k], lambda v: length(v))), 0))::BIGINT AS place
+        FROM (SELECT doc_id, unnest(m) AS hit, unnest(range(len(m))) AS k, m, g FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM d)))"""
+
+
+#: Of structs in order, those that start at or after the end of the last one kept: a fold that carries the kept ones along.
+_KEEP = lambda items: f"""list_reduce(list_concat([{{'s': -1::BIGINT, 'e': 0::BIGINT, 'y': '', 't': '', 'k': []::STRUCT(s BIGINT, e BIGINT, y VARCHAR, t VARCHAR)[]}}],
+    list_transform({items}, lambda q: {{'s': q.s, 'e': q.e, 'y': q.y, 't': q.t, 'k': []::STRUCT(s BIGINT, e BIGINT, y VARCHAR, t VARCHAR)[]}})),
+    lambda a, q: {{'s': q.s, 'e': CASE WHEN q.s >= a.e THEN q.e ELSE a.e END, 'y': '', 't': '', 'k': CASE WHEN q.s >= a.e THEN list_append(a.k, {{'s': q.s, 'e': q.e, 'y': q.y, 't': q.t}}) ELSE a.k END}}).k"""
+
+
+def _spans_sql(extra: bool = False) -> str:
+    found = " UNION ALL ".join(_matches(n, *p) for n, p in enumerate(_PATTERNS if extra else _PATTERNS[:7]))
+    return f"""WITH d AS ({DOCS}), h AS ({found}), l AS (SELECT doc_id, list(x ORDER BY x.s, x.o) AS x FROM h GROUP BY doc_id),
+      z AS (SELECT d.*, CASE WHEN x IS NULL THEN [] ELSE {_KEEP("x")} END AS kept FROM d LEFT JOIN l USING (doc_id))"""
+
+
+#: A text in pieces: what `gap` makes of the text before each span, and what `span` makes of the span (x is its number from 0).
+_STITCH = lambda gap, span: f"""array_to_string(list_transform(range(len(kept) + 1), lambda x: {gap("substr(text, (CASE WHEN x > 0 THEN kept[x].e ELSE 0 END + 1)::BIGINT, (CASE WHEN x < len(kept) THEN kept[x + 1].s ELSE length(text) END - CASE WHEN x > 0 THEN kept[x].e ELSE 0 END)::BIGINT)")}
+    || CASE WHEN x < len(kept) THEN {span} ELSE '' END), '')"""
+_SENTINELS = "'__MASKED_' || x || '__'"
+
 
 def with_spans(df: DataFrame) -> DataFrame:
     return once(df, found=spans.spans(F.col("text")))
@@ -263,7 +302,7 @@ def mask_roundtrip_pages(spark, sf_dir):
     return d.select("page_id", (spans.unmasked(F.col("masked"), spans.mask_table(F.col("found"))) == F.col("text")).alias("same"))
 
 
-@query()
+@query(f"{_spans_sql(extra=True)} SELECT lang, y AS type, count(*) AS n FROM (SELECT lang, unnest(kept).y AS y FROM z) GROUP BY ALL")
 def span_counts(spark, sf_dir):
     d = documents(spark, sf_dir).select("lang", F.explode(spans.spans(F.col("text"), extra=True)).alias("s"))
     return d.groupBy("lang", "s.type").agg(F.count(F.lit(1)).alias("n"))
@@ -277,7 +316,33 @@ def text_nodes_cover(spark, sf_dir):
     return d.select("doc_id", (F.col("whole") == F.col("text")).alias("covered"), F.md5("whole").alias("text_md5"))
 
 
-@query()
+@query(f"{_spans_sql()} SELECT doc_id, s.s::INTEGER AS start_at, s.e::INTEGER AS end_at, s.y AS type, md5(s.t) AS span_md5 FROM (SELECT doc_id, unnest(kept) AS s FROM z)")
+def spans_kept(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", F.explode(spans.spans(F.col("text"))).alias("s"))
+    return d.select("doc_id", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), "s.type", F.md5("s.text").alias("span_md5"))
+
+
+@query(f"{_spans_sql()} SELECT doc_id, md5({_STITCH(lambda g: g, _SENTINELS)}) AS masked_md5, len(kept)::INTEGER AS masks FROM z")
+def masked_texts(spark, sf_dir):
+    d = documents(spark, sf_dir).transform(with_spans)
+    return d.select("doc_id", F.md5(spans.masked(F.col("text"), F.col("found"))).alias("masked_md5"), F.size("found").alias("masks"))
+
+
+@query(
+    f"""{_spans_sql()}, n AS (SELECT doc_id, unnest(list_filter(list_transform(range(len(kept) + 1), lambda x: {{'s': CASE WHEN x > 0 THEN kept[x].e ELSE 0 END, 'e': CASE WHEN x < len(kept) THEN kept[x + 1].s ELSE length(text) END, 't': text}}),
+      lambda v: regexp_matches(substr(v.t, (v.s + 1)::BIGINT, (v.e - v.s)::BIGINT), '[^\\s]'))) AS v FROM z)
+    SELECT doc_id, v.s::INTEGER AS start_at, v.e::INTEGER AS end_at, md5(substr(v.t, (v.s + 1)::BIGINT, (v.e - v.s)::BIGINT)) AS node_md5 FROM n"""
+)
+def text_nodes(spark, sf_dir):
+    d = documents(spark, sf_dir).transform(with_spans).select("doc_id", F.explode(spans.text_nodes(F.col("text"), F.col("found"))).alias("n"))
+    return d.select("doc_id", F.col("n.start").alias("start_at"), F.col("n.end").alias("end_at"), F.md5("n.text").alias("node_md5"))
+
+
+@query(
+    f"{_spans_sql()} SELECT doc_id, len(kept)::INTEGER AS n_spans, md5("
+    + _STITCH(lambda g: f"CASE WHEN regexp_matches({g}, '[^\\s]') THEN regexp_replace({g}, ' {{3,}}', '  ', 'g') ELSE {g} END", "substr(text, (kept[x + 1].s + 1)::BIGINT, (kept[x + 1].e - kept[x + 1].s)::BIGINT)")
+    + ") AS clean_md5 FROM z"
+)
 def outside_spans_only(spark, sf_dir):
     d = documents(spark, sf_dir).transform(with_spans)
     return d.select("doc_id", F.size("found").alias("n_spans"), F.md5(spans.outside(F.col("text"), F.col("found"), text.collapse_spaces)).alias("clean_md5"))
@@ -519,8 +584,36 @@ def unique_words(spark, sf_dir):
     return detect.problem_words(plan(spark, sf_dir), ["doc_id"], ["item_no"]).select("doc_id", "find", F.col("first_at.item_no").alias("first_no"), "replace", "n")
 
 
-@query()
+#: A plan applied in order, first occurrences only, as a fold over records of text, find, replace and both counts; then the checks.
+_FOLD = lambda first, items: f"""list_reduce(list_concat([{{'t': {first}, 'f': '', 'r': '', 'a': 0::BIGINT, 'j': 0::BIGINT}}], {items}), lambda s, x: {{
+    't': CASE WHEN strpos(s.t, x.f) > 0 THEN substr(s.t, 1, strpos(s.t, x.f) - 1) || x.r || substr(s.t, strpos(s.t, x.f) + length(x.f)) ELSE s.t END, 'f': '', 'r': '',
+    'a': s.a + CASE WHEN strpos(s.t, x.f) > 0 THEN 1 ELSE 0 END, 'j': s.j + CASE WHEN strpos(s.t, x.f) > 0 THEN 0 ELSE 1 END}})"""
+_SAID = (
+    [f"WHEN {_COUNT('t', '`')} <> {_COUNT('n', '`')} THEN 'Backtick parity violation: ' || {_COUNT('t', '`')} || ' → ' || {_COUNT('n', '`')}"]
+    + [f"WHEN {_COUNT('t', c)} <> {_COUNT('n', c)} THEN 'Bracket balance violation: {c} count changed'" for c in "[](){}"]
+    + [f"WHEN {_COUNT('t', c)} < {_COUNT('n', c)} THEN 'Token guard violation: new ''{c}'' tokens introduced'" for c in "*_[]()<>`~"]
+    + ["WHEN length(t) > 0 AND (length(n) - length(t)) / length(t) > 0.05::DOUBLE THEN 'Length delta violation: growth ' || format('{:.1f}', (length(n) - length(t)) / length(t) * 100) || '% > 5.0%'"]
+)
+_APPLIED = f"""{WITH_PLAN}, i AS (SELECT doc_id, list({{'t': '', 'f': find, 'r': replace, 'a': 0::BIGINT, 'j': 0::BIGINT}} ORDER BY item_no) AS i FROM p WHERE find <> replace GROUP BY doc_id),
+  f AS (SELECT doc_id, text AS t, i, CASE WHEN i IS NULL THEN {{'t': text, 'f': '', 'r': '', 'a': 0::BIGINT, 'j': 0::BIGINT}} ELSE {_FOLD("text", "i")} END AS s FROM d LEFT JOIN i USING (doc_id)),
+  e AS (SELECT doc_id, t, i, s.t AS n, s.a AS a, s.j AS j FROM f),
+  r AS (SELECT *, CASE {" ".join(_SAID)} END AS error FROM e), o AS (SELECT *, CASE WHEN error IS NULL THEN n ELSE t END AS out FROM r)"""
+
+
+def _own_plans(spark, sf_dir):
+    """The documents with their own plans beside them: no shuffle."""
+    return documents(spark, sf_dir).withColumn("items", detect.own_plan(F.col("text"), RULES))
+
+
+@query(f"{_APPLIED} SELECT doc_id, md5(out) AS new_md5, a AS replacements_applied, j AS replacements_rejected, error, i IS NULL AS skipped FROM o")
 def apply_first(spark, sf_dir):
+    d = apply.apply_items(_own_plans(spark, sf_dir), "items", max_ratio=0.05)
+    return d.select("doc_id", F.md5("text").alias("new_md5"), "replacements_applied", "replacements_rejected", "error", "skipped")
+
+
+@query(f"{_APPLIED} SELECT doc_id, md5(out) AS new_md5, a AS replacements_applied, j AS replacements_rejected, error, i IS NULL AS skipped FROM o")
+def apply_table(spark, sf_dir):
+    """The same with the plan as a table that the documents meet."""
     d = apply.apply_plan(documents(spark, sf_dir), plan(spark, sf_dir), max_ratio=0.05)
     return d.select("doc_id", F.md5("text").alias("new_md5"), "replacements_applied", "replacements_rejected", "error", "skipped")
 
@@ -538,7 +631,19 @@ def all_matches(spark, sf_dir):
     return apply.all_matches(_nodes(spark, sf_dir), p).groupBy("doc_id", "find").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: Every occurrence of every item, by the pieces between them; of those that overlap the first and longest stays.
+_EVERY = f"""{WITH_PLAN}, u AS (SELECT doc_id, find, arg_min(replace, item_no) AS replace, arg_min(reason, item_no) AS reason FROM p WHERE find <> replace GROUP BY doc_id, find, replace),
+  o AS (SELECT doc_id, find, replace, unnest(range(len(g) - 1)) AS k, g FROM (SELECT doc_id, find, replace, string_split(text, find) AS g FROM u JOIN d USING (doc_id))),
+  h AS (SELECT doc_id, {{'s': (list_sum(list_transform(g[1:k + 1], lambda v: length(v))) + k * length(find))::BIGINT, 'e': (list_sum(list_transform(g[1:k + 1], lambda v: length(v))) + (k + 1) * length(find))::BIGINT, 'y': replace, 't': find}} AS x FROM o),
+  l AS (SELECT doc_id, list(x ORDER BY x.s, x.e DESC) AS x FROM h GROUP BY doc_id),
+  z AS (SELECT d.*, len(x) AS n, CASE WHEN x IS NULL THEN [] ELSE {_KEEP("x")} END AS kept FROM d LEFT JOIN l USING (doc_id)),
+  w AS (SELECT doc_id, text, n, kept, {_STITCH(lambda g: g, "kept[x + 1].y")} AS new FROM z)"""
+
+
+@query(
+    f"""{_EVERY} SELECT doc_id, len(kept)::BIGINT AS replacements_applied, (CASE WHEN len(kept) > 0 THEN 1 ELSE 0 END)::BIGINT AS nodes_changed, (length(new) - length(text))::BIGINT AS length_delta,
+    (coalesce(n, 0) - len(kept))::BIGINT AS replacements_skipped_overlap, 0::BIGINT AS items_no_match, CASE WHEN length(text) > 0 THEN (length(new) - length(text)) / length(text) ELSE 0 END AS growth_ratio FROM w"""
+)
 def apply_all(spark, sf_dir):
     return apply.apply_report(_nodes(spark, sf_dir), detect.first_of_each(plan(spark, sf_dir), ["item_no"]))
 
@@ -587,7 +692,27 @@ def safe_suggestions(spark, sf_dir):
     return apply.offset_suggestions(_suggestions(spark, sf_dir), m, ["punctuation"]).select("doc_id", "offset", "length", "safe_category")
 
 
-@query()
+@query(f"{_EVERY} SELECT doc_id, md5(new) AS new_md5, len(kept)::INTEGER AS replacements_applied, (length(new) - length(text))::INTEGER AS length_delta FROM w")
+def apply_everywhere(spark, sf_dir):
+    nodes, p = _nodes(spark, sf_dir), detect.first_of_each(plan(spark, sf_dir), ["item_no"])
+    done = apply.apply_matches(nodes, apply.keep_longest(apply.all_matches(nodes, p)))
+    return done.select("doc_id", F.md5("text").alias("new_md5"), "replacements_applied", "length_delta")
+
+
+@query(f"{_EVERY} SELECT doc_id, s.s::INTEGER AS start_at, s.e::INTEGER AS end_at, s.t AS find, s.y AS replace FROM (SELECT doc_id, unnest(kept) AS s FROM w)")
+def longest_matches(spark, sf_dir):
+    """Offsets of the matches that stay, of all that there are."""
+    p = detect.first_of_each(plan(spark, sf_dir), ["item_no"])
+    kept = apply.keep_longest(apply.all_matches(_nodes(spark, sf_dir), p)).select("doc_id", F.explode("kept").alias("s"))
+    return kept.select("doc_id", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), "s.find", "s.replace")
+
+
+#: The first place of every punctuation run, and the greedy choice among them.
+_FIRST = f"""{WITH_PLAN}, h AS (SELECT DISTINCT doc_id, {{'s': (strpos(text, find) - 1)::BIGINT, 'e': (strpos(text, find) - 1 + length(find))::BIGINT, 'y': replace, 't': find}} AS x FROM p JOIN d USING (doc_id) WHERE find <> replace AND reason = 'SIMPLE_PUNCT'),
+  l AS (SELECT doc_id, list(x ORDER BY x.s, x.e DESC) AS x FROM h GROUP BY doc_id), z AS (SELECT d.*, CASE WHEN x IS NULL THEN [] ELSE {_KEEP("x")} END AS kept FROM d LEFT JOIN l USING (doc_id))"""
+
+
+@query(f"{_FIRST} SELECT doc_id, md5({_STITCH(lambda g: g, 'kept[x + 1].y')}) AS new_md5, len(kept)::INTEGER AS suggestions_applied FROM z")
 def apply_suggestions(spark, sf_dir):
     m = spark.createDataFrame(_MAP, "category string, safe_category string")
     s = apply.offset_suggestions(_suggestions(spark, sf_dir), m, ["punctuation"])
@@ -911,14 +1036,20 @@ def stream_stats(spark, sf_dir):
 # Whole pipeline, guards and files
 
 
-@query()
+#: Masked texts cleaned, and the originals put back from the last sentinel to the first.
+_WHOLE = f"""{_spans_sql().replace(f"WITH d AS ({DOCS})", f"WITH docs AS ({DOCS}), d AS (SELECT * FROM docs)")},
+  y AS (SELECT doc_id, lang, source, kept, {_STITCH(lambda g: g, _SENTINELS)} AS text FROM z), c AS ({CLEAN.replace("FROM d", "FROM y")}),
+  u AS (SELECT *, list_reduce(list_concat([{{'k': '', 'v': a2}}], list_transform(list_reverse(range(len(kept))), lambda x: {{'k': {_SENTINELS}, 'v': kept[x + 1].t}})), lambda a, b: {{'k': '', 'v': replace(a.v, b.k, b.v)}}).v AS done FROM c)"""
+
+
+@query(f"{_WHOLE} SELECT doc_id, md5(done) AS clean_md5, length(done)::INTEGER AS n FROM u")
 def clean_documents(spark, sf_dir):
     """Mask, basic and advanced steps and unmasking in one plan."""
     out, _ = clean.clean(documents(spark, sf_dir))
     return out.select("doc_id", F.md5("text").alias("clean_md5"), F.length("text").alias("n"))
 
 
-@query()
+@query(f"{_spans_sql()} SELECT lang, source, sum(len(kept))::BIGINT AS total, grouping(lang, source)::BIGINT AS level FROM z GROUP BY ROLLUP (lang, source)")
 def clean_stats(spark, sf_dir):
     _, s = clean.clean(documents(spark, sf_dir), keep=["doc_id", "lang", "source"])
     return stats.subtotals(s.where(F.col("step") == "mask"), ["lang", "source"])
@@ -939,12 +1070,12 @@ def _masked(spark, sf_dir):
     return d.withColumn("edited", F.when(F.size("found") > 1, F.replace("masked", F.lit("__MASKED_0__"), F.lit(""))).otherwise(F.col("masked")))
 
 
-@query()
+@query(f"{_spans_sql()} SELECT doc_id, len(kept)::INTEGER AS n_masks, CASE WHEN len(kept) > 1 THEN 'mask lost' END AS error FROM z")
 def grammar_structure(spark, sf_dir):
     return _masked(spark, sf_dir).select("doc_id", F.size("found").alias("n_masks"), validators.grammar_structure(F.col("masks"), F.col("edited"), F.col("masked")).alias("error"))
 
 
-@query()
+@query(f"{_spans_sql()} SELECT doc_id, '__MASKED_0__' AS mask FROM z WHERE len(kept) > 1")
 def lost_masks(spark, sf_dir):
     """Mask ids of the table that the edited text no longer has: an anti-join by document and id."""
     d = _masked(spark, sf_dir)
@@ -964,13 +1095,15 @@ def file_growth(spark, sf_dir):
     return responses.file_growth(pairs(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""{_APPLIED}, f2 AS (SELECT doc_id, out AS t, CASE WHEN i IS NULL THEN out ELSE ({_FOLD("out", "i")}).t END AS n FROM o),
+    r2 AS (SELECT *, CASE {" ".join(_SAID)} END AS error FROM f2) SELECT doc_id, md5(t) AS once_md5, error IS NOT NULL OR n = t AS idempotent FROM r2"""
+)
 def plan_idempotence(spark, sf_dir):
     """Whether a plan applied to its own result changes nothing more."""
-    d, p = documents(spark, sf_dir), plan(spark, sf_dir)
-    once_applied = apply.apply_plan(d, p, max_ratio=0.05).select("doc_id", "text")
-    twice = apply.apply_plan(once_applied, p, max_ratio=0.05).select("doc_id", F.col("text").alias("again"))
-    return once_applied.join(twice, "doc_id").select("doc_id", (F.col("text") == F.col("again")).alias("idempotent"))
+    d = _own_plans(spark, sf_dir).withColumn("again", F.col("items"))
+    first = apply.apply_items(d, "items", max_ratio=0.05).select("doc_id", "again", "text", F.col("text").alias("once"))
+    return apply.apply_items(first, "again", max_ratio=0.05).select("doc_id", F.md5("once").alias("once_md5"), (F.col("once") == F.col("text")).alias("idempotent"))
 
 
 @query(
