@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 NOT_BLANK = r"(?U)\S"
-SENTENCE = r"(?s)(.+?(?:[.!?]+(?:\s+|$)|$))"
+SENTENCE = r"(?s)(.+?(?:[.!?]+(?:\s+|\z)|\z))"
 TEXTS = "cast(array() as array<string>)"
 
 

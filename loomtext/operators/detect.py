@@ -8,15 +8,15 @@ from pyspark.sql.window import Window
 
 PLAN = ["doc_id", "item_no", "find", "replace", "reason"]
 
-#: (rule, reason, pattern with the find text as group 1).
+#: (rule, reason, pattern with the find text as group 1). (?U): words and their ends by Unicode, whatever the Java version.
 RULES = [
     ("punct_runs", "SIMPLE_PUNCT", r"([!?]{2,})"),
     ("caps", "CASE_GLITCH", r"(?<![\p{L}\p{N}_])([A-Z]{4,})(?![\p{L}\p{N}_])"),
     ("spaced_letters", "TTS_SPACED", r"(?U)(\b\p{L}(?: \p{L}){3,}\b)"),
-    ("hyphen_letters", "TTS_SPACED", r"(\b[A-Za-z](?:-[A-Za-z]){3,}\b)"),
+    ("hyphen_letters", "TTS_SPACED", r"(?U)(\b[A-Za-z](?:-[A-Za-z]){3,}\b)"),
     ("sound_effect", "TTS_SPACED", r"(\*[A-Z]+!*\*)"),
-    ("laugh", "SIMPLE_PUNCT", r"(?i)\b((?:ha){3,}h?|(?:he){3,}h?)\b"),
-    ("scream", "CASE_GLITCH", r"(?i)\b(\w*([a-z])\2{3,}\w*)\b"),
+    ("laugh", "SIMPLE_PUNCT", r"(?Ui)\b((?:ha){3,}h?|(?:he){3,}h?)\b"),
+    ("scream", "CASE_GLITCH", r"(?Ui)\b(\w*([a-z])\2{3,}\w*)\b"),
     ("speaker", "SIMPLE_PUNCT", r"(\[[A-Z][A-Za-z]*\]:)"),
     ("small_caps", "UNICODE_STYLIZED", "([ᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ]{2,})"),
     ("nested_parens", "SIMPLE_PUNCT", r"(\({2,}|\){2,})"),

@@ -227,6 +227,45 @@ def deshout_words(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", text.shouts(c, KEPT).alias("n"), F.md5(F.array_join(text.loud_words(c, KEPT), " ")).alias("loud_md5"))
 
 
+def _one_policy(spark, sf_dir, *keys: str, more: str = "") -> DataFrame:
+    """The texts (with an ending) after some policies, and how often each finds something in them as they come."""
+    found = {s.key: s for s in text.policies(KEPT, footnotes=True)}
+    d, steps = documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit(more))), [found[k] for k in keys]
+    after = F.col("text")
+    for s in steps:
+        after = s.change(after)
+    return d.select("doc_id", F.md5(after).alias("clean_md5"), *(s.count(F.col("text")).alias(s.key) for s in steps if s.count))
+
+
+@query(
+    f"""WITH d AS ({DOCS}) SELECT doc_id, md5(translate(replace(regexp_replace(text, '\\.{{3,}}', '...', 'g'), '…', '...'), '“”‘’', '""''''')) AS clean_md5,
+    len(regexp_extract_all(text, '\\.{{4,}}|…'))::INTEGER AS ellipsis, len(regexp_extract_all(text, '[“”‘’]'))::INTEGER AS quotes FROM d"""
+)
+def policy_dots_quotes(spark, sf_dir):
+    return _one_policy(spark, sf_dir, "ellipsis", "quotes")
+
+
+@query(f"WITH d AS ({DOCS}) SELECT doc_id, md5(regexp_replace(text, '(\\d)\\s*({text.UNITS})($|[^A-Za-z])', '\\1 \\2\\3', 'g')) AS clean_md5 FROM d")
+def policy_units(spark, sf_dir):
+    return _one_policy(spark, sf_dir, "units")
+
+
+_NOTES = " word[^1] and[2] too (3) end\n[^1]: note\n(4) as a list"
+
+
+@query(
+    f"""WITH d0 AS ({DOCS}), d AS (SELECT doc_id, text || '{_NOTES}' AS text FROM d0) SELECT doc_id, md5(regexp_replace(text, '([^\\n])(\\[\\^?\\d+\\]|\\(\\d+\\))($|[^:])', '\\1\\3', 'g')) AS clean_md5,
+    len(regexp_extract_all(text, '([^\\n])(\\[\\^?\\d+\\]|\\(\\d+\\))($|[^:])'))::INTEGER AS footnotes_removed FROM d"""
+)
+def policy_footnotes(spark, sf_dir):
+    return _one_policy(spark, sf_dir, "footnotes_removed", more=_NOTES)
+
+
+@query(f"WITH d AS ({DOCS}) SELECT doc_id, md5(regexp_replace(regexp_replace(text || ' One.  Two   ?  Three !', ' +([!?])', '\\1', 'g'), '([.!?]) {{2,}}(\\S)', '\\1 \\2', 'g')) AS clean_md5 FROM d")
+def policy_spacing(spark, sf_dir):
+    return _one_policy(spark, sf_dir, "spacing", more=" One.  Two   ?  Three !")
+
+
 @query()
 def policies_all(spark, sf_dir):
     _, s = clean.clean(documents(spark, sf_dir), ("typography", "policies"), clean.Options(kept_words=KEPT, footnotes=True), keep=["doc_id", "lang"])
@@ -371,12 +410,54 @@ def split_long_nodes(spark, sf_dir):
     return d.select("doc_id", (F.col("joined") == F.col("text")).alias("lossless"), F.md5("joined").alias("text_md5"))
 
 
-@query()
+def _full(most: int) -> str:
+    return f"length(s.o) > 0 AND length(s.o) + length(x.p) > {most}"
+
+
+def _begin(most: int, overlap: int) -> str:
+    return f"CASE WHEN {overlap} > 0 AND length(s.l) <= {overlap} AND length(s.l) + length(x.p) <= {most} THEN s.l || x.p ELSE x.p END"
+
+
+def _packed(parts: str, most: int, overlap: int = 0) -> str:
+    """Parts packed in order, as a fold over records of part, place, open piece, its start, last part and pieces done."""
+    none = "'a': 0::BIGINT, 'o': '', 'f': 0::BIGINT, 'l': '', 'd': []::STRUCT(t VARCHAR, s BIGINT, e BIGINT)[]"
+    full, begin = _full(most), _begin(most, overlap)
+    return f"""list_transform([list_reduce(list_concat([{{'p': '', {none}}}], list_transform({parts}, lambda q: {{'p': q, {none}}})), lambda s, x: {{'p': '', 'a': s.a + length(x.p),
+      'o': CASE WHEN {full} THEN {begin} ELSE s.o || x.p END, 'f': CASE WHEN {full} THEN s.a + length(x.p) - length({begin}) ELSE s.f END,
+      'l': x.p, 'd': CASE WHEN {full} THEN list_append(s.d, {{'t': s.o, 's': s.f, 'e': s.a}}) ELSE s.d END}})],
+    lambda r: CASE WHEN length(r.o) > 0 THEN list_append(r.d, {{'t': r.o, 's': r.f, 'e': r.a}}) ELSE r.d END)[1]"""
+
+
+_SENTENCES = "regexp_extract_all(text, '(?s).+?(?:[.!?]+(?:\\s+|$)|$)')"
+_WORDS = "'(?s)\\S+\\s*|\\s+'"
+
+
+@query(f"WITH d AS ({DOCS}) SELECT doc_id, k::INTEGER AS chunk_no, x.s::INTEGER AS start_at, x.e::INTEGER AS end_at, md5(x.t) AS chunk_md5 FROM (SELECT doc_id, unnest(range(len(x))) AS k, unnest(x) AS x FROM (SELECT doc_id, {_packed(_SENTENCES, 600, 50)} AS x FROM d))")
 def sentence_chunks(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.sentence_chunks(F.col("text"))).alias("chunk_no", "c")).select("doc_id", "chunk_no", F.col("c.start").alias("start_at"), F.col("c.end").alias("end_at"), F.md5("c.text").alias("chunk_md5"))
 
 
-@query()
+_PIECES = _packed(f"flatten(list_transform({_SENTENCES}, lambda v: CASE WHEN length(v) <= 300 THEN [v] ELSE regexp_extract_all(v, {_WORDS}) END))", 300)
+
+
+@query(
+    f"""WITH d AS ({DOCS}), s AS (SELECT doc_id, CASE WHEN length(text) <= 300 THEN [text] ELSE list_transform({_PIECES}, lambda v: v.t) END AS x FROM d)
+    SELECT doc_id, len(x)::INTEGER AS pieces, md5(array_to_string(list_transform(x, lambda v: md5(v)), ' ')) AS pieces_md5 FROM s"""
+)
+def long_node_pieces(spark, sf_dir):
+    d = documents(spark, sf_dir).withColumn("x", chunking.split_long(F.col("text"), 300))
+    return d.select("doc_id", F.size("x").alias("pieces"), F.md5(F.array_join(F.transform("x", lambda v: F.md5(v)), " ")).alias("pieces_md5"))
+
+
+_FENCE = "(?ms)^```.*?^```[^\\n]*(?:\\n|\\z)"
+_PARAGRAPHS = _packed("regexp_extract_all(g, '(?s).+?(?:\\n\\n+|\\z)')", 600)
+
+
+@query(
+    f"""WITH d AS ({DOCS}), f AS (SELECT doc_id, regexp_extract_all(text, '{_FENCE}') AS code, string_split_regex(text, '{_FENCE}') AS gaps FROM d),
+    t AS (SELECT doc_id, 'code' AS type, unnest(code) AS text FROM f UNION ALL SELECT doc_id, 'text', v.t FROM (SELECT doc_id, unnest({_PARAGRAPHS}) AS v FROM (SELECT doc_id, unnest(gaps) AS g FROM f)))
+    SELECT doc_id, type, count(*) AS n, sum(length(text))::BIGINT AS chars FROM t WHERE regexp_matches(text, '[^\\s]') GROUP BY doc_id, type"""
+)
 def paragraph_chunks(spark, sf_dir):
     return chunking.paragraphs(documents(spark, sf_dir)).groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
@@ -514,9 +595,33 @@ def detect_plan(spark, sf_dir):
     return plan(spark, sf_dir)
 
 
-@query()
+_MORE = " w o r d and B-O-O-O-M then *KABOOM!* hahahah sooooon [User]: ʜᴇʟʟᴏ ((nested))"
+_SCREAM = "|".join(f"{c}{{4,}}" for c in "abcdefghijklmnopqrstuvwxyz")
+_RULE_SQL = [
+    ("punct_runs", "SIMPLE_PUNCT", "[!?]{2,}"),
+    ("hyphen_letters", "TTS_SPACED", "\\b[A-Za-z](?:-[A-Za-z]){3,}\\b"),
+    ("sound_effect", "TTS_SPACED", "\\*[A-Z]+!*\\*"),
+    ("laugh", "SIMPLE_PUNCT", "(?i)\\b(?:(?:ha){3,}h?|(?:he){3,}h?)\\b"),
+    ("speaker", "SIMPLE_PUNCT", "\\[[A-Z][A-Za-z]*\\]:"),
+    ("small_caps", "UNICODE_STYLIZED", f"[{detect.SMALL_CAPS[0]}]{{2,}}"),
+    ("nested_parens", "SIMPLE_PUNCT", "\\({2,}|\\){2,}"),
+]
+_BY_RULE = " UNION ALL ".join(f"SELECT '{r}' AS rule, '{y}' AS reason, unnest(regexp_extract_all(text, '{p}')) AS find FROM d" for r, y, p in _RULE_SQL)
+
+
+@query(
+    f"""WITH d0 AS ({DOCS}), d AS (SELECT doc_id, text || '{_MORE}' AS text FROM d0),
+    t AS (SELECT doc_id, unnest(x) AS tok, unnest(range(len(x))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS x FROM d)),
+    s AS (SELECT *, regexp_full_match(tok, '\\p{{L}}') AS letter, lag(regexp_full_match(tok, '\\p{{L}}')) OVER w AND lead(regexp_full_match(tok, '\\p{{L}}')) OVER w AND tok = ' ' AS sep FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    r AS (SELECT *, sum(CASE WHEN letter OR coalesce(sep, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM s),
+    f AS ({_BY_RULE}
+      UNION ALL SELECT 'caps', 'CASE_GLITCH', unnest(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{4,}}'))) FROM d
+      UNION ALL SELECT 'scream', 'CASE_GLITCH', unnest(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '(?i)(?:{_SCREAM})'))) FROM d
+      UNION ALL SELECT 'spaced_letters', 'TTS_SPACED', string_agg(tok, '' ORDER BY pos) FROM r WHERE letter OR coalesce(sep, false) GROUP BY doc_id, run HAVING count(*) FILTER (letter) >= 4)
+    SELECT rule, reason, count(*) AS n, count(DISTINCT find) AS finds FROM f GROUP BY rule, reason"""
+)
 def detect_all_rules(spark, sf_dir):
-    items = detect.detect(documents(spark, sf_dir), ["doc_id"])
+    items = detect.detect(documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit(_MORE))), ["doc_id"])
     return items.groupBy("rule", "reason").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("find").alias("finds"))
 
 

@@ -11,9 +11,11 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
-def prepare(spark: SparkSession, arrow_rows: int = 1000) -> None:
+def prepare(spark: SparkSession, arrow_rows: int = 1000, arrow_bytes: str = "8m") -> None:
     """Ships this package to the executors as a zip file, once for each application."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrow_rows))
+    # Long texts make batches of fewer rows.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", arrow_bytes)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
