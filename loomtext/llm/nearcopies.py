@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm import simhash
-from loomtext.llm.base import fresh, written
+from loomtext.llm.base import fresh, join_with_hot, written
 from loomtext.llm.graph import components
 from loomtext.llm.simhash import _LOWER, SEED
 
@@ -89,16 +89,16 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both * 100 >= percent * (len(a) + len(b) - both)
 
 
-def fingerprint_pairs(sketches: DataFrame, distance: int) -> DataFrame:
+def fingerprint_pairs(sketches: DataFrame, distance: int, hot: int) -> DataFrame:
     """(x, y): nodes whose fingerprints are equal or linked by simhash."""
-    heads = written(sketches.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    heads = written(sketches.groupBy("fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")), "heads")
     found = simhash.links(heads.select("fp"), distance)
     across = found.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
-    within = sketches.join(heads, "fp").where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
+    within = join_with_hot(sketches.select("fp", "node"), heads, "fp", "n", hot).where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
     return written(across.unionByName(within), "pairs")
 
 
-def links(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 512, distance: int = 3) -> DataFrame:
+def links(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 512, distance: int = 3, hot: int = 10_000) -> DataFrame:
     """(a, b): verified links of nodes that connect what all such links among the candidates connect."""
 
     def sketch(batches):
@@ -132,7 +132,7 @@ def links(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 512
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingles(t, shingle)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
 
-    pairs = fingerprint_pairs(sketches, distance)
+    pairs = fingerprint_pairs(sketches, distance, hot)
     met = squares.select("node").unionByName(pairs.select(F.col("x").alias("node"))).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
     once = texts.groupBy("node").agg(F.min("text").alias("text"))
     sets = written(once.join(met, "node", "left_semi").mapInArrow(hashed, "node long, hashes binary"), "sets")
@@ -164,7 +164,9 @@ def links(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 512
     by = ("key", "p", "q")
     whole = squares.join(sets, "node").select(*by, "node", "hashes")
     by_bands = whole.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "a long, b long")
-    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("hashes").alias("p")), "x").join(sets.select(F.col("node").alias("y"), F.col("hashes").alias("q")), "y")
+    # A text that heads very many others (one fingerprint, or a hub of links) meets them by broadcast.
+    heads = sets.select(F.col("node").alias("x"), F.col("hashes").alias("p")).join(pairs.groupBy("x").agg(F.count(F.lit(1)).alias("n")), "x")
+    both = join_with_hot(pairs.join(sets.select(F.col("node").alias("y"), F.col("hashes").alias("q")), "y"), heads, "x", "n", hot)
     return by_bands.unionByName(both.select("x", "y", "p", "q").mapInArrow(verify, "a long, b long"))
 
 

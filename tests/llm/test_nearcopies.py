@@ -67,3 +67,14 @@ def test_fingerprints_alone_miss_what_bands_find(spark):
         bits.append((N.simhash.fingerprint(node[a], 5) ^ N.simhash.fingerprint(node[b], 5)).bit_count())
     assert max(bits) > 3 and min(bits) <= 3
     assert len({frozenset(p) for p in found if node[p[0]].split() and len(node[p[0]].split()) < 3}) == 1
+
+
+def test_hubs_meet_by_broadcast(spark):
+    """One text with many copies of other white space, and near ones: the same components through the broadcast side."""
+    rng = random.Random(3)
+    base = words(rng, 60)
+    texts = [" ".join(base[:k]) + "  " + " ".join(base[k:]) for k in range(1, 60)] + [" ".join(base) + f" {k}" for k in range(20)] + [" ".join(words(rng, 40)) for _ in range(10)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    nodes = [r["n"] for r in d.select(N.node_of(d["text"]).alias("n")).distinct().collect()]
+    a, b = (brute_components([(r["a"], r["b"]) for r in N.links(d, hot=h).collect()], nodes) for h in (5, 10_000))
+    assert a == b and len(set(a.values())) == 11
