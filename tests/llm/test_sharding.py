@@ -1,5 +1,7 @@
+import math
 import zlib
 
+import xxhash
 from pyspark.sql import functions as F
 
 from loomtext.llm import sharding as S
@@ -48,3 +50,29 @@ def test_empty(spark, nothing):
 def test_no_python_in_the_plan(spark, awkward):
     plan = S.shard_documents(awkward)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def plain_draw(key, name, weight):
+    h = xxhash.xxh64_intdigest(name.encode(), xxhash.xxh64_intdigest(key.encode(), 42))
+    return -math.log(((h >> 12) + 0.5) / 2**52) / weight
+
+
+def plain_shard(key, tree):
+    """Region, rack and shard one after the other, each by the smallest draw of plain Python."""
+    own = [x for x in tree if x.weight > 0]
+    for level, name in ((lambda x: x.region, lambda x: x.region), (lambda x: x.rack, lambda x: f"{x.region}/{x.rack}"), (lambda x: x.shard, lambda x: f"{x.region}/{x.rack}/{x.shard}")):
+        groups = {}
+        for x in own:
+            groups.setdefault(level(x), []).append(x)
+        if len(groups) > 1:
+            own = min(groups.values(), key=lambda g: plain_draw(key, name(g[0]), sum(x.weight for x in g)))
+    return own[0].shard
+
+
+def test_draws_against_plain_python(spark):
+    d = spark.createDataFrame([(k, "x" * ((k or 0) % 5)) for k in [None, -3, *range(400), 2**60]], "doc_id long, text string").repartition(3)
+    uneven = [S.Leaf("a", "k", 0, 2.0), S.Leaf("a", "k", 1), S.Leaf("a", "l", 2, 0.5), S.Leaf("b", "k", 3, 4.0), S.Leaf("b", "m", 4, 0.0), S.Leaf("c", "k", 5)]
+    for tree in (S.balanced_tree(), uneven):
+        for r in S.shard_documents(d, tree, parts=3).collect():
+            key = "null" if r["doc_id"] is None else str(r["doc_id"])
+            assert (r["shard"], r["grown_shard"]) == (plain_shard(key, tree), plain_shard(key, S.grown(tree)))
