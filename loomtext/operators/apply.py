@@ -203,8 +203,13 @@ def masked_edits(matches: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def lines(docs: DataFrame, text: str = "text", only: Callable[[Column], Column] | None = None) -> DataFrame:
     """(doc_id, line_no, line): stripped lines that aren't blank, and for which `only` holds, from 0."""
+    return docs.select("doc_id", F.posexplode(stripped_lines(F.col(text), only)).alias("line_no", "line"))
+
+
+def stripped_lines(text: Column, only: Callable[[Column], Column] | None = None) -> Column:
+    """array<string>: the stripped lines of a text that aren't blank, and for which `only` holds."""
     trimmed = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    return docs.select("doc_id", F.posexplode(F.filter(trimmed, lambda x: (F.length(x) > 0) & only(x) if only else F.length(x) > 0)).alias("line_no", "line"))
+    return F.filter(trimmed, lambda x: (F.length(x) > 0) & only(x) if only else F.length(x) > 0)
 
 
 def positions(rows: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from loomtext.functions.once import once
 
 LINK = r"\[([^\]]*)\]\([^)]*\)"
 NOTE = r"(?i)^\W*(?:a/n\b|author'?s? note|note from the author|translator'?s? note)"
@@ -14,8 +15,9 @@ CATEGORIES = ("authors_note", "navigation", "promo_ad_social", "link_farm")
 
 
 def blocks(docs: DataFrame, separator: str = "\n\n+") -> DataFrame:
-    """(doc_id, block_no, text)."""
-    return docs.select("doc_id", F.posexplode(F.split("text", separator, -1)).alias("block_no", "text"))
+    """(doc_id, n_blocks, block_no, text)."""
+    parts = F.split("text", separator, -1)
+    return docs.select("doc_id", F.size(parts).alias("n_blocks"), F.posexplode(parts).alias("block_no", "text"))
 
 
 def link_density(text: Column) -> Column:
@@ -30,22 +32,43 @@ def category(text: Column, farm: float = 0.5, least: int = 12) -> Column:
 
 
 def candidates(parts: DataFrame, edge: float = 0.3, switches: tuple[str, ...] = CATEGORIES, kept_headings: tuple[str, ...] = ()) -> DataFrame:
-    """parts with category, position (edge_top, edge_bottom, middle) and reason; only blocks at the edges are removed, the window holds one document's blocks."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
-    p = parts.withColumn("n_blocks", n).withColumn("category", category(F.col("text")))
-    p = p.withColumn("position", F.when(F.col("block_no") < F.col("n_blocks") * edge, "edge_top").when(F.col("block_no") >= F.col("n_blocks") * (1 - edge), "edge_bottom").otherwise("middle"))
+    """Blocks with category, position (edge_top, edge_bottom, middle), reason and removed; only blocks at the edges are removed. Map-only."""
+    p = parts.withColumn("category", category(F.col("text"))).withColumn("position", position(F.col("block_no"), F.col("n_blocks"), edge))
+    p = p.withColumn("reason", reason(F.col("text"), F.col("category"), F.col("position"), switches, kept_headings))
+    return p.withColumn("removed", F.coalesce(~F.col("reason").startswith("kept_"), F.lit(False)))
+
+
+def position(number: Column, n: Column, edge: float) -> Column:
+    return F.when(number < n * edge, "edge_top").when(number >= n * (1 - edge), "edge_bottom").otherwise("middle")
+
+
+def reason(text: Column, kind: Column, place: Column, switches: tuple[str, ...], kept_headings: tuple[str, ...]) -> Column:
+    """Why a block of boilerplate goes, or (kept_...) stays; null for other blocks."""
     heading = F.lit(False)
     for h in kept_headings:
-        heading = heading | F.col("text").startswith(h)
-    reason = (
-        F.when(F.col("category").isNull(), F.lit(None))
+        heading = heading | text.startswith(h)
+    return (
+        F.when(kind.isNull(), F.lit(None))
         .when(heading, "kept_whitelisted")
-        .when(~F.col("category").isin(list(switches)), "kept_switched_off")
-        .when(F.col("position") == "middle", "kept_middle_bias")
-        .when(F.col("category") == "link_farm", "Link density")
-        .otherwise(F.col("category"))
+        .when(~kind.isin(list(switches)), "kept_switched_off")
+        .when(place == "middle", "kept_middle_bias")
+        .when(kind == "link_farm", "Link density")
+        .otherwise(kind)
     )
-    return p.withColumn("reason", reason).withColumn("removed", F.coalesce(~F.col("reason").startswith("kept_"), F.lit(False)))
+
+
+def scrub(docs: DataFrame, separator: str = "\n\n+", joiner: str = "\n\n", edge: float = 0.3, switches: tuple[str, ...] = CATEGORIES, kept_headings: tuple[str, ...] = ()) -> DataFrame:
+    """docs with the text of the blocks that stay, and `removed`, their number: candidates and scrubbed within a row, without a shuffle."""
+
+    def judged(parts: Column) -> Column:
+        block = lambda b, k: F.struct(b.alias("text"), category(b).alias("kind"), position(k, F.size(parts), edge).alias("place"))
+        gone = lambda x: F.coalesce(~reason(x["text"], x["kind"], x["place"], switches, kept_headings).startswith("kept_"), F.lit(False))
+        return F.transform(F.transform(parts, block), lambda x: F.when(~gone(x), x["text"]))
+
+    d = once(docs, _kept=F.transform(F.array(F.split("text", separator, -1)), judged)[0])
+    text = F.regexp_replace(F.array_join(F.array_compact("_kept"), joiner), "\n{4,}", "\n\n\n")
+    gone = F.size("_kept") - F.size(F.array_compact("_kept"))
+    return d.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "removed"), gone.cast("long").alias("removed"))
 
 
 def scrubbed(parts: DataFrame, joiner: str = "\n\n", dry_run: bool = False) -> DataFrame:

@@ -522,8 +522,7 @@ def scrub_blocks(spark, sf_dir):
       count(*) FILTER (category IS NOT NULL AND position <> 'middle') AS removed FROM k GROUP BY doc_id"""
 )
 def scrub_documents(spark, sf_dir):
-    c = scrub.candidates(scrub.blocks(documents(spark, sf_dir), "\n"))
-    return scrub.scrubbed(c, "\n").select("doc_id", F.md5("text").alias("clean_md5"), "removed")
+    return scrub.scrub(documents(spark, sf_dir), "\n", "\n").select("doc_id", F.md5("text").alias("clean_md5"), "removed")
 
 
 @query(f"WITH d AS ({DOCS}), {_BLOCKS} SELECT category, count(*) AS n, sum(length(t))::BIGINT AS chars FROM k WHERE category IS NOT NULL AND position <> 'middle' GROUP BY category")
@@ -966,8 +965,7 @@ def reverted_documents(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    p = pairs(spark, sf_dir)
-    return evaluate.aligned_lines(p.select("doc_id", "text"), p.select("doc_id", F.col("original").alias("text")))
+    return evaluate.paired_lines(pairs(spark, sf_dir), "text", "original")
 
 
 _LINES = """a AS (SELECT doc_id, list_filter(list_transform(string_split(a2, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 0) AS o,
@@ -999,7 +997,7 @@ _METRICS = f"""{WITH}, {_LINES}, m AS (SELECT doc_id, o, e, CASE WHEN o = e THEN
 def line_metrics(spark, sf_dir):
     p = pairs(spark, sf_dir)
     sign = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "?")
-    content = evaluate.aligned_lines(p.select("doc_id", "text"), p.select("doc_id", F.col("original").alias("text")), lambda x: x.contains("!") | x.contains("."))
+    content = evaluate.paired_lines(p, "text", "original", lambda x: x.contains("!") | x.contains("."))
     m = evaluate.line_metrics(_sides(spark, sf_dir), content, similarity=lambda a, b: evaluate.edit_similarity(sign(a), sign(b)))
     return m.withColumn("similarity", F.round("similarity", 9))
 

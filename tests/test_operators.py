@@ -220,6 +220,8 @@ def test_scrubbing(spark):
     assert out[0]["removed"] == 3 and out[0]["text"].startswith("Paragraph 0") and out[1]["text"] == "A/N: Hi"
     assert {r["doc_id"]: r["text"] for r in scrub.scrubbed(c, dry_run=True).collect()}[0] == "\n\n".join(blocks)
     assert scrub.appendix(c).count() == 3
+    same = {r["doc_id"]: (r["text"], r["removed"]) for r in scrub.scrub(d).collect()}
+    assert same == {k: (r["text"], r["removed"]) for k, r in out.items()}
     off = scrub.candidates(scrub.blocks(d), switches=("navigation",), kept_headings=("[Previous",))
     assert off.where("removed").count() == 0
     density = docs(spark, "see [one two](u) and [three](v) for the rest of it all", "none", "").select(scrub.link_density(F.col("text"))).collect()
@@ -250,6 +252,8 @@ def test_pipeline_protects_code(spark):
 
 def test_evaluation(spark):
     pairs = evaluate.aligned_lines(docs(spark, "a\n\nb\nc"), docs(spark, " a \nx\nc\nd"))
+    both = spark.createDataFrame([(0, "a\n\nb\nc", " a \nx\nc\nd")], "doc_id long, o string, e string")
+    assert sorted(map(tuple, evaluate.paired_lines(both, "o", "e").collect())) == sorted(map(tuple, pairs.collect()))
     acc = evaluate.line_accuracy(pairs).first()
     assert (acc["same"], acc["total"], acc["accuracy"]) == (2, 4, 0.5)
     assert sorted((r["line_no"], r["sign"], r["line"]) for r in evaluate.changed_lines(pairs).collect()) == [(1, "+", "b"), (1, "-", "x"), (3, "-", "d")]
