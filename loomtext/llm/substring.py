@@ -51,7 +51,7 @@ from pyspark.sql.window import Window
 
 from loomtext.llm.base import fresh, written
 
-EVERY, AFTER = 16, 8
+EVERY, AFTER = 8, 4
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 
