@@ -1094,9 +1094,16 @@ def prepass_report(spark, sf_dir):
 
 
 def _arrivals(spark, sf_dir):
-    """Suggestions with the arrival time of the event of the same number, as a table in the shared folder to stream from."""
+    """Suggestions with the arrival time of the event of the same number (without one, an early time), as a table in the shared folder to stream from."""
+    return _with_arrival(plan(spark, sf_dir), spark, sf_dir)
+
+
+_EARLY = "TIMESTAMP '2020-01-01 00:00:00'"
+
+
+def _with_arrival(rows: DataFrame, spark, sf_dir) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts")
-    return plan(spark, sf_dir).join(events, "doc_id")
+    return rows.join(events, "doc_id", "left").withColumn("ts", F.coalesce("ts", F.expr(_EARLY)))
 
 
 def _folder(spark, name: str) -> str:
@@ -1116,7 +1123,7 @@ def stream_clean(spark, sf_dir):
     return spark.read.parquet(out).select("doc_id", F.md5("text").alias("clean_md5"))
 
 
-@query(f"{WITH_PLAN} SELECT DISTINCT doc_id, find, replace FROM p JOIN events ON event_id = doc_id WHERE find <> replace")
+@query(f"{WITH_PLAN} SELECT DISTINCT doc_id, find, replace FROM p WHERE find <> replace")
 def stream_dedup(spark, sf_dir):
     source, out, state = (_folder(spark, n) for n in ("arriving", "unique", "state"))
     _arrivals(spark, sf_dir).write.parquet(source)
@@ -1125,12 +1132,11 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(out).select("doc_id", "find", "replace")
 
 
-@query(f"{WITH}, s AS ({STATS}) SELECT date_trunc('hour', ts) AS hour, step, key, sum(s.value)::BIGINT AS total FROM s JOIN events ON event_id = doc_id GROUP BY ALL")
+@query(f"{WITH}, s AS ({STATS}) SELECT date_trunc('hour', coalesce(ts, {_EARLY})) AS hour, step, key, sum(s.value)::BIGINT AS total FROM s LEFT JOIN events ON event_id = doc_id GROUP BY ALL")
 def stream_stats(spark, sf_dir):
     source, state = (_folder(spark, n) for n in ("arriving", "state"))
     _, s = clean.clean(documents(spark, sf_dir), ("prepass-basic", "prepass-advanced"))
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts")
-    rows = s.join(events, "doc_id")
+    rows = _with_arrival(s, spark, sf_dir)
     rows.write.parquet(source)
     sums = incremental.running_stats(incremental.arriving(spark, source, rows.schema), "1 day")
     return incremental.last_sums(sums, _folder(spark, "sums"), state)
