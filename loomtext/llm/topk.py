@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomtext.llm.base import written
@@ -165,11 +166,27 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int | None
     keyed = written(base.mapInArrow(key, "vec_id long, v array<long>, pivot int, dist double, norm double" + "".join(f", d{j} double" for j in near)), "keyed")
     rings = min(most_rings, max(4, -(-4 * n // (block * pivots))))
     reach = keyed.groupBy("pivot").agg(F.min("dist").alias("near"), F.max("dist").alias("far")).collect()  # at most `pivots` rows
-    span = {r["pivot"]: (r["near"], max(r["far"] - r["near"], 1e-9)) for r in reach}
-    bounds_of = lambda i: F.element_at(F.create_map(*(F.lit(x) for p, s in span.items() for x in (p, s[i]))), F.col("pivot")) if span else F.lit(1.0)
-    ringed = keyed.withColumn("ring", F.least(F.floor((F.col("dist") - bounds_of(0)) / bounds_of(1) * rings), F.lit(rings - 1)).cast("int"))
+    low, width = np.zeros(len(centers)), np.ones(len(centers))
+    for r in reach:
+        low[r["pivot"]], width[r["pivot"]] = r["near"], max(r["far"] - r["near"], 1e-9)
+    spans = base.sparkSession.sparkContext.broadcast((low, width))  # two numbers for each pivot
+
+    def ringed(*columns: Column) -> DataFrame:
+        """pivot, dist, the columns, and each vector's ring: its place between its pivot's nearest and farthest."""
+        own = keyed.select("pivot", "dist", *columns)
+        names = [*own.columns, "ring"]
+
+        def run(batches):
+            low, width = spans.value
+            for b in batches:
+                p = np.asarray(b.column(0))
+                ring = np.minimum((np.asarray(b.column(1)) - low[p]) / width[p] * rings, rings - 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ring)], names)
+
+        return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("ring", T.IntegerType())]))
+
     ranges = [f(f"d{j}").alias(f"{name}{j}") for j in near for name, f in (("lo", F.min), ("hi", F.max))]
-    rows = ringed.groupBy("pivot", "ring").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.max("norm").alias("norm"), F.count(F.lit(1)).alias("n"), *ranges)
+    rows = ringed("norm", *(f"d{j}" for j in near)).groupBy("pivot", "ring").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.max("norm").alias("norm"), F.count(F.lit(1)).alias("n"), *ranges)
     summary = Summary(rows.orderBy("pivot", "ring").collect(), centers, block)  # at most pivots * rings rows
     index = base.sparkSession.sparkContext.broadcast(summary)
     parts = max(1, -(-keyed.where(is_query).count() // query_block))
@@ -178,12 +195,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int | None
         """Every vector with its annulus and block."""
         s = index.value
         for b in batches:
-            a = np.array([s.at[key] for key in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], int)
+            a = np.array([s.at[key] for key in zip(b.column(0).to_pylist(), b.column(5).to_pylist(), strict=True)], int)
             spread = np.asarray(b.column(4)) % s.cuts[a]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(a, pa.int32()), pa.array(s.first[a] + spread, pa.int32())], ["vec_id", "v", "annulus", "block"])
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array(a, pa.int32()), pa.array(s.first[a] + spread, pa.int32())], ["vec_id", "v", "annulus", "block"])
 
     hashed = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
-    placed = ringed.select("vec_id", "v", "pivot", "ring", hashed.alias("h")).mapInArrow(place, "vec_id long, v array<long>, annulus int, block int")
+    placed = ringed(F.col("vec_id"), F.col("v"), hashed.alias("h")).mapInArrow(place, "vec_id long, v array<long>, annulus int, block int")
     queries = keyed.where(is_query).select("vec_id", "v").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(parts)).cast("int"))
 
     def ask(first: bool, with_vectors: bool):
