@@ -17,13 +17,14 @@ from loomtext.operators.stats import long_stats
 
 @dataclass
 class Options:
-    """What steps may take: the words de-shouting keeps, whether policies are on, a plan for `apply`, and the validators' options."""
+    """What steps may take: the words de-shouting keeps, whether policies are on, a plan for `apply`, and the validators' and the scrubber's options."""
 
     kept_words: list[str] = field(default_factory=list)
     policies: bool = True
     footnotes: bool = False
     plan: DataFrame | None = None
     validators: dict = field(default_factory=dict)
+    scrub: dict = field(default_factory=dict)
 
 
 def stepped(df: DataFrame, name: str, steps: list[text.Step]) -> DataFrame:
