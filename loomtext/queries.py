@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import spans, text, validators
 from loomtext.functions.once import once
-from loomtext.operators import apply, chunking, detect, evaluate, inference, requests, responses, scrub, stats
+from loomtext.operators import alignment, apply, chunking, detect, evaluate, inference, requests, responses, scrub, stats
 from loomtext.plans import clean, whole
 from loomtext.sources import files
 from loomtext.streaming import incremental
@@ -1003,12 +1003,33 @@ def line_metrics(spark, sf_dir):
     return m.withColumn("similarity", F.round("similarity", 9))
 
 
-@query(f"{WITH} SELECT doc_id, round(1 - levenshtein({_ASCII('o')}, {_ASCII('e')}) / greatest(length(o), length(e), 1), 9) AS similarity FROM (SELECT doc_id, " + ", ".join(f"regexp_replace(replace(replace(substr({c}, greatest(length({c}) - 299, 1)), chr(10), ' '), '  ', ' '), '^\\s+|\\s+$', '', 'g') AS {n}" for c, n in (("a2", "o"), ("text", "e"))) + " FROM c)")
+@query(f"{WITH} SELECT doc_id, round(1 - levenshtein({_ASCII('o')}, {_ASCII('e')}) / greatest(length(o), length(e), 1), 9) AS similarity FROM (SELECT doc_id, " + ", ".join(f"regexp_replace(replace(replace({c}, chr(10), ' '), '  ', ' '), '^\\s+|\\s+$', '', 'g') AS {n}" for c, n in (("a2", "o"), ("text", "e"))) + " FROM c)")
 def text_similarity(spark, sf_dir):
-    """Whole-text similarity of the last 300 characters, which hold most edits: the distance is quadratic."""
+    """Similarity of whole texts, by bit-parallel edit distance."""
     sign = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "?")
-    end = lambda c: F.expr(f"substring({c}, greatest(length({c}) - 299, 1))")
-    s = evaluate.text_similarity(sign(end("text")), sign(end("original")))
+    s = evaluate.text_similarity(sign(F.col("text")), sign(F.col("original")), alignment.edit_similarity)
+    return pairs(spark, sf_dir).select("doc_id", F.round(s, 9).alias("similarity"))
+
+
+#: The longest common subsequence of two lists of lines, row by row.
+_COMMON = """list_reduce(a, lambda r, x: list_reduce(range(1, len(b) + 1), lambda acc, j: list_append(acc, greatest(acc[len(acc)], r[j + 1], r[j] + CASE WHEN b[j] = x THEN 1 ELSE 0 END)), [0::BIGINT]), list_transform(range(len(b) + 1), lambda z: 0::BIGINT))"""
+
+
+@query(
+    f"""{WITH}, s AS (SELECT doc_id, md5(a2) AS new_md5, list_transform(string_split(text, chr(10)), lambda x: md5(x)) AS a, list_transform(string_split(a2, chr(10)), lambda x: md5(x)) AS b FROM c),
+    l AS (SELECT doc_id, new_md5, len(a) AS n, len(b) AS m, {_COMMON} AS r FROM s)
+    SELECT doc_id, new_md5, (m - r[len(r)])::INTEGER AS added, (n - r[len(r)])::INTEGER AS removed FROM l"""
+)
+def unified_diff(spark, sf_dir):
+    """Shortest line diffs of the original and the clean text: as many lines come and go as they must, and the hunks lead from one to the other."""
+    d = alignment.with_hunks(pairs(spark, sf_dir).select("doc_id", "original", "text"), "original", "text").withColumn("c", alignment.changes(F.col("hunks")))
+    return d.select("doc_id", F.md5(alignment.patched(F.col("original"), F.col("hunks"))).alias("new_md5"), "c.added", "c.removed")
+
+
+@query()
+def common_similarity(spark, sf_dir):
+    """Twice the longest common subsequence of whole texts over both lengths."""
+    s = evaluate.text_similarity(F.col("text"), F.col("original"), alignment.common_similarity)
     return pairs(spark, sf_dir).select("doc_id", F.round(s, 9).alias("similarity"))
 
 
