@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomtext.functions.once import once
@@ -145,27 +148,53 @@ def apply_map(text: Column, items: Column) -> Column:
     return F.aggregate(items, text, lambda t, i: F.when(F.length(i["find"]) > 0, F.replace(t, i["find"], i["replace"])).otherwise(t))
 
 
-def dictionary_hits(docs: DataFrame, dictionary: DataFrame, most: int = 10_000) -> DataFrame:
+def automaton(finds: list[str]):
+    """All find texts as one automaton with failure links; a hit's value is the places in the list that have this text."""
+    import ahocorasick
+
+    places: dict[str, list[int]] = {}
+    for k, find in enumerate(finds):
+        places.setdefault(find, []).append(k)
+    out = ahocorasick.Automaton()
+    for find, own in places.items():
+        out.add_word(find, tuple(own))
+    out.make_automaton()
+    return out
+
+
+def dictionary_hits(docs: DataFrame, dictionary: DataFrame, most: int = 1_000_000) -> DataFrame:
     """(doc_id, item_no, find, replace, reason): the entries of one curated dictionary that occur in each document.
 
-    The dictionary is counted first. Up to `most` entries it is broadcast and each
-    text is searched for each entry. Beyond that, entries and texts meet on a
-    shuffle by the entry's first code points, up to three, each distinct such
-    beginning of a text once and at most as many as there are in the dictionary.
-    Either way every row of docs has each entry that occurs in it once.
+    Each text is read once, code point by code point, by an automaton of the entries,
+    whatever their number. An automaton has `most` code points of entries (some 50 MB);
+    the dictionary is summed first, and a larger one is cut by a hash of the entry into so many parts, each of which
+    reads the texts once. No shuffle; every row of docs has each entry that occurs in it once.
     """
-    entries = dictionary.where(F.length("find") > 0)
-    cols = ["doc_id", "item_no", "find", "replace", "reason"]
-    if entries.count() <= most:
-        return docs.join(F.broadcast(entries), F.contains(docs["text"], entries["find"])).select(*cols)
-    begin = entries.withColumn("_t", F.substring("find", 1, 3)).withColumn("_size", F.length("_t"))
-    d = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text")
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1))), lambda k: F.substring(F.col("text"), k, F.lit(n)))
-    sizes = [r["_size"] for r in begin.select("_size").distinct().collect()]  # 1, 2 and 3 at most
-    own = F.array_distinct(F.concat(*(grams(n) for n in sizes))) if sizes else F.array().cast("array<string>")
-    met = d.select("doc_id", "_h", F.explode(own).alias("_t")).join(begin.drop("_size"), "_t").drop("_t").distinct()
-    ids = met.withColumnsRenamed({"doc_id": "_id", "_h": "_m"})
-    return d.join(ids, d["doc_id"].eqNullSafe(ids["_id"]) & (d["_h"] == ids["_m"])).where(F.contains("text", "find")).select(*cols)
+    entries = dictionary.where(F.length("find") > 0).select("item_no", "find", "replace", "reason")
+    parts = -(-(entries.agg(F.sum(F.length("find"))).first()[0] or 0) // most)
+    texts = docs.select("doc_id", docs["text"].cast("string").alias("text"))
+    schema = T.StructType([texts.schema["doc_id"], *entries.schema.fields])
+    passes = [_hits_of(texts, entries.where(F.pmod(F.xxhash64("find"), F.lit(parts)) == k) if parts > 1 else entries, schema) for k in range(max(1, parts))]
+    return reduce(DataFrame.unionByName, passes)
+
+
+def _hits_of(texts: DataFrame, part: DataFrame, schema: T.StructType) -> DataFrame:
+    sent = texts.sparkSession.sparkContext.broadcast(part.toArrow())  # of the size that dictionary_hits has checked
+
+    def run(batches):
+        entries, found = sent.value, None
+        for b in batches:
+            found = found or automaton(entries.column("find").to_pylist())
+            at, hits = [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                own = {place for _, places in found.iter(text) for place in places} if text and len(found) else ()
+                at += [k] * len(own)
+                hits += sorted(own)
+            rows = entries.take(pa.array(hits, pa.int64())).combine_chunks()
+            ids = b.column(0).take(pa.array(at, pa.int64()))
+            yield from (pa.table([ids, *rows.columns], names=["doc_id", *rows.column_names]).cast(pa.schema([b.schema.field(0), *entries.schema])).to_batches() if at else ())
+
+    return texts.mapInArrow(run, schema)
 
 
 #: The category of a rule by a part of its name (fixed values of the rule engine), the first that fits.

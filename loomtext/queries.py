@@ -783,6 +783,17 @@ def apply_dictionary(spark, sf_dir):
     return j.select("doc_id", F.md5(new).alias("new_md5"))
 
 
+@query(
+    f"""WITH d AS ({DOCS}), e AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\n]+ [^ \\n]+')) AS find FROM benchmark)
+    SELECT doc_id, count(*) AS n, min(find) AS first_find FROM d JOIN e ON contains(text, find) GROUP BY doc_id"""
+)
+def dictionary_phrases(spark, sf_dir):
+    """A dictionary of all pairs of neighbouring words of the benchmark's items: one automaton, each text read once."""
+    found = F.explode(F.regexp_extract_all("text", F.lit("[^ \\n]+ [^ \\n]+"), 0)).alias("find")
+    e = table(spark, sf_dir, "benchmark").select(found).distinct().select(F.lit(0).alias("item_no"), "find", F.lit("").alias("replace"), F.lit("phrase").alias("reason"))
+    return apply.dictionary_hits(documents(spark, sf_dir), e).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("find").alias("first_find"))
+
+
 _MAP = [("SIMPLE_PUNCT", "punctuation"), ("CASE_GLITCH", "casing")]
 
 
