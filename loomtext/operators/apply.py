@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomtext.functions.once import once
-from loomtext.functions.spans import stitched
+from loomtext.functions.spans import stitched, swept
 from loomtext.functions.validators import first_failure
 
 ITEMS = "array<struct<item_no:int,find:string,replace:string>>"
@@ -96,14 +96,8 @@ def keep_longest(matches: DataFrame) -> DataFrame:
     """
     m = F.struct("offset", (-F.col("length")).alias("neg"), "find", "replace", "reason", "length")
     rows = matches.groupBy("doc_id", "node_no").agg(F.array_sort(F.collect_list(m)).alias("all"))
-    span = "struct<start:int,end:int,find:string,replace:string,reason:string>"
-
-    def add(kept: Column, x: Column) -> Column:
-        new = F.struct(x["offset"].cast("int").alias("start"), (x["offset"] + x["length"]).cast("int").alias("end"), x["find"].alias("find"), x["replace"].alias("replace"), x["reason"].alias("reason"))
-        free = (F.size(kept) == 0) | (x["offset"] >= F.element_at(kept, -1)["end"])
-        return F.when(free, F.concat(kept, F.array(new))).otherwise(kept)
-
-    kept = F.aggregate("all", F.expr(f"cast(array() as array<{span}>)"), add)
+    new = lambda x: F.struct(x["offset"].cast("int").alias("start"), (x["offset"] + x["length"]).cast("int").alias("end"), x["find"].alias("find"), x["replace"].alias("replace"), x["reason"].alias("reason"))
+    kept = swept(F.transform("all", new), lambda x: x, "struct<start:int,end:int,find:string,replace:string,reason:string>")
     return rows.select("doc_id", "node_no", kept.alias("kept"), F.size("all").alias("_n")).withColumn("skipped", F.col("_n") - F.size("kept")).drop("_n")
 
 
