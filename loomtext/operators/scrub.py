@@ -11,6 +11,8 @@ LINK = r"\[([^\]]*)\]\([^)]*\)"
 NOTE = r"(?i)^\W*(?:a/n\b|author'?s? note|note from the author|translator'?s? note)"
 NAVIGATION = r"(?i)\b(?:previous chapter|next chapter|table of contents|back to top|prev\b.*\bnext\b)"
 PROMO = r"(?i)\b(?:patreon|ko-?fi|discord|subscribe|follow (?:me|us)|newsletter|support (?:me|us)|donate|licensed under|released under|all rights reserved|public license)\b"
+#: What every text with a block of these kinds holds somewhere, beside links: the patterns without their bounds.
+ANY = "|".join(p.replace(r"^\W*", "").replace(r"\b", "") for p in (NOTE, NAVIGATION, PROMO))
 CATEGORIES = ("authors_note", "navigation", "promo_ad_social", "link_farm")
 
 
@@ -58,16 +60,21 @@ def reason(text: Column, kind: Column, place: Column, switches: tuple[str, ...],
 
 
 def scrub(docs: DataFrame, separator: str = "\n\n+", joiner: str = "\n\n", edge: float = 0.3, switches: tuple[str, ...] = CATEGORIES, kept_headings: tuple[str, ...] = ()) -> DataFrame:
-    """docs with the text of the blocks that stay, and `removed`, their number: candidates and scrubbed within a row, without a shuffle."""
+    """docs with the text of the blocks that stay, and `removed`, the number of the others: candidates and scrubbed within a row, without a shuffle.
+
+    Blocks are judged one by one only in texts that hold a link or the words of any kind.
+    """
 
     def judged(parts: Column) -> Column:
         block = lambda b, k: F.struct(b.alias("text"), category(b).alias("kind"), position(k, F.size(parts), edge).alias("place"))
         gone = lambda x: F.coalesce(~reason(x["text"], x["kind"], x["place"], switches, kept_headings).startswith("kept_"), F.lit(False))
         return F.transform(F.transform(parts, block), lambda x: F.when(~gone(x), x["text"]))
 
-    d = once(docs, _kept=F.transform(F.array(F.split("text", separator, -1)), judged)[0])
-    text = F.regexp_replace(F.array_join(F.array_compact("_kept"), joiner), "\n{4,}", "\n\n\n")
-    gone = F.size("_kept") - F.size(F.array_compact("_kept"))
+    parts = F.split("text", separator, -1)
+    suspect = F.col("text").contains("](") | F.col("text").rlike(ANY)
+    d = once(docs, _kept=F.when(suspect, F.transform(F.array(parts), judged)[0]).otherwise(parts))
+    text = F.regexp_replace(F.array_join("_kept", joiner), "\n{4,}", "\n\n\n")  # nulls are left out
+    gone = F.size(F.filter("_kept", lambda x: x.isNull()))
     return d.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "removed"), gone.cast("long").alias("removed"))
 
 

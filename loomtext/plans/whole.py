@@ -2,10 +2,11 @@
 
 Steps without a model are those of `clean`, and `scrubber`. A model step (`detect`,
 `grammar`, `fix`) has two phases with files between them: the documents as they are, a
-row each with a number of its own, and the different requests are written; the answers are added to
+row each with a number of its own, are written; their different requests are asked, and the answers added to
 a folder of files; then the same plan goes on from the documents and the answers. After a failure the
-pipeline is run again with the same folder: what is written is read and not made again, and
-only requests without a good answer are asked. A folder belongs to one run of one table.
+pipeline is run again with the same folder: it goes on from the last documents that were written, and
+only requests without a good answer are asked. What came before these documents is removed, so that
+the files are those of two steps at most. A folder belongs to one run of one table.
 
 - detect: chunks are asked for replacements; those found in the document form its plan, each pair once, in order.
 - apply: the document's plan, first occurrences in order, all edits rejected if a validator fails.
@@ -23,7 +24,7 @@ import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import spans
@@ -52,24 +53,40 @@ class Model:
     most_growth: float = 0.05
 
 
-def kept(df: DataFrame, path: str) -> DataFrame:
-    """The table at `path`, written first if it isn't there as a whole."""
-    spark = df.sparkSession
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def _path(model: Model, name: str):
+    """A path below the run's folder, and its file system."""
+    spark = SparkSession.getActiveSession()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{model.folder}/{name}")
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def numbered(df: DataFrame, path: str) -> DataFrame:
-    """The documents as they are before a model step, each row with its number."""
-    return kept(df if "_row" in df.columns else df.withColumn("_row", F.monotonically_increasing_id()), f"{path}/documents")
-
-
-def said(asked: DataFrame, model: Model, path: str) -> DataFrame:
-    """(digest, response, error) to the requests: the two phases' hand-off."""
-    written = kept(inference.distinct_requests(asked), f"{path}/requests")
-    out = inference.answers(written, model.complete, f"{path}/answers", model.pool)
+def reached(model: Model, steps: tuple[str, ...]) -> int | None:
+    """The last model step whose documents are there as a whole."""
+    there = []
+    for number, name in enumerate(steps):
+        if name in ASKING:
+            path, files = _path(model, f"{number}-{name}/documents/_SUCCESS")
+            there += [number] if files.exists(path) else []
+    return max(there, default=None)
+
+
+def numbered(df: DataFrame, model: Model, step: str) -> DataFrame:
+    """The documents as they are before a model step, each row with its number; written if they are not there."""
+    folder = f"{model.folder}/{step}/documents"
+    path, files = _path(model, f"{step}/documents/_SUCCESS")
+    if not files.exists(path):
+        rows = df if "_row" in df.columns else df.withColumn("_row", F.monotonically_increasing_id())
+        rows.write.mode("overwrite").parquet(folder, compression="zstd")
+        root, files = _path(model, "")
+        for f in files.listStatus(root):
+            if f.getPath().getName() != step:
+                files.delete(f.getPath(), True)
+    return df.sparkSession.read.parquet(folder)
+
+
+def said(asked: DataFrame, model: Model, step: str) -> DataFrame:
+    """(digest, response, error) to the requests."""
+    out = inference.answers(inference.distinct_requests(asked), model.complete, f"{model.folder}/{step}/answers", model.pool)
     return out.select("digest", responses.without_thoughts(F.col("response")).alias("response"), "error")
 
 
@@ -77,12 +94,12 @@ def counted(df: DataFrame, step: str, **counts: Column) -> DataFrame:
     return df.withColumns({f"{step}.{key}": c.cast("long") for key, c in counts.items()})
 
 
-def detect(df: DataFrame, o: Options, model: Model, path: str) -> DataFrame:
-    d = numbered(df.drop("_plan"), path)
+def detect(df: DataFrame, o: Options, model: Model, step: str) -> DataFrame:
+    d = numbered(df.drop("_plan"), model, step)
     chunks = d.select("_row", F.posexplode(chunking.fixed_width(F.col("text"), model.chunk)).alias("chunk_no", "chunk")).where(F.col("chunk").rlike(chunking.NOT_BLANK))
     asked = inference.keyed(chunks, "detect", F.lit(model.prompts["detect"]), F.col("chunk"))
     own = asked.select("_row", "chunk_no", "digest")
-    answers = said(asked, model, path)
+    answers = said(asked, model, step)
     items = responses.parse_lines(answers.where("error is null"), ["digest"])  # each different answer is read once
     place = F.struct("chunk_no", "item_no", "reason")
     pairs = own.join(items, "digest").groupBy("_row", "find", "replace").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"))
@@ -122,12 +139,12 @@ def hinted(prompt: str, plan: Column, most: int) -> Column:
     return F.when(F.size(plan) > 0, F.concat(F.lit(prompt + requests.HINTS), F.array_join(lines, "\n"), F.lit(requests.TRAILER))).otherwise(F.lit(prompt))
 
 
-def whole_text(df: DataFrame, model: Model, path: str, phase: str, out: Column, factor: float) -> DataFrame:
+def whole_text(df: DataFrame, model: Model, step: str, phase: str, out: Column, factor: float) -> DataFrame:
     """df with `_said`: the answer for its whole text, or null where there is none that counts."""
-    d = numbered(df, path)
+    d = numbered(df, model, step)
     system = hinted(model.prompts[phase], F.col("_plan"), model.hints) if phase == "grammar" and "_plan" in d.columns else F.lit(model.prompts[phase])
     asked = inference.keyed(d.select("_row", "text", *(c for c in ("_plan",) if c in d.columns)), phase, system, F.col("text"))
-    answers = said(asked, model, path).where("error is null").select("digest", out.alias("_said"))
+    answers = said(asked, model, step).where("error is null").select("digest", out.alias("_said"))
     new = asked.select("_row", "digest", F.length("text").alias("_n")).join(answers, "digest").where((F.length("_said") > 0) & (F.length("_said") < factor * F.col("_n"))).select("_row", "_said")
     return d.join(new, "_row", "left")
 
@@ -136,28 +153,28 @@ def replaced(d: DataFrame) -> DataFrame:
     return d.withColumn("text", F.coalesce("_said", "text")).drop("_said")
 
 
-def grammar(df: DataFrame, o: Options, model: Model, path: str) -> DataFrame:
-    d = whole_text(df, model, path, "grammar", responses.result_part(F.col("response")), 1.5)
+def grammar(df: DataFrame, o: Options, model: Model, step: str) -> DataFrame:
+    d = whole_text(df, model, step, "grammar", responses.result_part(F.col("response")), 1.5)
     provided = F.size("_plan") if "_plan" in d.columns else F.lit(0)
     return replaced(counted(d, "grammar", problems_provided=provided, grammar_applied=F.col("_said").isNotNull().cast("int")))
 
 
-def fix(df: DataFrame, o: Options, model: Model, path: str) -> DataFrame:
+def fix(df: DataFrame, o: Options, model: Model, step: str) -> DataFrame:
     if model.nodes:
-        return fix_nodes(df, model, path)
-    d = whole_text(df, model, path, "fix", F.col("response"), 1.2)
+        return fix_nodes(df, model, step)
+    d = whole_text(df, model, step, "fix", F.col("response"), 1.2)
     return replaced(counted(d, "fix", polishing_calls=F.col("_said").isNotNull().cast("int")))
 
 
-def fix_nodes(df: DataFrame, model: Model, path: str) -> DataFrame:
+def fix_nodes(df: DataFrame, model: Model, step: str) -> DataFrame:
     """Pieces which joined are the text; white space around a piece stays where it is."""
-    d = numbered(df, path)
+    d = numbered(df, model, step)
     pieces = d.select("_row", F.posexplode(chunking.split_long(F.col("text"), model.nodes)).alias("node_no", "piece"))
     core = F.regexp_extract("piece", r"(?U)(?s)^(\s*)(.*?)(\s*)$", 2)
     nodes = pieces.withColumn("text", core).withColumn("before", F.regexp_extract("piece", r"(?U)^\s*", 0)).withColumn("after", F.when(F.length("text") > 0, F.regexp_extract("piece", r"(?U)\s*\z", 0)).otherwise(""))
     keyed = inference.keyed(nodes, "fix", F.lit(model.prompts["fix"]), F.when(responses.worth_fixing(F.col("text"), model.least_node), F.col("text")))
     own = keyed.select("_row", "node_no", "before", "text", "after", "digest")
-    r = responses.rewritten(own, said(keyed, model, path), ["digest"], least=model.least_node)
+    r = responses.rewritten(own, said(keyed, model, step), ["digest"], least=model.least_node)
     piece = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_no", F.concat("before", c, "after").alias("t")))), lambda x: x["t"]), "")
     rejected = {f"_r_{x}": F.count_if(F.col("reject") == x) for x in REASONS}
     per = r.where(F.length("original") > 0).groupBy("_row").agg(
@@ -185,11 +202,14 @@ ASKING: dict[str, Callable[[DataFrame, Options, Model, str], DataFrame]] = {"det
 def clean_everything(docs: DataFrame, model: Model | None = None, steps: tuple[str, ...] = DEFAULT, options: Options | None = None, keep: list[str] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
     """(documents with clean text, statistics keep, step, key, value). Model steps need a `model`."""
     df, options = docs, options or Options()
+    if model is None and any(name in ASKING for name in steps):
+        raise ValueError("these steps need a model")
+    begun = reached(model, steps) if model else None
     for number, name in enumerate(steps):
+        if begun is not None and number < begun:
+            continue  # the documents before step `begun` have what this one does
         if name in ASKING:
-            if model is None:
-                raise ValueError(f"step {name} needs a model")
-            df = ASKING[name](df, options, model, f"{model.folder}/{number}-{name}")
+            df = ASKING[name](df, options, model, f"{number}-{name}")
         elif name in PLAIN:
             df = PLAIN[name](df, options)
         else:
