@@ -122,10 +122,10 @@ def grammar_structure(table: Column, b: Column, original: Column) -> Column:
 FORBIDDEN = r"https?://|</?[A-Za-z][^>]*>|[`*_\[\]<>~]"
 
 
-def rewrite_reason(original: Column, out: Column, growth: float = 0.2, shrink: float = 0.5) -> Column:
-    """Why a rewritten span is refused: forbidden_tokens, growth_limit or empty_or_non_text; null accepts it."""
+def rewrite_reason(original: Column, out: Column, growth: float = 0.2, shrink: float = 0.5, tokens: bool = True) -> Column:
+    """Why a rewritten span is refused: forbidden_tokens (unless `tokens` is off), growth_limit or empty_or_non_text; null accepts it."""
     a, b = F.length(strip(original)), F.length(strip(out))
-    new = F.regexp_count(out, F.lit(FORBIDDEN)) > F.regexp_count(original, F.lit(FORBIDDEN))
+    new = F.regexp_count(out, F.lit(FORBIDDEN)) > F.regexp_count(original, F.lit(FORBIDDEN)) if tokens else F.lit(False)
     return (
         F.when(out.isNull() | (b == 0), F.lit("empty_or_non_text"))
         .when(new, F.lit("forbidden_tokens"))
@@ -138,6 +138,12 @@ def accepted(original: Column, out: Column, **options) -> Column:
     return F.when(rewrite_reason(original, out, **options).isNull(), strip(out)).otherwise(original)
 
 
+def validated(original: Column, out: Column, **options) -> Column:
+    """struct<valid, text, reason>: whether a rewrite is accepted, the trimmed rewrite or the original, and why not (empty if it is)."""
+    reason = rewrite_reason(original, out, **options)
+    return F.struct(reason.isNull().alias("valid"), F.when(reason.isNull(), strip(out)).otherwise(original).alias("text"), F.coalesce(reason, F.lit("")).alias("reason"))
+
+
 def sane_length(original: Column, out: Column, factor: float = 1.5) -> Column:
     """A rewrite counts if it isn't empty and stays under factor times the original's length."""
     return F.coalesce((F.length(out) > 0) & (F.length(out) < F.length(original) * factor), F.lit(False))

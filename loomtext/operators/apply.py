@@ -218,10 +218,17 @@ def apply_suggestions(docs: DataFrame, suggestions: DataFrame) -> DataFrame:
 
 
 def masked_edits(matches: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Matches that intersect a mask range (doc_id, start, end) of their document."""
-    r = ranges.select(F.col("doc_id").alias("_id"), "start", "end")
-    hit = (matches["doc_id"] == r["_id"]) & (matches["offset"] < r["end"]) & (r["start"] < matches["offset"] + matches["length"])
-    return matches.join(r, hit, "left_semi")
+    """Matches that intersect a mask range (doc_id, start, end) of their document.
+
+    A sweep: both are put in order of place within a document, and a match is hit if
+    of the ranges that start before its end the one that reaches farthest ends behind its start. Sorting
+    is all the work, whatever the number of matches and ranges; a window holds a document's own.
+    """
+    m = matches.where("doc_id is not null").select(F.struct("*").alias("_m"), F.col("doc_id").alias("_id"), (F.col("offset") + F.col("length")).alias("_at"), F.lit(0).alias("_kind"))
+    r = ranges.where("doc_id is not null and start is not null").select(F.col("doc_id").alias("_id"), F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.col("end").alias("_end"))
+    w = Window.partitionBy("_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept_rows = m.unionByName(r, allowMissingColumns=True).withColumn("_reach", F.max("_end").over(w))
+    return swept_rows.where(F.col("_m").isNotNull() & (F.col("_reach") > F.col("_m.offset"))).select("_m.*")
 
 
 def lines(docs: DataFrame, text: str = "text", only: Callable[[Column], Column] | None = None) -> DataFrame:

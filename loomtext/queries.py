@@ -1226,6 +1226,43 @@ def lost_masks(spark, sf_dir):
     return table_ids.join(there, ["doc_id", "mask"], "left_anti")
 
 
+_REWRITTEN = "CASE doc_id % 5 WHEN 1 THEN ' ' WHEN 2 THEN {c} || ' `code`' WHEN 3 THEN {c} || {c} WHEN 4 THEN '  ' || {c} || ' ' ELSE {c} END"
+_VALIDATED = f"""{WITH}, r AS (SELECT doc_id, text AS t, {_REWRITTEN.format(c="a2")} AS out FROM c), w AS (SELECT *, {_STRIPPED("out")} AS o, CASE WHEN length({_STRIPPED("out")}) = 0 THEN 'empty_or_non_text'
+    WHEN len(regexp_extract_all(out, '{_FORBID}')) > len(regexp_extract_all(t, '{_FORBID}')) THEN 'forbidden_tokens'
+    WHEN length({_STRIPPED("out")}) > length({_STRIPPED("t")}) * 1.2::DOUBLE OR length({_STRIPPED("out")}) < length({_STRIPPED("t")}) * 0.5::DOUBLE THEN 'growth_limit' ELSE '' END AS reason FROM r)"""
+
+
+@query(f"{_VALIDATED} SELECT doc_id, reason = '' AS valid, md5(CASE WHEN reason = '' THEN o ELSE t END) AS text_md5, reason FROM w")
+def validated_rewrites(spark, sf_dir):
+    """Rewrites of whole texts: accepted and trimmed, or the original and the reason."""
+    d = pairs(spark, sf_dir).withColumn("v", validators.validated(F.col("original"), F.expr(_REWRITTEN.format(c="text"))))
+    return d.select("doc_id", "v.valid", F.md5("v.text").alias("text_md5"), "v.reason")
+
+
+@query(
+    f"""{_spans_sql()}, m AS (SELECT doc_id, {_STITCH(lambda g: g, _SENTINELS)} AS a FROM z),
+    b AS (SELECT doc_id, a, CASE doc_id % 4 WHEN 0 THEN a || ' __MASKED_0__' WHEN 2 THEN replace(a, '__MASKED_0__', '__MASKED_1__') WHEN 3 THEN a || 'x' ELSE a END AS e FROM m)
+    SELECT doc_id, CASE WHEN list_sort(regexp_extract_all(a, '__MASKED_[0-9]+__')) <> list_sort(regexp_extract_all(e, '__MASKED_[0-9]+__')) THEN 'Mask parity violation: mask counts changed' END AS error FROM b"""
+)
+def mask_counts(spark, sf_dir):
+    """Every mask id as often in the edited text as before."""
+    d = documents(spark, sf_dir).transform(with_spans)
+    d = once(d.select("doc_id", "text", "found"), a=spans.masked(F.col("text"), F.col("found")))
+    edited = F.expr("CASE doc_id % 4 WHEN 0 THEN a || ' __MASKED_0__' WHEN 2 THEN replace(a, '__MASKED_0__', '__MASKED_1__') WHEN 3 THEN a || 'x' ELSE a END")
+    return d.select("doc_id", validators.mask_counts(F.col("a"), edited).alias("error"))
+
+
+_FRONT = "CASE WHEN doc_id % 3 = 0 THEN '---' || chr(10) || 'title: ' || source || ' ' || doc_id || chr(10) || '---' || chr(10) ELSE '' END"
+
+
+@query(f"WITH d AS ({DOCS}) SELECT doc_id, length({_FRONT})::INTEGER AS end_at, md5({_FRONT}) AS span_md5 FROM d WHERE doc_id % 3 = 0")
+def front_matter(spark, sf_dir):
+    """The head of a document, one span whatever is inside."""
+    d = documents(spark, sf_dir).select("doc_id", F.concat(F.expr(_FRONT), "text").alias("text"))
+    s = d.select("doc_id", F.explode(spans.spans(F.col("text"), extra=True)).alias("s")).where("s.type = 'FRONT_MATTER'")
+    return s.select("doc_id", F.col("s.end").alias("end_at"), F.md5("s.text").alias("span_md5"))
+
+
 @query(f"{WITH} SELECT doc_id, length(a2) > 0 AND length(a2) < length(text) * 1.5::DOUBLE AS grammar_ok, length(a2) > 0 AND length(a2) < length(text) * 1.2::DOUBLE AS polish_ok FROM c")
 def rewrite_length_guard(spark, sf_dir):
     a, b = F.col("original"), F.col("text")

@@ -77,3 +77,29 @@ def test_one_pass_is_as_one_by_one(spark, text, table):
         want = want.replace(key, table[key])
     d = spark.createDataFrame([(text, table)], "text string, t map<string,string>")
     assert d.select(spans.unmasked(F.col("text"), F.col("t"))).first()[0] == want
+
+
+def test_masked_edits_of_one_document_by_a_sweep(spark):
+    import random
+
+    rng = random.Random(1)
+    m = [(rng.choice([1, 2, None]), rng.randrange(300), rng.randint(0, 5), k) for k in range(400)] + [(1, 5, 2, -1)] * 2
+    r = [(rng.choice([1, 2, 3, None]), a, a + rng.randint(0, 9)) for a in (rng.randrange(300) for _ in range(25))] + [(1, None, 4)]
+    matches, ranges = spark.createDataFrame(m, "doc_id long, offset int, length int, start int"), spark.createDataFrame(r, "doc_id long, start int, end int")
+    want = [x for x in m if any(x[0] is not None and x[0] == d and a is not None and x[1] < b and a < x[1] + x[2] for d, a, b in r)]
+    assert sorted(map(repr, map(tuple, apply.masked_edits(matches, ranges).collect()))) == sorted(map(repr, want))
+    n = 50_000
+    many = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), (F.col("id") * 4).cast("int").alias("offset"), F.lit(2).alias("length"))
+    wide = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), (F.col("id") * 8).cast("int").alias("start"), (F.col("id") * 8 + 3).cast("int").alias("end"))
+    began = time.time()
+    assert apply.masked_edits(many, wide).count() == n // 2 and time.time() - began < 20
+
+
+def test_validated_rewrites(spark):
+    from loomtext.functions import validators
+
+    rows = [("This has minor issues.", "This has minor issues!"), ("This is text.", "This is `code`."), ("Short.", "A much longer sentence with lots of extra words."), ("This is text.", ""), ("This is text.", "  This is text.  \n"), ("a", None)]
+    d = spark.createDataFrame(rows, "a string, b string")
+    got = [tuple(r.v) for r in d.select(validators.validated(F.col("a"), F.col("b")).alias("v")).collect()]
+    assert got == [(True, rows[0][1], ""), (False, rows[1][0], "forbidden_tokens"), (False, "Short.", "growth_limit"), (False, rows[3][0], "empty_or_non_text"), (True, "This is text.", ""), (False, "a", "empty_or_non_text")]
+    assert d.select(validators.validated(F.col("a"), F.col("b"), tokens=False).alias("v")).collect()[1].v.text == "This is `code`."
