@@ -13,9 +13,11 @@ d(q,p) - hi), for each of the annulus's pivots, so that with the largest gap
 and the largest norm m its inner product is at most (|q|^2 + m^2 - gap^2) / 2,
 and at most |q| m. A query first scans the annuli around its own distance,
 outwards from its nearest pivots, until they hold `seeds` vectors; its k-th score
-is a floor. It then expands to every other annulus whose bound reaches the
-floor, and stops at those whose bound doesn't. A query travels once to each
-block that holds such annuli, and scans none but these there.
+is a floor. It then expands to every annulus whose bound reaches the floor (those
+of its best seeds are among them), and stops at those whose bound doesn't. A
+query travels once to each block that holds such annuli, with a list of these,
+and scans none but these there: bounds are worked out where the query is sent
+off, in slices of `CELLS` (query, annulus) pairs, and not again in the blocks.
 
 Scores are integers: components are floor(scale * x). Vectors that are null or
 hold null or non-finite components take no part. Shorter vectors count as
@@ -84,6 +86,9 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
 
 
+#: Bounds are worked out for at most so many pairs of query and annulus at a time: about 64 bytes each.
+CELLS = 1 << 21
+
 #: Pivots besides the own one to which an annulus's distances are known.
 REFERENCES = 8
 
@@ -93,8 +98,10 @@ class Summary:
 
     def __init__(self, rows, pivots: np.ndarray, block: int = 1 << 14) -> None:
         self.pivots = pivots
-        self.at = {(r["pivot"], r["ring"]): i for i, r in enumerate(rows)}
-        self.pivot = np.array([r["pivot"] for r in rows], int)
+        self.pivot, ring = (np.array([r[c] for r in rows], int) for c in ("pivot", "ring"))
+        # Rows come in order of pivot and ring, so that their keys ascend.
+        self.rings = int(ring.max(initial=0)) + 1
+        self.key = self.pivot * self.rings + ring
         self.lo, self.hi, self.norm = (np.array([r[n] for r in rows], float) for n in ("lo", "hi", "norm"))
         self.n = np.array([r["n"] for r in rows], int)
         # Ranges to the first pivots: columns lo0, hi0, ...
@@ -112,6 +119,10 @@ class Summary:
                 number, held = number + int(self.cuts[i]), 0
         self.blocks = number + (held > 0)
 
+    def annuli_of(self, pivot: np.ndarray, ring: np.ndarray) -> np.ndarray:
+        """The numbers of annuli by their pivots and rings."""
+        return np.searchsorted(self.key, pivot.astype(int) * self.rings + ring)
+
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gap and upper bound of the score of each query (row) and annulus (column); a margin covers rounding."""
         to_all = distances(q, self.pivots)
@@ -120,27 +131,70 @@ class Summary:
         widest = gap.copy()
         for j, (lo, hi) in zip(self.references, self.far, strict=True):
             d = to_all[:, [j]]
-            np.maximum(widest, np.maximum(lo - d, d - hi), out=widest)
-        norm = np.sqrt((q * q).sum(1))[:, None]
-        bound = np.minimum((norm**2 + self.norm**2 - widest**2) / 2, norm * self.norm)
-        return gap, bound + 1e-6 * (1 + norm**2 + self.norm**2)
+            np.maximum(widest, lo - d, out=widest)
+            np.maximum(widest, d - hi, out=widest)
+        square, norm = (q * q).sum(1)[:, None], np.sqrt((q * q).sum(1))[:, None]
+        widest *= widest
+        bound = np.subtract(square + self.norm**2, widest, out=widest)
+        bound /= 2
+        np.minimum(bound, norm * self.norm, out=bound)
+        bound += 1e-6 * (1 + square + self.norm**2)
+        return gap, bound
 
     def wanted(self, q: np.ndarray, floor: np.ndarray | None, enough: int) -> np.ndarray:
-        """Which annuli each query scans: at first those in order of gap that hold `enough` vectors, then (with floors) the others whose bound reaches the floor."""
+        """Which annuli each query scans: at first those in order of gap that hold `enough` vectors, then (with floors) those whose bound reaches the floor."""
         gap, bound = self.bounds(q)
+        if floor is not None:
+            return bound >= floor[:, None]
         order = np.argsort(gap, axis=1, kind="stable")
         before = np.cumsum(self.n[order], axis=1) - self.n[order]
         first = np.zeros(gap.shape, bool)
         np.put_along_axis(first, order, before < enough, axis=1)
-        return first if floor is None else ~first & (bound >= floor[:, None])
+        return first
 
-    def asked_blocks(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, block) for each block that holds an annulus the query wants."""
+    def asked(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Queries and blocks, a pair for each block that holds an annulus the query wants; where each pair's annuli begin and end in the last array."""
         q, a = np.nonzero(wanted)
         times = self.cuts[a]
         q, block = np.repeat(q, times), np.repeat(self.first[a], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        pair = np.unique(q * max(self.blocks, 1) + block)
-        return pair // max(self.blocks, 1), pair % max(self.blocks, 1)
+        # Blocks ascend with the annuli, so that equal pairs stand together.
+        starts = np.flatnonzero(np.diff(q, prepend=-1) | np.diff(block, prepend=-1))
+        return q[starts], block[starts], np.append(starts, len(q)), np.repeat(a, times)
+
+    def asked_blocks(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, block) for each block that holds an annulus the query wants."""
+        return self.asked(wanted)[:2]
+
+    def slices(self, queries: int):
+        """Slices of so many queries, each with at most `CELLS` bounds (one query at least)."""
+        step = max(1, CELLS // max(len(self.n), 1))
+        return (slice(at, at + step) for at in range(0, queries, step))
+
+
+def best_of_block(ids: np.ndarray, x: np.ndarray, annulus: np.ndarray, asks: np.ndarray, q: np.ndarray, lists: pa.ListArray, k: int, step: int = 512):
+    """(query, vec_id, score): the k best for each query among a block's vectors in the annuli of its list, itself left out."""
+    order = np.argsort(annulus, kind="stable")
+    own, starts = np.unique(annulus[order], return_index=True)
+    members = dict(zip(own.tolist(), np.split(order, starts[1:]), strict=True)) if len(ids) else {}
+    ends = np.asarray(lists.offsets)
+    for at in range(0, len(asks), step):
+        until = min(at + step, len(asks))
+        wants = np.asarray(lists.values)[ends[at] : ends[until]]
+        who = np.repeat(np.arange(at, until), np.diff(ends[at : until + 1]))
+        by_annulus = np.argsort(wants, kind="stable")
+        found: dict[int, list] = {}
+        names, firsts = np.unique(wants[by_annulus], return_index=True)
+        for a, asking in zip(names.tolist(), np.split(who[by_annulus], firsts[1:]), strict=False):
+            rows = members.get(a)
+            if rows is not None:
+                for i, scores in zip(asking.tolist(), products(q[asking], x[rows]), strict=True):
+                    keep = best(scores, ids[rows], k + 1)  # one of them may be the query itself
+                    found.setdefault(i, []).append((scores[keep], ids[rows][keep]))
+        for i, tops in found.items():
+            scores, vecs = np.concatenate([t[0] for t in tops]), np.concatenate([t[1] for t in tops])
+            other = np.flatnonzero(vecs != asks[i])
+            for j in other[best(scores[other], vecs[other], k)]:
+                yield int(asks[i]), int(vecs[j]), int(scores[j])
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int | None = None, most_rings: int = 64, block: int = 1 << 14, query_block: int = 8192, seeds: int = 256) -> DataFrame:
@@ -195,7 +249,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int | None
         """Every vector with its annulus and block."""
         s = index.value
         for b in batches:
-            a = np.array([s.at[key] for key in zip(b.column(0).to_pylist(), b.column(5).to_pylist(), strict=True)], int)
+            a = s.annuli_of(np.asarray(b.column(0)), np.asarray(b.column(5)))
             spread = np.asarray(b.column(4)) % s.cuts[a]
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array(a, pa.int32()), pa.array(s.first[a] + spread, pa.int32())], ["vec_id", "v", "annulus", "block"])
 
@@ -205,63 +259,41 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int | None
 
     def ask(first: bool, with_vectors: bool):
         """Sends every query to the blocks that hold what it wants: at first, or (with its floor) after that."""
-        names = ["part", "block"] + ["vec_id", "v", "floor"] * with_vectors
+        names = ["part", "block"] + ["vec_id", "v", "annuli"] * with_vectors
 
         def run(batches):
             s = index.value
             for b in batches:
-                floor = np.nan_to_num(np.asarray(b.column(3).to_numpy(zero_copy_only=False), float), nan=-np.inf)
-                q, to = s.asked_blocks(s.wanted(matrix(b.column(1)), None if first else floor, seeds))
-                at = pa.array(q, pa.int64())
-                cols = [b.column(2).take(at), pa.array(to, pa.int32()), b.column(0).take(at), b.column(1).take(at), pa.array(floor[q])]
-                yield pa.RecordBatch.from_arrays(cols[: len(names)], names)
+                for rows in s.slices(b.num_rows):
+                    part = b.slice(rows.start, rows.stop - rows.start)
+                    floor = np.nan_to_num(np.asarray(part.column(3).to_numpy(zero_copy_only=False), float), nan=-np.inf)
+                    q, to, ends, annuli = s.asked(s.wanted(matrix(part.column(1)), None if first else floor, seeds))
+                    at = pa.array(q, pa.int64())
+                    cols = [part.column(2).take(at), pa.array(to, pa.int32())]
+                    if with_vectors:
+                        cols += [part.column(0).take(at), part.column(1).take(at), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(annuli, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
         return run
 
-    def score(first: bool):
-        def run(_, left, right):
-            """The k best of one block for each query that asks for it, among the annuli it wants."""
-            s = index.value
-            ids, x = left.column("vec_id").to_numpy(), matrix(left.column("v").combine_chunks())
-            annulus = left.column("annulus").to_numpy()
-            order = np.argsort(annulus, kind="stable")
-            own, starts = np.unique(annulus[order], return_index=True)
-            groups = dict(zip(own.tolist(), np.split(order, starts[1:]), strict=True)) if len(ids) else {}
-            out = [[], [], []]
-            asks, q, floor = right.column("vec_id").to_numpy(), matrix(right.column("v").combine_chunks()), right.column("floor").to_numpy()
-            for at in range(0, len(q) if groups else 0, 512):
-                wanted = s.wanted(q[at : at + 512], None if first else floor[at : at + 512], seeds)[:, own]
-                found: list[list] = [[] for _ in range(len(wanted))]
-                for j, a in enumerate(own.tolist()):
-                    who = np.flatnonzero(wanted[:, j])
-                    if len(who):
-                        rows = groups[a]
-                        for i, scores in zip(who.tolist(), products(q[at + who], x[rows]), strict=True):
-                            keep = best(scores, ids[rows], k + 1)  # one of them may be the query itself
-                            found[i].append((scores[keep], ids[rows][keep]))
-                for i, tops in enumerate(found):
-                    if tops:
-                        scores, who = np.concatenate([t[0] for t in tops]), np.concatenate([t[1] for t in tops])
-                        other = np.flatnonzero(who != asks[at + i])
-                        top = other[best(scores[other], who[other], k)]
-                        out[0] += [asks[at + i]] * len(top)
-                        out[1] += who[top].tolist()
-                        out[2] += [int(v) for v in scores[top]]
-            return pa.table([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
-
-        return run
+    def score(_, left, right):
+        """The k best of one block for each query that asks for it, among the annuli it wants."""
+        ids, x = left.column("vec_id").to_numpy(), matrix(left.column("v").combine_chunks())
+        lists, q = right.column("annuli").combine_chunks(), matrix(right.column("v").combine_chunks())
+        found = list(best_of_block(ids, x, left.column("annulus").to_numpy(), right.column("vec_id").to_numpy(), q, lists, k))
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 3, ["query_id", "vec_id", "score"])
 
     def scan(asking: DataFrame, first: bool) -> DataFrame:
         pairs = asking.mapInArrow(ask(first, False), "part int, block int").distinct()
         blocks = placed.join(pairs, "block").groupBy("part", "block")
-        asked = asking.mapInArrow(ask(first, True), "part int, block int, vec_id long, v array<long>, floor double").groupBy("part", "block")
-        return blocks.cogroup(asked).applyInArrow(score(first), "query_id long, vec_id long, score long")
+        asked = asking.mapInArrow(ask(first, True), "part int, block int, vec_id long, v array<long>, annuli array<int>").groupBy("part", "block")
+        return blocks.cogroup(asked).applyInArrow(score, "query_id long, vec_id long, score long")
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    seeded = written(ranked(scan(queries.withColumn("floor", F.lit(None).cast("double")), True)), "seeds")
+    seeded = ranked(scan(queries.withColumn("floor", F.lit(None).cast("double")), True))
     floors = seeded.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
-    found = seeded.drop("rank").unionByName(scan(queries.join(floors, "vec_id", "left").select("vec_id", "v", "part", "floor"), False))
+    found = scan(written(queries.join(floors, "vec_id", "left").select("vec_id", "v", "part", "floor"), "floors"), False)
     return ranked(found).select("query_id", "rank", "vec_id", "score")
 
 

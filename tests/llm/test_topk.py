@@ -106,3 +106,39 @@ def test_annuli_in_several_blocks_and_seeds(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(700, 8)))]
     for options in ({"pivots": 2, "block": 30, "query_block": 4, "seeds": 10}, {"pivots": 40, "block": 64, "seeds": 1}, {"block": 10_000, "seeds": 10_000}):
         assert run(spark, rows, **options) == brute(rows)
+
+
+def test_many_annuli_in_bounded_memory():
+    """4,096 pivots with 60 rings each: queries are sent off in slices, and a block needs no bounds."""
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    pivots = rng.integers(-256, 256, (4096, 64)).astype(float)
+    lo = np.sort(rng.uniform(500, 1500, (4096, 60)), axis=1)
+    rows = [{"pivot": p, "ring": r, "lo": lo[p, r], "hi": lo[p, r] + 20.0, "norm": 1200.0, "n": 4000} for p in range(4096) for r in range(60)]
+    s = T.Summary(rows, pivots)
+    assert s.annuli_of(np.array([0, 17, 4095]), np.array([0, 5, 59])).tolist() == [0, 17 * 60 + 5, 4096 * 60 - 1]
+    q = rng.integers(-256, 256, (1000, 64)).astype(float)
+    slices = list(s.slices(1000))
+    assert sum(len(q[i]) for i in slices) == 1000 and all(len(q[i]) * len(rows) <= T.CELLS for i in slices)
+    tracemalloc.start()
+    for i in slices[:3]:
+        s.asked(s.wanted(q[i], None, 256))
+        s.asked(s.wanted(q[i], np.full(len(q[i]), 2e5), 256))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    # A block of 16,000 vectors in 4 annuli, asked for by 1,000 queries.
+    x = rng.integers(-256, 256, (16_000, 64)).astype(float)
+    lists = pa.array([[7, 8, 9, 10]] * 1000, pa.list_(pa.int32()))
+    began = time.process_time()
+    found = list(T.best_of_block(np.arange(16_000), x, np.repeat([7, 8, 9, 10], 4000), np.arange(1000), q, lists, 5))
+    spent = time.process_time() - began
+    scores = (q @ x.T).astype(np.int64)
+    assert len(found) == 5000 and spent < 60
+    for i in (0, 1, 999):
+        want = sorted(((-v, j) for j, v in enumerate(scores[i].tolist()) if j != i))[:5]
+        assert [f[1:] for f in found if f[0] == i] == [(j, -v) for v, j in want]
