@@ -12,8 +12,9 @@ category (chi-squared), counted by Spark over the whole sample with 64-bit word
 hashes.
 
 Categories are columns of the label table, in the chain's order
-(`categories`). From a table of a single one two more are derived, for the rows
-of each of five folds from what the other folds show: ``severe`` (the label,
+(`categories`). From a table of a single one two more are derived, which stand
+before it in the chain, so that the label's model sees their probabilities. They
+come, for the rows of each of five folds, from what the other folds show: ``severe`` (the label,
 and the share of the words that speak strongly for it is above the median of
 the other folds' labelled rows) and ``varied`` (the label, and three or more
 distinct such words).
@@ -186,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str] | None = Non
     y = np.array([[r[c] for c in labelled] for r in rows], float).reshape(len(rows), len(labelled))
     fold = np.array([r["fold"] for r in rows], int)
     if len(categories) == 1:
-        y, categories = derived(count, np.array([r["n"] for r in rows], float), y[:, 0], fold, others), [*categories, "severe", "varied"]
+        y = derived(count, np.array([r["n"] for r in rows], float), y[:, 0], fold, others)[:, [1, 2, 0]]
+        categories = ["severe", "varied", *categories]
     return words, strong, Chain(with_sum(count, strong), y, list(categories), fold=fold)
 
 

@@ -252,3 +252,16 @@ def test_repeated_lines_count_at_every_size():
     for t in ("", "a", "a\n", "\n\n", "a\nb\na"):
         lines = t.encode().split(b"\n")
         assert quality.repeated_lines(t.encode()) == 1 - len(set(lines)) / len(lines)
+
+
+def test_chain_decides_otherwise_than_one_model():
+    """The label is either of two earlier categories: a linear model of the counts alone can't say it, the chain's last one can."""
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 5, (600, 2)).astype(float)
+    a, b = x[:, 0] >= 3, x[:, 1] >= 3
+    y = np.column_stack([a, b, a | b]).astype(float)
+    c = toxicity.Chain(x, y, ["severe", "varied", "toxic"])
+    alone = base.fit_logistic(x, y[:, 2], 0.1)
+    by_chain, by_one = c.predict(x)[:, 2] > 0.5, x @ alone[:-1] + alone[-1] > 0
+    assert (by_chain != by_one).sum() > 20
+    assert (by_chain == (a | b)).mean() > (by_one == (a | b)).mean() + 0.03
