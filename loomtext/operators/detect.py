@@ -129,10 +129,32 @@ def problem_words(items: DataFrame, group: list[str], order: list[str]) -> DataF
     return items.groupBy(*group, "find").agg(F.min(place).alias("first_at"), F.max_by("replace", place).alias("replace"), F.count(F.lit(1)).alias("n"))
 
 
-def problem_topk(items: DataFrame, k: int = 10) -> DataFrame:
-    """reason, find, n, docs, rank: the most frequent problems of each reason over the corpus, ties to the smaller text.
-
-    Counts come first; the window then ranks distinct problems only, each task's own k first.
+def problem_topk(items: DataFrame, folder: str, k: int = 10, buckets: int = 1 << 14) -> DataFrame:
+    """reason, find, n, docs, rank: the most frequent problems of each reason over the corpus, ties to the smaller text. Exact.
+
+    Texts are hashed into `buckets`, and each (reason, bucket) is counted: a
+    bucket's count is no less than that of any text in it. The texts of each
+    reason's 2 k fullest buckets are then counted by themselves; their k-th count
+    is a floor (0 if they are fewer than k), which no true top-k text is below, so
+    that only buckets whose count reaches the floor can hold one. Only items of
+    these are grouped by text and document. The narrow items and the buckets'
+    counts are written to `folder`, as they are read several times.
     """
-    counts = items.groupBy("reason", "find", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("reason", "find").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    spark = items.sparkSession
+    bucket = F.pmod(F.xxhash64("find"), F.lit(buckets)).cast("int")
+    items.select("reason", "find", "doc_id", bucket.alias("bucket")).write.parquet(f"{folder}/items")
+    narrow = spark.read.parquet(f"{folder}/items")
+    narrow.groupBy("reason", "bucket").agg(F.count(F.lit(1)).alias("held")).write.parquet(f"{folder}/buckets")
+    held = spark.read.parquet(f"{folder}/buckets")
+
+    def of_buckets(chosen: DataFrame) -> DataFrame:
+        c = chosen.select(F.col("reason").alias("_reason"), F.col("bucket").alias("_bucket"))
+        return narrow.join(c, F.col("reason").eqNullSafe(F.col("_reason")) & (F.col("bucket") == F.col("_bucket")), "left_semi")
+
+    fullest = held.withColumn("_r", F.row_number().over(Window.partitionBy("reason").orderBy(F.desc("held"), "bucket"))).where(F.col("_r") <= 2 * k)
+    sample = of_buckets(fullest).groupBy("reason", "find").agg(F.count(F.lit(1)).alias("n"))
+    sample = sample.withColumn("_r", F.row_number().over(Window.partitionBy("reason").orderBy(F.desc("n"), "find"))).where(F.col("_r") <= k)
+    floors = sample.where(F.col("_r") == k).select(F.col("reason").alias("_of"), F.col("n").alias("floor"))
+    reach = held.join(floors, F.col("reason").eqNullSafe(F.col("_of")), "left").where(F.col("held") >= F.coalesce("floor", F.lit(0)))
+    counts = of_buckets(reach).groupBy("reason", "find", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("reason", "find").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("reason").orderBy(F.desc("n"), "find"))).where(F.col("rank") <= k)

@@ -126,3 +126,27 @@ def variants(docs: DataFrame, table: DataFrame, most: int = 1000) -> DataFrame:
     if table.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} variants")
     return docs.join(F.broadcast(table))
+
+
+def grid(docs: DataFrame, knobs: dict[str, list], prepared: tuple[str, Callable[[Column, object], Column]], measures: dict[str, Callable[[Column], Column]], most: int = 1000) -> DataFrame:
+    """The knobs, `level` and the measures' sums: every combination of the knobs' values, each value of each knob by itself, and all; knobs that are summed over are null.
+
+    The texts are read once for all variants. `prepared` is a knob and what it
+    makes of a text, worked out once for each of its values; a measure is made of
+    that and the other knobs' columns. Rows without texts are what gets one row for
+    each variant, and they are summed in the tasks before anything is shuffled.
+    """
+    n = 1
+    for values in knobs.values():
+        n *= len(values)
+    if n > most:
+        raise ValueError(f"more than {most} variants")
+    name, make = prepared
+    rows = docs.select(F.explode(F.array(*(F.struct(F.lit(v).alias(name), make(F.col("text"), v).alias("_made")) for v in knobs[name]))).alias("_v")).select(f"_v.{name}", "_v._made")
+    for other, values in knobs.items():
+        if other != name:
+            rows = rows.withColumn(other, F.explode(F.array(*map(F.lit, values))))
+    each = rows.groupBy(*knobs).agg(*(F.sum(f(F.col("_made"))).cast("long").alias(m) for m, f in measures.items()))
+    keys = [F.col(c) for c in knobs]
+    sets = [keys, *([c] for c in keys), []]
+    return each.groupingSets(sets, *keys).agg(F.grouping_id().cast("long").alias("level"), *(F.sum(m).cast("long").alias(m) for m in measures)).select(*knobs, "level", *measures)

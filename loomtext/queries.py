@@ -483,6 +483,31 @@ def variant_grid(spark, sf_dir):
     return evaluate.variants(documents(spark, sf_dir), v).groupBy("width").agg(F.sum(n).cast("long").alias("chunks"))
 
 
+#: Prompts of different strictness: (name, text).
+_PROMPTS = [("short", "List what a voice can't read."), ("plain", "List the words in this text that a voice can't read, one a line."), ("strict", "List the words in this text that a voice can't read, one a line, each with what it should say instead and why. Change nothing else.")]
+_WIDTHS, _MOST_ITEMS = [600, 2000, 8000], [2, 16]
+
+
+@query(
+    f"""WITH d AS ({DOCS}), w AS (SELECT unnest({_WIDTHS})::INTEGER AS width),
+    c AS (SELECT width, substr(text, k * width + 1, width) AS t FROM d, w, unnest(range((length(text) + width - 1) // width)) AS r(k)),
+    n AS (SELECT width, length(t) AS chars, len(regexp_extract_all(t, '[!?]{{2,}}')) + len(list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z]{{4,}}'))) AS items FROM c WHERE regexp_matches(t, '[^\\s]')),
+    v AS (SELECT unnest({[n for n, _ in _PROMPTS]}) AS prompt, unnest({[len(t) for _, t in _PROMPTS]}) AS size), m AS (SELECT unnest({_MOST_ITEMS})::INTEGER AS most_items)
+    SELECT prompt, width, most_items, grouping(prompt, width, most_items)::BIGINT AS level, count(*) AS chunks, sum(chars + size)::BIGINT AS sent, sum(items)::BIGINT AS items, sum(least(items, most_items))::BIGINT AS kept
+    FROM n, v, m GROUP BY GROUPING SETS ((prompt, width, most_items), (prompt), (width), (most_items), ())"""
+)
+def knob_grid(spark, sf_dir):
+    """Prompts, chunk widths and limits of items in all combinations: chunks asked, characters sent, items found and kept."""
+    rules = [r for r in detect.RULES if r[0] in RULES]
+    found = lambda c: sum((F.size(F.regexp_extract_all(c, F.lit(pattern), 1)) for _, _, pattern in rules), F.lit(0))
+    cut = lambda text, width: F.transform(F.filter(chunking.fixed_width(text, width), lambda c: c.rlike(chunking.NOT_BLANK)), lambda c: F.struct(F.length(c).alias("chars"), found(c).alias("items")))
+    total = lambda of: lambda made: F.aggregate(made, F.lit(0).cast("long"), lambda a, c: a + of(c))
+    size = sum((F.when(F.col("prompt") == n, len(t)).otherwise(0) for n, t in _PROMPTS), F.lit(0))
+    knobs = {"prompt": [n for n, _ in _PROMPTS], "width": _WIDTHS, "most_items": _MOST_ITEMS}
+    measures = {"chunks": F.size, "sent": total(lambda c: c["chars"] + size), "items": total(lambda c: c["items"]), "kept": total(lambda c: F.least(c["items"], F.col("most_items")))}
+    return evaluate.grid(documents(spark, sf_dir), knobs, ("width", cut), measures)
+
+
 # Blocks
 
 
@@ -681,7 +706,7 @@ def plan_order_independent(spark, sf_dir):
     SELECT reason, find, n, docs, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY n DESC, find) AS rank FROM n) WHERE rank <= 10"""
 )
 def problem_topk(spark, sf_dir):
-    return detect.problem_topk(plan(spark, sf_dir)).select("reason", "find", F.col("n").cast("long").alias("n"), "docs", "rank")
+    return detect.problem_topk(plan(spark, sf_dir), _folder(spark, "problems")).select("reason", "find", F.col("n").cast("long").alias("n"), "docs", "rank")
 
 
 @query(f"{WITH_PLAN} SELECT doc_id, find, min(item_no) AS first_no, arg_max(replace, item_no) AS replace, count(*) AS n FROM p WHERE find <> replace GROUP BY doc_id, find")
@@ -1175,6 +1200,22 @@ def stream_stats(spark, sf_dir):
     return incremental.last_sums(sums, _folder(spark, "sums"), state)
 
 
+@query(
+    f"""{WITH}, s AS ({STATS}), r AS (SELECT step, key, s.value, coalesce(ts, {_EARLY}) AS ts, doc_id % 3 AS part FROM s LEFT JOIN events ON event_id = doc_id), m AS (SELECT part, max(ts) AS newest FROM r GROUP BY part),
+    k AS (SELECT p.part, max(m.newest) - INTERVAL 10 DAY AS least_ts FROM m p JOIN m ON m.part < p.part GROUP BY p.part), t AS (SELECT r.*, coalesce(ts < least_ts, false) AS late FROM r LEFT JOIN k USING (part))
+    SELECT date_trunc('hour', ts) AS hour, step, key, coalesce(sum(value) FILTER (NOT late), 0)::BIGINT AS total, count(*) FILTER (late)::BIGINT AS late FROM t GROUP BY ALL"""
+)
+def stream_restarts(spark, sf_dir):
+    """Sums over three deliveries, the stream ended and begun again after each; rows that came more than ten days late are counted apart."""
+    source, out, state = (_folder(spark, n) for n in ("arriving", "lasting", "state"))
+    _, s = clean.clean(documents(spark, sf_dir), ("prepass-basic", "prepass-advanced"))
+    rows = _with_arrival(s, spark, sf_dir)
+    for part in range(3):
+        rows.where(F.pmod("doc_id", F.lit(3)) == part).write.mode("append").parquet(source)
+        incremental.lasting_sums(incremental.arriving(spark, source, rows.schema), out, state, "10 days").awaitTermination()
+    return incremental.summed(spark, out)
+
+
 # Whole pipeline, guards and files
 
 
@@ -1327,10 +1368,11 @@ def plan_files(spark, sf_dir):
     """Plans written as JSON arrays, a file for each group of documents, and scanned again."""
     out = _folder(spark, "plans")
     item = F.struct("doc_id", "item_no", "find", "replace", "reason")
-    items = plan(spark, sf_dir).groupBy((F.col("doc_id") % 20).alias("file")).agg(F.array_sort(F.collect_list(item)).alias("i"))
-    told = items.select("file", F.to_json(F.transform("i", lambda x: F.struct(x["find"].alias("find"), x["replace"].alias("replace"), x["reason"].alias("reason")))).alias("value"))
-    told.write.partitionBy("file").text(out)
-    read = files.read_plan(spark, f"{out}/file=*/*.txt").withColumn("file", F.regexp_extract("path", "file=([0-9]+)", 1).cast("long"))
+    # About 1,000 documents' items a file, whatever the number of documents.
+    items = plan(spark, sf_dir).groupBy((F.col("doc_id") % 20).alias("file"), F.floor(F.col("doc_id") / 20_000).alias("part")).agg(F.array_sort(F.collect_list(item)).alias("i"))
+    told = items.select("file", "part", F.to_json(F.transform("i", lambda x: F.struct(x["find"].alias("find"), x["replace"].alias("replace"), x["reason"].alias("reason")))).alias("value"))
+    told.write.partitionBy("file", "part").text(out)
+    read = files.read_plan(spark, f"{out}/file=*/part=*/*.txt").withColumn("file", F.regexp_extract("path", "file=([0-9]+)", 1).cast("long"))
     return read.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("find").alias("finds"), F.sum(F.length("replace")).cast("long").alias("chars"))
 
 
