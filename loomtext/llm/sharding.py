@@ -111,8 +111,9 @@ def shard_documents(docs: DataFrame, tree: list[Leaf] | None = None, parts: int
         F.lit("key").alias("law"),
     )
     placed = assign(assign(base, "doc_id", tree), "doc_id", grown(tree), "grown_shard")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    out = with_slots(placed, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], key, parts)
+    # By text too, so that rows of one doc_id (all null ones among them) share no piece unless their texts are equal.
+    own = [F.col(c) for c in ("doc_id", "text_crc32", "size")]
+    out = with_slots(placed, "shard", own, F.struct(*own), parts)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

@@ -76,3 +76,17 @@ def test_draws_against_plain_python(spark):
         for r in S.shard_documents(d, tree, parts=3).collect():
             key = "null" if r["doc_id"] is None else str(r["doc_id"])
             assert (r["shard"], r["grown_shard"]) == (plain_shard(key, tree), plain_shard(key, S.grown(tree)))
+
+
+def test_null_ids_share_no_piece(spark):
+    """20,000 rows without an id: one shard by their key, slots without gaps, and no piece holds more than a few of them."""
+    from pyspark.sql import functions as F
+
+    d = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    d = d.unionByName(spark.range(500).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"))).repartition(4)
+    out = S.shard_documents(d)
+    got = out.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("first"), F.max("slot").alias("last")).collect()
+    assert all(r["n"] == r["slots"] == r["last"] + 1 and r["first"] == 0 for r in got) and sum(r["n"] for r in got) == 20_500
+    own = [F.col(c) for c in ("doc_id", "text_crc32", "size")]
+    piece = F.pmod(F.xxhash64(F.struct(*own)), F.lit(512))
+    assert out.where("doc_id is null").groupBy(piece).count().agg(F.max("count")).first()[0] < 120
