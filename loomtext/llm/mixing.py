@@ -120,7 +120,8 @@ def mix(docs: DataFrame, factor: float = 1.5, weights: tuple[float, ...] = (3, 1
     order = docs[tie] if tie else F.xxhash64(docs["text"])
     # The columns handed on travel in one struct, where no name can clash.
     pieces = max(64, docs.count() // per_piece)
-    piece = F.pmod(F.xxhash64(docs["doc_id"]), F.lit(pieces)).cast("int").alias("_piece")
+    # By text too: rows without an id are dealt out as all others.
+    piece = F.pmod(F.xxhash64(docs["doc_id"], order), F.lit(pieces)).cast("int").alias("_piece")
     key = [source_key(docs["source"]).alias("_source"), n_words.cast("long").alias("_size"), piece]
     parts = written(docs.select(*key).groupBy(*KEY, "_piece").agg(F.count(F.lit(1)).alias("n")), "pieces")
     cells = written(parts.groupBy(*KEY).agg(F.sum("n").alias("n")), "cells")

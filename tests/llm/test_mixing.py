@@ -90,3 +90,14 @@ def test_many_sources(spark):
     got = M.mix(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)).collect()
     want = brute_targets({s: len(t.split()) for _, s, t in rows})
     assert len(got) == 3000 and all(r["target"] == pytest.approx(want[r["source"]], rel=1e-9) for r in got)
+
+
+def test_rows_without_an_id_are_dealt_out(spark):
+    """20,000 rows of one source and size without an id: the target is met, no row is taken more than twice, and reruns agree."""
+    d = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.concat(F.lit("w w t"), F.col("id")).alias("text"))
+    d = d.unionByName(spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("b").alias("source"), F.lit("x y z u v").alias("text"))).repartition(5)
+    got = M.mix(d).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most"), F.count("*").alias("n")).collect()
+    assert {r["source"]: r["n"] for r in got} == {"a": 20_000, "b": 3000}
+    assert all(abs(r["taken"] - r["target"]) <= 5 and r["most"] <= 2 for r in got)
+    rows = lambda x: sorted((r["source"], r["text"], r["copies"]) for r in M.mix(x).select("source", "text", "copies").collect())
+    assert rows(d) == rows(d.repartition(3))
