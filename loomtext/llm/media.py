@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtext.llm.base import written
@@ -265,3 +266,9 @@ def digests(files: DataFrame) -> DataFrame:
 def media_digests(docs: DataFrame) -> DataFrame:
     """Every text stored as a file in the shared folder, and the digests of what is read back from there."""
     return digests(written(as_media(docs), "media", compression="zstd"))
+
+
+def pcm_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, media_bytes, pcm_bytes, pcm_sha256, error: every text's sound decoded, resampled and stored as 16-bit PCM in the shared folder, and digests of what is read back from there."""
+    stored = written(with_pcm(as_media(docs)).select("doc_id", F.octet_length("media").cast("long").alias("media_bytes"), "pcm", "error"), "pcm", compression="zstd")
+    return stored.select("doc_id", "media_bytes", F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"), "error")

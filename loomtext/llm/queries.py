@@ -51,6 +51,11 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def media_pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's last step: resampled PCM, stored and read back."""
+    return media.pcm_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # Texts are read once; all that follows works on this narrow table.
@@ -83,7 +88,7 @@ def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_quality, op2_toxicity, op3_topk, op4_substring, op5_sharding, op6_simhash, op7_media, op8_mixing, op9_piece, op10_language, op11_spelling, op12_forest, op13_lexical]
+    ops = [op1_quality, op2_toxicity, op3_topk, op4_substring, op5_sharding, op6_simhash, op7_media, op8_mixing, op9_piece, op10_language, op11_spelling, op12_forest, op13_lexical, media_pcm]
     return {f.__name__: f for f in ops}
 
 

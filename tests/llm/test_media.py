@@ -105,3 +105,27 @@ def test_files_of_any_kind(spark):
     assert [rows[k]["error"] for k in range(3, 10)] == ["no file", "not a WAV file", "not a WAV file", "no telephony sound in this file", "file ends within the sound", "broken ADPCM blocks", "broken format chunk"]
     assert all(rows[k]["pcm"] is None for k in range(3, 10)) and rows[10]["pcm"] == rows[11]["pcm"] == b""
     assert M.with_pcm(d.where("false"), "file").count() == 0
+
+
+def test_stored_pcm_and_features_against_plain_python(spark, awkward, nothing):
+    """Every document's PCM as it was stored, and each part of its feature, sample by sample."""
+    own = {r["doc_id"]: r["text"] for r in awkward.collect() if r["text"] is None or len(r["text"]) < 20_000}
+    feature = {r["doc_id"]: r["feature"] for r in M.media_digests(awkward).collect()}
+    stored = {r["doc_id"]: r for r in M.pcm_digests(awkward).collect()}
+    assert len(own) > 10 and M.pcm_digests(nothing).count() == 0
+    for k, text in own.items():
+        payload = M.payload_of(text)
+        kind = ("mulaw", "alaw", "ima_adpcm")[zlib.crc32(payload) % 3]
+        if kind == "ima_adpcm":
+            samples = [s for at in range(0, len(payload), 64) for s in slow_ima(bytes(4) + payload[at : at + 64])]
+        else:
+            samples = [(slow_mulaw if kind == "mulaw" else slow_alaw)(c) for c in payload]
+        wide = [samples[0], *samples, samples[-1], samples[-1]]
+        pcm = []
+        for i, s in enumerate(samples):
+            pcm += [s, max(-32768, min(32767, (9 * (wide[i + 1] + wide[i + 2]) - wide[i] - wide[i + 3] + 8) // 16))]
+        raw = b"".join(s.to_bytes(2, "little", signed=True) for s in pcm)
+        assert (stored[k]["pcm_bytes"], stored[k]["pcm_sha256"], stored[k]["error"]) == (len(raw), hashlib.sha256(raw).hexdigest(), None)
+        turns = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:], strict=False))
+        said = f"{kind};samples={len(samples)};pcm={len(pcm)};peak={max(map(abs, samples))};energy={sum(s * s for s in samples)};turns={turns};pcm_crc={zlib.crc32(raw)}"
+        assert feature[k] == said
