@@ -18,10 +18,13 @@ _ODD = 0x9E3779B97F4A7C15
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and the master is local, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -42,7 +45,7 @@ def discard(df: DataFrame | None) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_with_hot(many: DataFrame, one: DataFrame, key: str, n: str, least: int = 10_000) -> DataFrame:
+def join_with_hot(many: DataFrame, one: DataFrame, key: str | list[str], n: str, least: int = 10_000) -> DataFrame:
     """Inner join on `key`; `one` has a row for each key, and in `n` how many rows of `many` have it.
 
     Keys with more than a quarter of a shuffle partition's even share of rows
