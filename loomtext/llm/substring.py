@@ -28,7 +28,8 @@ every unit stays at least once in the table. Removed spans keep their
 code-point offsets in the original text; a span takes the blanks after it along.
 
 One shuffle groups the digests. Digests that could be hot are found beforehand
-from counts in `buckets` hash buckets; those are grouped by partial minima
+from counts in `buckets` hash buckets, a table that is broadcast (at most four
+rows for each shuffle partition); those are grouped by partial minima
 instead and meet the minima again in as many salted pieces as their bucket's
 count asks for.
 
@@ -165,21 +166,21 @@ def repeats(docs: DataFrame, run_words: int = 10, short_words: int = 3, buckets:
     units = written(found.mapInArrow(_explode(run_words, short_words), "doc_id long, key long, unit int, d1 long, d2 int"), "units")
     bucket = F.pmod(F.col("d1"), F.lit(buckets)).cast("int")
     # At most `buckets` rows; hot are at most 4 * shuffle partitions of them.
-    sizes = units.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    limit = max(256, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    hot = {r["b"]: -(-r["n"] // limit) for r in sizes.where(F.col("n") > limit).collect()}
-    is_hot = bucket.isin(list(hot)) if hot else F.lit(False)
+    sizes = written(units.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    limit = max(256, (total or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    some = (most or 0) > limit
+    hot = F.broadcast(sizes.where(F.col("n") > limit).select("b", F.ceil(F.col("n") / limit).cast("int").alias("salts")))
 
     rank = F.struct("doc_id", "key", F.abs("unit").alias("unit"))
-    cold = units.where(~is_hot).withColumn("first", F.min(rank).over(Window.partitionBy("d1", "d2"))).where(rank != F.col("first"))
+    marked = units.withColumn("b", bucket)
+    cold = (marked.join(hot, "b", "left_anti") if some else marked).withColumn("first", F.min(rank).over(Window.partitionBy("d1", "d2"))).where(rank != F.col("first"))
     out = cold.select("doc_id", "key", "unit")
-    if hot:
-        salts = F.element_at(F.create_map(*(F.lit(x) for pair in hot.items() for x in pair)), bucket)
-        warm = units.where(is_hot)
-        first = warm.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        met = warm.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key", "unit"), salts).cast("int")).join(first, ["d1", "d2", "salt"])
+    if some:
+        warm = marked.join(hot, "b")
+        first = warm.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"), F.min("salts").alias("salts")).where("n > 1")
+        first = first.select("d1", "d2", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        met = warm.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key", "unit"), F.col("salts")).cast("int")).join(first, ["d1", "d2", "salt"])
         out = out.unionByName(met.where(rank != F.col("first")).select("doc_id", "key", "unit"))
     return out
 
