@@ -167,7 +167,7 @@ def features(docs: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, "doc_id long, x binary"), "views")
 
 
-def most_confident(rows: DataFrame, model: CoTrained, used: set[bytes], growth: int, sure: float) -> list[tuple[int, int, bytes]]:
+def most_confident(rows: DataFrame, model: CoTrained, used: set[bytes], growth: int, sure: float, pieces: int = 256) -> list[tuple[int, int, bytes]]:
     """(view, label, x): each view's `growth` most confident rows of either label, over the whole table; equal rows count once."""
     shared = rows.sparkSession.sparkContext.broadcast((model, used))  # at most 4 * growth rows for each round before
 
@@ -187,8 +187,11 @@ def most_confident(rows: DataFrame, model: CoTrained, used: set[bytes], growth:
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.binary()))], ["view", "label", "p", "x"])
 
     found = rows.select("x").mapInArrow(run, "view int, label int, p double, x binary").distinct()
-    order = Window.partitionBy("view", "label").orderBy(F.desc("p"), "x")
-    kept = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= growth)
+    # Ranked in two levels: what the tasks hand on grows with their number, and one group of it is no task's work.
+    kept = found.withColumn("piece", F.pmod(F.xxhash64("x"), F.lit(pieces)))
+    for by in (["view", "label", "piece"], ["view", "label"]):
+        order = Window.partitionBy(*by).orderBy(F.desc("p"), "x")
+        kept = kept.withColumn("n", F.row_number().over(order)).where(F.col("n") <= growth).drop("n")
     return [(r["view"], r["label"], bytes(r["x"])) for r in kept.select("view", "label", "x").collect()]  # at most 4 * growth rows
 
 

@@ -265,3 +265,23 @@ def test_chain_decides_otherwise_than_one_model():
     by_chain, by_one = c.predict(x)[:, 2] > 0.5, x @ alone[:-1] + alone[-1] > 0
     assert (by_chain != by_one).sum() > 20
     assert (by_chain == (a | b)).mean() > (by_one == (a | b)).mean() + 0.03
+
+
+def test_most_confident_rows_are_ranked_in_two_levels(spark):
+    """Many tasks, each with its own best rows: the same rows as one sort of all, however they are cut."""
+    rng = np.random.default_rng(3)
+    x = rng.random((3000, quality.ALL)).astype("<f4")
+    x[40:80, 0] = x[:40, 0]
+    model = quality.CoTrained(x[:200].astype(float), (x[:200, 0] > 0.5).astype(float))
+    data = [r.tobytes() for r in x]
+    d = spark.createDataFrame([(b,) for b in data + data[:500]], "x binary").repartition(40)
+    used = set(data[100:120])
+    left = [b for b in data if b not in used]
+    p = dict(zip(left, model.probabilities(quality.unpacked(left)), strict=True))
+    want = set()
+    for view in (0, 1):
+        for label in (0, 1):
+            sure = {b: float(p[b][view] if label else 1 - p[b][view]) for b in left}
+            want |= {(view, label, b) for b in sorted((b for b in left if sure[b] >= 0.5), key=lambda b: (-sure[b], b))[:20]}
+    for pieces in (1, 7, 256):
+        assert set(quality.most_confident(d, model, used, 20, 0.5, pieces)) == want
