@@ -148,8 +148,9 @@ def agreeing_pairs(fps: DataFrame, masks: list[int]) -> list[float]:
     return [found.get(k, 0.0) for k in range(len(masks))]
 
 
-def candidate_costs(n: int, counts: np.ndarray, groups: list[list[int]], most: int, agree: list[float] | None = None) -> np.ndarray:
-    """cost[i, t + 1]: estimated pairs within t bits in group i, t from -1 to most, and a row for each probe.
+def candidate_costs(n: int, counts: np.ndarray, groups: list[list[int]], most: int, agree: list[float] | None = None, block: int = 512) -> np.ndarray:
+    """cost[i, t + 1]: estimated pairs within t bits in group i, t from -1 to most, and a row for each probe
+    and for each copy that meets a block (a key of k fingerprints copies each k / block times).
 
     agree: pairs that agree on each whole group, as counted; without it, as many
     as if bits were independent. With t it grows as for independent bits.
@@ -167,7 +168,7 @@ def candidate_costs(n: int, counts: np.ndarray, groups: list[list[int]], most: i
         subsets = 1.0
         for t in range(most + 1):
             subsets = subsets * (len(group) - t + 1) / t if t else 1.0
-            cost[i, t + 1] = pairs[t] * (1 + t) + ROW_COST * n * max(subsets, 1.0)
+            cost[i, t + 1] = pairs[t] * (1 + t) * (1 + 2 * ROW_COST / block) + ROW_COST * n * max(subsets, 1.0)
             if t > len(group):  # no more bits to mask
                 cost[i, t + 1] = np.inf
     return cost
@@ -237,20 +238,20 @@ def plan(fps: DataFrame, distance: int, parts: tuple[int, ...]) -> tuple[list[li
     return best[1:]
 
 
-def links(fps: DataFrame, distance: int = 3, parts: tuple[int, ...] = PARTS, block: int = 512) -> DataFrame:
+def links(fps: DataFrame, distance: int = 3, parts: tuple[int, ...] = PARTS, block: int = 512, hot: int = 10_000) -> DataFrame:
     """(a, b): links of distinct fingerprints within `distance` bits that connect what all such links connect."""
     masks = probe_masks(*plan(fps, distance, parts))
     keys = F.array(*(F.struct(F.lit(k).alias("probe"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)))
     probes = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.probe", "k.key")
     # A key of one fingerprint has nothing to compare. Larger ones are cut into pieces of about `block`;
-    # a group is a pair of pieces.
-    cuts = probes.groupBy("probe", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("probe", "key", F.ceil(F.col("n") / block).cast("int").alias("cuts"))
+    # a group is a pair of pieces. Keys of very many meet their number of pieces by broadcast.
+    cuts = written(probes.groupBy("probe", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("cuts", F.ceil(F.col("n") / block).cast("int")), "cuts")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("cuts") - 1),
         lambda other: F.struct(F.least(F.col("c"), other).alias("p"), F.greatest(F.col("c"), other).alias("q")),
     )
     squares = (
-        probes.join(cuts, ["probe", "key"])
+        join_with_hot(probes, cuts, ["probe", "key"], "n", hot)
         .withColumn("c", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int"))
         .select("probe", "key", "fp", F.explode(pairs).alias("s"))
         .select("probe", "key", "s.p", "s.q", "fp")
@@ -283,7 +284,7 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, parts:
     rows = written(with_fingerprints(docs, shingle), "fingerprints")
     # One row for each distinct fingerprint, with the smallest document that has it.
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
-    found = components(links(fps.select("fp"), distance, parts, block), "simhash", hub=hot)
+    found = components(links(fps.select("fp"), distance, parts, block, hot), "simhash", hub=hot)
     named = written(fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("m"))
     # A giant component, and a fingerprint of very many copies, are no hot keys: these meet by broadcast.

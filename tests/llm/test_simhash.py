@@ -156,3 +156,11 @@ def test_hubs_and_giant_components(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     a, b = (sorted(map(tuple, S.near_duplicates(d, hot=h).collect())) for h in (20, 10_000))
     assert a == b and len(a) == len(texts) and sum(r[2] == 0 for r in a) > 200
+
+
+def test_keys_of_many_meet_their_cuts_by_broadcast(spark):
+    rng = random.Random(12)
+    fps = clusters(rng, 10, 8, 4) + clusters(rng, 1, 150, 2)
+    want = brute_components([(a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) % (1 << 64)).bit_count() <= 3], fps)
+    d = spark.createDataFrame([(x,) for x in fps], "fp long").repartition(3)
+    assert brute_components([(r["a"], r["b"]) for r in S.links(d, block=16, hot=3).collect()], fps) == want
