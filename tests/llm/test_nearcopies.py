@@ -78,3 +78,21 @@ def test_hubs_meet_by_broadcast(spark):
     nodes = [r["n"] for r in d.select(N.node_of(d["text"]).alias("n")).distinct().collect()]
     a, b = (brute_components([(r["a"], r["b"]) for r in N.links(d, hot=h).collect()], nodes) for h in (5, 10_000))
     assert a == b and len(set(a.values())) == 11
+
+
+def test_blocks_bounded_by_bytes_and_96_bit_nodes(spark):
+    """Blocks of a few hundred bytes, keys that meet their cuts by broadcast: the same components."""
+    texts = corpus()[:100]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    nodes = [r["n"] for r in d.select(N.node_of(d["text"]).alias("n")).distinct().collect()]
+    assert {len(n) for n in nodes} == {16} and len(nodes) == len(set(texts))
+    a, b = (brute_components([(r["a"], r["b"]) for r in N.links(d, block_bytes=size, hot=hot).collect()], nodes) for size, hot in ((700, 2), (8 << 20, 10_000)))
+    assert a == b and len(set(a.values())) < len(nodes)
+
+
+def test_map_columns_are_handed_on(spark):
+    base = "one two three four five six seven eight nine ten"
+    rows = [(2, base, {"a": 1}, [{"x": 1.5}]), (1, base, {"b": None}, None), (3, None, None, []), (4, "something else", {}, [{}])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, meta map<string,int>, more array<map<string,double>>")
+    got = sorted((tuple(r) for r in N.one_of_each(d).collect()), key=lambda r: r[0])
+    assert got == [rows[1], rows[2], rows[3]]
