@@ -17,9 +17,10 @@ def fixed_width(text: Column, width: int = 600) -> Column:
     return F.when(F.length(text) > 0, F.transform(starts, lambda k: F.substring(text, k * width + 1, F.lit(width)))).otherwise(F.expr(TEXTS))
 
 
-def chunks(docs: DataFrame, width: int = 600) -> DataFrame:
-    """(doc_id, chunk_no, start, end, text): the chunks that aren't blank; chunk_no counts all of them."""
-    rows = docs.select("doc_id", F.posexplode(fixed_width(F.col("text"), width)).alias("chunk_no", "text")).where(F.col("text").rlike(NOT_BLANK))
+def chunks(docs: DataFrame, width: int = 600, blank: bool = False) -> DataFrame:
+    """(doc_id, chunk_no, start, end, text): the chunks that aren't blank, or with `blank` all; chunk_no counts all of them."""
+    rows = docs.select("doc_id", F.posexplode(fixed_width(F.col("text"), width)).alias("chunk_no", "text"))
+    rows = rows if blank else rows.where(F.col("text").rlike(NOT_BLANK))
     start = F.col("chunk_no") * width
     return rows.select("doc_id", "chunk_no", start.alias("start"), (start + F.length("text")).alias("end"), "text")
 

@@ -55,8 +55,9 @@ def fixer_stats(nodes: DataFrame) -> DataFrame:
 
 
 def detector_stats(suggestions: DataFrame, responses: DataFrame) -> DataFrame:
-    """Of the whole run: model_calls, chunks_processed, suggestions_valid, suggestions_rejected, plan_size (distinct pairs of each document)."""
-    calls = responses.agg(F.count(F.lit(1)).alias("model_calls"), F.sum(F.col("error").isNull().cast("long")).alias("chunks_processed"))
-    pairs = suggestions.groupBy("doc_id", "find", "replace").agg(F.sum(F.col("valid").cast("long")).alias("v"), F.sum((~F.col("valid")).cast("long")).alias("r"))
-    said = pairs.agg(F.sum("v").alias("suggestions_valid"), F.sum("r").alias("suggestions_rejected"), F.sum((F.col("v") > 0).cast("long")).alias("plan_size"))
+    """Of the whole run: model_calls, chunks_processed, suggestions_valid, suggestions_rejected, plan_size (distinct pairs of each document); 0 where there are none."""
+    calls = responses.agg(F.count(F.lit(1)).alias("model_calls"), F.count_if(F.col("error").isNull()).alias("chunks_processed"))
+    pairs = suggestions.groupBy("doc_id", "find", "replace").agg(F.count_if("valid").alias("v"), F.count_if(~F.col("valid")).alias("r"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    said = pairs.agg(total("v").alias("suggestions_valid"), total("r").alias("suggestions_rejected"), F.count_if(F.col("v") > 0).alias("plan_size"))
     return calls.crossJoin(said)  # one row each
