@@ -198,7 +198,14 @@ def edit_distance(x: str, y: str) -> int:
 def _by_pair(measure: Callable[[str, str], float]):
     @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([measure(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
+        seen: dict[tuple[str, str], float] = {}  # equal pairs of a batch are measured once
+        out = []
+        for pair in zip(a, b, strict=True):
+            pair = (pair[0] or "", pair[1] or "")
+            if pair not in seen:
+                seen[pair] = measure(*pair)
+            out.append(seen[pair])
+        return pd.Series(out, dtype=float)
 
     return run
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from loomtext.functions.once import once
 from loomtext.functions.text import strip
 from loomtext.operators.apply import lines, stripped_lines
 
@@ -35,9 +36,14 @@ def aligned_lines(output: DataFrame, expected: DataFrame, only: Callable[[Column
     return a.join(b, ["doc_id", "line_no"], "full_outer")
 
 
+def side_by_side(output: Column, expected: Column) -> Column:
+    """array<struct<output, expected>> of two arrays of lines."""
+    return F.zip_with(output, expected, lambda o, e: F.struct(o.alias("output"), e.alias("expected")))
+
+
 def paired_lines(docs: DataFrame, output: str, expected: str, only: Callable[[Column], Column] | None = None) -> DataFrame:
     """aligned_lines of two columns of one table: no join, no shuffle."""
-    both = F.zip_with(stripped_lines(F.col(output), only), stripped_lines(F.col(expected), only), lambda o, e: F.struct(o.alias("output"), e.alias("expected")))
+    both = side_by_side(stripped_lines(F.col(output), only), stripped_lines(F.col(expected), only))
     return docs.select("doc_id", F.posexplode(both).alias("line_no", "x")).select("doc_id", "line_no", "x.output", "x.expected")
 
 
@@ -56,19 +62,40 @@ def line_metrics(pairs: DataFrame, content: DataFrame | None = None, by: list[st
     share is 0. Equal lines are similar by 1, and only others are compared;
     similarity is the mean over lines that both sides have.
     """
+    rows = pairs.select(*by, "output", "expected", F.lit(False).alias("_of_content"))
+    if content is not None:
+        rows = rows.unionByName(content.select(*by, "output", "expected", F.lit(True).alias("_of_content")))
+    return _measured(rows, by, similarity)
+
+
+def paired_metrics(docs: DataFrame, output: str, expected: str, only: Callable[[Column], Column], similarity=edit_similarity) -> DataFrame:
+    """line_metrics of two columns of one table, with the lines that `only` holds for as content: texts are read once, and a document's pairs of both kinds stand together."""
+    d = once(docs.select("doc_id", output, expected), _o=stripped_lines(F.col(output)), _e=stripped_lines(F.col(expected)))
+    flagged = lambda pairs, of_content: F.transform(pairs, lambda x: F.struct(x["output"].alias("output"), x["expected"].alias("expected"), F.lit(of_content).alias("_of_content")))
+    both = F.concat(flagged(side_by_side(F.col("_o"), F.col("_e")), False), flagged(side_by_side(F.filter("_o", only), F.filter("_e", only)), True))
+    return _measured(d.select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.*"), ["doc_id"], similarity)
+
+
+def _measured(rows: DataFrame, by: list[str], similarity) -> DataFrame:
+    """line_metrics of pairs of lines, those of content marked by `_of_content`."""
     both = F.col("output").isNotNull() & F.col("expected").isNotNull()
     equal = F.col("output").eqNullSafe(F.col("expected"))
     compared = F.when(both & ~equal, similarity(F.when(both & ~equal, F.col("output")), F.when(both & ~equal, F.col("expected"))))
-    s = F.when(equal, 1.0).otherwise(compared)
-    share = lambda c: F.count_if(F.coalesce(c, F.lit(False))) / F.count(F.lit(1))
-    r = pairs.withColumn("s", s).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total"), share(equal).alias("exact"), share(F.col("s") > 0.9).alias("fuzzy"), F.avg("s").alias("similarity"), F.count_if(~equal).alias("differing")
+    rows = rows.select(*by, "_of_content", equal.alias("equal"), F.when(equal, 1.0).otherwise(compared).alias("s"))
+    line = ~F.col("_of_content")
+    number = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    share = lambda c, of: F.coalesce(F.try_divide(number(c & of), number(of)), F.lit(0.0))
+    r = rows.groupBy(*by).agg(
+        number(line).alias("total"),
+        share(F.col("equal"), line).alias("exact"),
+        share(F.col("s") > 0.9, line).alias("fuzzy"),
+        F.avg(F.when(line, F.col("s"))).alias("similarity"),
+        number(line & ~F.col("equal")).alias("differing"),
+        share(F.col("s") > 0.8, F.col("_of_content")).alias("content"),
     )
-    if content is None:
-        r = r.withColumn("content", F.lit(0.0))
-    else:
-        c = content.withColumn("s", s).groupBy(*by).agg(share(F.col("s") > 0.8).alias("content"))
-        r = r.join(c, list(by), "left").withColumn("content", F.coalesce("content", F.lit(0.0)))
+    r = r.where("total > 0")
+    for key in by:  # rows without a key meet no content
+        r = r.withColumn("content", F.when(F.col(key).isNotNull(), F.col("content")).otherwise(0.0))
     return r.withColumn("headline", F.greatest("fuzzy", "content"))
 
 

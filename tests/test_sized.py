@@ -32,3 +32,21 @@ def test_detector_stats_blank_chunks(spark, tmp_path):
 def test_detector_stats_without_items(spark, tmp_path):
     d = folder(spark, tmp_path, [None])
     assert by_spark("detector_stats", spark, d) == by_sql("detector_stats", d) == [(0, 0, 0, 0, 0)]
+
+
+def test_line_metrics_long_line(spark, tmp_path):
+    """A text of one line with differences all along: the cost must not be characters squared."""
+    import time
+
+    long = "".join(f"word{k % 97} ,and{k % 31}.More!!  " for k in range(4000))
+    d = folder(spark, tmp_path, [long, "one ,two.three\nfour", "", "same", None])
+    by_spark("line_metrics", spark, d)
+    began = time.time()
+    rows = by_spark("line_metrics", spark, d)
+    assert time.time() - began < 15
+    assert rows[0][0] == 0 and 0.8 < rows[0][4] < 1
+
+
+def test_line_metrics_by_sql(spark, tmp_path):
+    d = folder(spark, tmp_path, ["one ,two.three\nfour!!\nfive", "a\n\n b!! \nc", "same", "", "x.Y\nno\nx.Y", "ü ,ü.U\n..."])
+    assert by_spark("line_metrics", spark, d) == by_sql("line_metrics", d)
