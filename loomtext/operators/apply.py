@@ -24,25 +24,27 @@ def plans_by_doc(plan: DataFrame) -> DataFrame:
     return plan.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
-def replace_first(text: Column, find: Column, new: Column) -> Column:
-    """The first occurrence only; an empty find text puts `new` in front."""
-    at = F.call_function("locate", find, text)
-    swapped = F.concat(F.substring(text, F.lit(1), at - 1), new, F.substring(text, at + F.length(find), F.length(text)))
-    return F.when(F.length(find) == 0, F.concat(new, text)).when(at > 0, swapped).otherwise(text)
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("applied", T.IntegerType()), T.StructField("rejected", T.IntegerType())]))
+def _folded(texts: pa.Array, finds: pa.Array, news: pa.Array) -> pa.Array:
+    """Texts may have as many items as words, and each step makes a text anew: memory is copied, not signs counted."""
+    out = []
+    for text, find, new in zip(texts.to_pylist(), finds.to_pylist(), news.to_pylist(), strict=True):
+        applied = 0
+        for f, n in zip(find or (), new or (), strict=True):
+            if text is not None and f is not None and f in text:
+                applied += 1
+                text = None if n is None else text.replace(f, n, 1)
+        out.append((text, applied, len(find or ()) - applied))
+    text, applied, rejected = zip(*out) if out else ((), (), ())
+    return pa.StructArray.from_arrays([pa.array(text, pa.string()), pa.array(applied, pa.int32()), pa.array(rejected, pa.int32())], ["text", "applied", "rejected"])
 
 
 def folded(text: Column, items: Column) -> Column:
-    """struct<text, applied, rejected>: the items applied in order, each on what the ones before it left."""
+    """struct<text, applied, rejected>: the items applied in order, each to its first occurrence in what the ones before it left.
 
-    def add(s: Column, i: Column) -> Column:
-        hit = F.contains(s["text"], i["find"])
-        return F.struct(
-            replace_first(s["text"], i["find"], i["replace"]).alias("text"),
-            (s["applied"] + F.when(hit, 1).otherwise(0)).alias("applied"),
-            (s["rejected"] + F.when(hit, 0).otherwise(1)).alias("rejected"),
-        )
-
-    return F.aggregate(items, F.struct(text.alias("text"), F.lit(0).alias("applied"), F.lit(0).alias("rejected")), add)
+    An empty find text puts its replacement in front; an item without a find text is rejected.
+    """
+    return _folded(text, F.transform(items, lambda i: i["find"]), F.transform(items, lambda i: i["replace"]))
 
 
 def apply_plan(docs: DataFrame, plan: DataFrame, **options) -> DataFrame:

@@ -50,3 +50,21 @@ def test_line_metrics_long_line(spark, tmp_path):
 def test_line_metrics_by_sql(spark, tmp_path):
     d = folder(spark, tmp_path, ["one ,two.three\nfour!!\nfive", "a\n\n b!! \nc", "same", "", "x.Y\nno\nx.Y", "ü ,ü.U\n..."])
     assert by_spark("line_metrics", spark, d) == by_sql("line_metrics", d)
+
+
+def test_plan_of_very_many_items(spark):
+    """A plan of 20,000 items on one text: each step must not count all signs of the text anew."""
+    import time
+
+    from loomtext.operators import apply
+
+    n = 20_000
+    d = spark.createDataFrame([(1, "wow!!! LOUD é " * n), (2, None), (3, "ab")], "doc_id long, text string")
+    one = lambda k: "CASE WHEN {0} % 2 = 0 THEN named_struct('item_no', cast({0} as int), 'find', '!!!', 'replace', '!') ELSE named_struct('item_no', cast({0} as int), 'find', 'LOUD', 'replace', 'loud') END".format(k)
+    d = d.withColumn("items", F.expr(f"CASE WHEN doc_id = 3 THEN array(named_struct('item_no', 0, 'find', '', 'replace', 'x'), named_struct('item_no', 1, 'find', 'zz', 'replace', 'y')) ELSE transform(sequence(0, {2 * n - 1}), k -> {one('k')}) END"))
+    began = time.time()
+    rows = {r["doc_id"]: r for r in apply.apply_items(d, "items", max_ratio=9.0).collect()}
+    assert time.time() - began < 60
+    assert (rows[1]["text"], rows[1]["replacements_applied"], rows[1]["replacements_rejected"]) == ("wow! loud é " * n, 2 * n, 0)
+    assert (rows[2]["text"], rows[2]["replacements_applied"]) == (None, 0)
+    assert (rows[3]["text"], rows[3]["replacements_applied"], rows[3]["replacements_rejected"]) == ("xab", 1, 1)
