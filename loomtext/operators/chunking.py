@@ -87,12 +87,11 @@ def paragraphs(docs: DataFrame, most: int = 600) -> DataFrame:
 
 def skip_reason(text: Column, upper: float = 0.7, code: float = 0.5) -> Column:
     """Why a text node needs no look by a model: empty, url, mostly_uppercase, code_ish; null: it does."""
-    letters = F.regexp_count(text, F.lit("[A-Za-z]"))
-    capitals = F.regexp_count(text, F.lit("[A-Z]"))
-    visible = F.regexp_count(text, F.lit(r"\S"))
-    return (
-        F.when(~text.rlike(NOT_BLANK), "empty")
-        .when(text.rlike("https?://|//"), "url")
-        .when((letters > 0) & (capitals / letters > upper), "mostly_uppercase")
-        .when((visible - letters) / visible > code, "code_ish")
-    )
+    without = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))  # noqa: E731  # runs go at once, not sign by sign
+    counts = F.struct(without("[^A-Za-z]+").alias("letters"), without("[^A-Z]+").alias("capitals"), without(r"\s+").alias("visible"))
+
+    def reason(n: Column) -> Column:
+        return F.when((n["letters"] > 0) & (n["capitals"] / n["letters"] > upper), "mostly_uppercase").when((n["visible"] - n["letters"]) / n["visible"] > code, "code_ish")
+
+    # The counts are a variable of a one-element transformation, so that each is worked out once.
+    return F.when(~text.rlike(NOT_BLANK), "empty").when(text.contains("//"), "url").otherwise(F.transform(F.array(counts), reason)[0])

@@ -68,3 +68,8 @@ def test_plan_of_very_many_items(spark):
     assert (rows[1]["text"], rows[1]["replacements_applied"], rows[1]["replacements_rejected"]) == ("wow! loud é " * n, 2 * n, 0)
     assert (rows[2]["text"], rows[2]["replacements_applied"]) == (None, 0)
     assert (rows[3]["text"], rows[3]["replacements_applied"], rows[3]["replacements_rejected"]) == ("xab", 1, 1)
+
+
+def test_skip_reasons_by_sql(spark, tmp_path):
+    d = folder(spark, tmp_path, ["see http://x.org now", "x = {1: [2, 3], 4: (5 + 6)} " * 40, "THIS IS A HEADING " * 50, "plain words " * 80, " " * 700, None, "ünïcode ßß 123 " * 90, "// x"])
+    assert by_spark("skip_reasons", spark, d) == by_sql("skip_reasons", d)
