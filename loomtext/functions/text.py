@@ -109,22 +109,23 @@ TYPOGRAPHY = [
     Step("dashes_normalized", lambda c: F.replace(c, F.lit("–"), F.lit("—")), matches("–")),
 ]
 
-WORDS = r"([\p{L}\p{N}_]+)"
-SHOUT = "^[A-Z]{4,}$"
+#: A word of four or more capitals and nothing else; its first sign is looked at before its edges.
+LOUD = r"(?=[A-Z]{4})(?<![\p{L}\p{N}_])([A-Z]{4,})(?![\p{L}\p{N}_])"
 UNITS = "°C|°F|km|cm|mm|kg|mg|ms|g|m"
 
 
 def loud_words(c: Column, kept: list[str]) -> Column:
     """array<string>: the words of four or more capitals (and nothing else), but for the kept ones, in order."""
-    loud = F.filter(F.regexp_extract_all(c, F.lit(WORDS), 1), lambda w: w.rlike(SHOUT))
+    loud = F.regexp_extract_all(c, F.lit(LOUD), 1)
     return F.filter(loud, lambda w: ~w.isin(kept)) if kept else loud
 
 
 def deshout(c: Column, kept: list[str]) -> Column:
-    """Loud words to lower case. The kept words are a lexicon of a few, known when the plan is made."""
-    edge = r"[\p{L}\p{N}_]"
-    quiet = lambda text, w: F.regexp_replace(text, F.concat(F.lit(f"(?<!{edge})"), w, F.lit(f"(?!{edge})")), F.lower(w))
-    return F.aggregate(F.array_distinct(loud_words(c, kept)), c, quiet)
+    """Loud words to lower case, where they stand, in one pass. The kept words are a lexicon of a few, known when the plan is made."""
+    quiet = lambda w: F.when(w.isin(kept), w).otherwise(F.lower(w)) if kept else F.lower(w)
+    found, between = F.regexp_extract_all(c, F.lit(LOUD), 1), F.split(c, LOUD, -1)
+    joined = F.array_join(F.zip_with(between, found, lambda gap, w: F.concat(gap, F.coalesce(quiet(w), F.lit("")))), "")
+    return F.when(c.rlike("[A-Z]{4}"), joined).otherwise(c)
 
 
 def kept_words(lexicon: DataFrame, most: int = 10_000) -> list[str]:
@@ -140,11 +141,23 @@ def shouts(c: Column, kept: list[str]) -> Column:
 
 
 def clock(c: Column) -> Column:
-    for letter in "ap":
-        c = F.regexp_replace(c, rf"(?i)\b(\d{{1,2}}(?::\d{{2}})?)\s*{letter}\.?m\b\.?", f"$1 {letter}.m.")
+    for letter in "ap":  # a digit is looked for before the edge of a word, which costs more
+        c = F.regexp_replace(c, rf"(?i)(?=\d)\b(\d{{1,2}}(?::\d{{2}})?)\s*{letter}\.?m\b\.?", f"$1 {letter}.m.")
     return c
 
 
+def where_any(signs: str, change: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """`change` on texts that have one of the signs; others stay, and are not gone through sign by sign."""
+
+    def changed(v: Column) -> Column:
+        there = F.lit(False)
+        for sign in signs:
+            there = there | v.contains(sign)
+        return F.when(there, change(v)).otherwise(v)
+
+    return lambda c: F.transform(F.array(c), changed)[0]
+
+
 FOOTNOTE = r"(?m)(?<!^)(\[\^?\d+\]|\(\d+\))(?!:)"
 
 
@@ -154,8 +167,8 @@ def policies(kept: list[str], footnotes: bool = False) -> list[Step]:
         Step("casing_normalized", lambda c: deshout(c, kept), lambda c: shouts(c, kept)),
         Step("runs_collapsed", replaced(r"([!?])\1+", "$1"), matches(r"([!?])\1+")),
         Step("ellipsis", three_dots, matches(r"\.{4,}|…")),
-        Step("quotes", lambda c: F.translate(c, "“”‘’", "\"\"''"), matches("[“”‘’]")),
-        Step("percent_joined", replaced(r"(\d)\s+%", "$1%"), matches(r"(\d)\s+%")),
+        Step("quotes", where_any("“”‘’", lambda c: F.translate(c, "“”‘’", "\"\"''")), matches("[“”‘’]")),
+        Step("percent_joined", where_any("%", replaced(r"(\d)\s+%", "$1%")), matches(r"(\d)\s+%")),
         Step("units", replaced(rf"(\d)\s*({UNITS})(?![A-Za-z])", "$1 $2")),
         Step("times", clock, matches(r"(?i)\b\d{1,2}(?::\d{2})?\s*[ap]\.?m\b\.?")),
         Step("spacing", lambda c: F.regexp_replace(F.regexp_replace(c, " +([!?])", "$1"), r"([.!?]) {2,}(\S)", "$1 $2")),

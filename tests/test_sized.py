@@ -70,6 +70,23 @@ def test_plan_of_very_many_items(spark):
     assert (rows[3]["text"], rows[3]["replacements_applied"], rows[3]["replacements_rejected"]) == ("xab", 1, 1)
 
 
+def test_many_loud_words(spark):
+    """Very many different loud words in one text: one pass over it, whatever their number."""
+    import itertools
+    import time
+
+    from loomtext.functions import text
+
+    words = ["".join(w) for w in itertools.product("ABCDEFGHIJKLMNOPQRST", repeat=4)][:40_000]
+    long = "_ABCD NASA éABCD ABCDé ABC ABCDe " + " ".join(words)
+    d = spark.createDataFrame([(long,), (None,), ("",), ("NASA",), ("SHOUT",)], "t string")
+    began = time.time()
+    rows = d.select(text.deshout(F.col("t"), ["NASA"]).alias("q"), text.shouts(F.col("t"), ["NASA"]).alias("n")).collect()
+    assert time.time() - began < 15
+    assert [r["q"] for r in rows] == ["_ABCD NASA éABCD ABCDé ABC ABCDe " + " ".join(words).lower(), None, "", "NASA", "shout"]
+    assert [r["n"] for r in rows][0] == len(words)
+
+
 def test_skip_reasons_by_sql(spark, tmp_path):
     d = folder(spark, tmp_path, ["see http://x.org now", "x = {1: [2, 3], 4: (5 + 6)} " * 40, "THIS IS A HEADING " * 50, "plain words " * 80, " " * 700, None, "ünïcode ßß 123 " * 90, "// x"])
     assert by_spark("skip_reasons", spark, d) == by_sql("skip_reasons", d)
