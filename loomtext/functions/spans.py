@@ -42,23 +42,27 @@ def _found(text: Column, kind: str, pattern: str, prefix: str | None, order: int
     pairs = F.filter(F.zip_with(hits, F.split(text, pattern, -1), lambda h, g: F.struct(h.alias("hit"), F.length(g).alias("gap"))), lambda x: x["hit"].isNotNull())
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:
-        begin = at + x["gap"]
+        begin = (at + x["gap"]).cast("int")
+        return (begin + F.length(x["hit"])).cast("int"), F.array(begin)
+
+    def span(x: Column, begin: Column) -> Column:
         # Of a link or image only the target is protected; the closing bracket isn't.
         lead = F.length(F.regexp_extract(x["hit"], prefix, 0)) if prefix else F.lit(0)
         size = F.length(x["hit"]) - lead - (1 if prefix else 0)
-        span = F.struct(
+        return F.struct(
             (begin + lead).cast("int").alias("start"),
             F.lit(order).alias("ord"),
             (begin + lead + size).cast("int").alias("end"),
             F.lit(kind).alias("type"),
             F.substring(x["hit"], lead + 1, size).alias("text"),
         )
-        return (begin + F.length(x["hit"])).cast("int"), F.array(span)
 
+    # The fold gives out numbers only, as what it has given out is copied.
+    whole = F.transform(F.array(pairs), lambda own: F.zip_with(own, collected(own, F.lit(0), step, "int"), span))[0]
     there = F.lit(False)
     for sign in SIGNS[kind]:
         there = there | text.contains(sign)
-    return F.when(there, collected(pairs, F.lit(0), step, FOUND)).when(text.isNotNull(), F.expr(f"cast(array() as array<{FOUND}>)"))
+    return F.when(there, whole).when(text.isNotNull(), F.expr(f"cast(array() as array<{FOUND}>)"))
 
 
 def spans(text: Column, extra: bool = False) -> Column:
@@ -73,9 +77,15 @@ def swept(ordered: Column, make: Callable[[Column], Column], kind: str) -> Colum
 
     def step(end: Column, x: Column) -> tuple[Column, Column]:
         free = x["start"] >= end
-        return F.when(free, x["end"]).otherwise(end).cast("int"), F.when(free, F.array(make(x))).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
+        return F.when(free, x["end"]).otherwise(end).cast("int"), F.array(free)
+
+    def kept(own: Column) -> Column:
+        free = F.transform(F.array(collected(own, F.lit(0), step, "boolean")), lambda free: F.filter(own, lambda x, k: free[k]))[0]
+        # Mostly none starts before the one before it ends; without a fold that is seen at once.
+        apart = ~F.exists(F.transform(own, lambda x, k: x["start"] < F.when(k > 0, F.element_at(own, F.greatest(k, F.lit(1)))["end"]).otherwise(0)), lambda late: late)
+        return F.transform(F.when(apart, own).otherwise(free), make)
 
-    return collected(ordered, F.lit(0), step, kind)
+    return F.transform(F.array(ordered), lambda own: F.when(F.size(own) > 0, kept(own)).when(own.isNotNull(), F.expr(f"cast(array() as array<{kind}>)")))[0]
 
 
 def keep_first(ordered: Column) -> Column:

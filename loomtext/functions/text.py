@@ -46,8 +46,9 @@ def occurrences(c: Column, token: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Without leading and trailing white space, also beyond ASCII."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without leading and trailing white space, also beyond ASCII. Texts that neither begin nor end with it stay, and are not gone through sign by sign."""
+    white = lambda v, at: F.substring(v, at, 1).rlike(r"(?U)\s")
+    return F.transform(F.array(c), lambda v: F.when(white(v, 1) | white(v, -1), F.regexp_replace(v, r"(?U)^\s+|\s+$", "")).otherwise(v))[0]
 
 
 @F.pandas_udf(T.StringType())
@@ -59,7 +60,7 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 def nfc(c: Column) -> Column:
     """Canonical composition. ASCII texts, which are composed already, come to Python as nulls."""
-    return F.coalesce(_nfc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+    return F.coalesce(_nfc(F.when(F.octet_length(c) > F.length(c), c)), c)
 
 
 def collapse_spaces(c: Column) -> Column:

@@ -99,8 +99,9 @@ def validators(max_ratio: float = 0.01, off: tuple[str, ...] = (), strict: bool
 
 
 def first_failure(a: Column, b: Column, **options) -> Column:
-    """The first failing check's error, or null."""
-    return F.coalesce(*(c(a, b) for c in validators(**options).values()))
+    """The first failing check's error, or null. A text that stays as it is passes all but the strict checks, and is not gone through."""
+    failure = F.coalesce(*(c(a, b) for c in validators(**options).values()))
+    return failure if options.get("strict") or options.get("max_ratio", 0) < 0 else F.when(~a.eqNullSafe(b), failure)
 
 
 def first_failed(a: Column, b: Column, **options) -> Column:

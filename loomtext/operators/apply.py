@@ -59,15 +59,17 @@ def apply_items(docs: DataFrame, items: str, **options) -> DataFrame:
 
     `items` is the column of each document's own plan, null or an array in order;
     it goes. Map-only. If a validator fails, the original text stays and the
-    counts are kept.
+    counts are kept. Texts without items come to Python as nulls.
     """
     none = F.expr(f"cast(array() as {ITEMS})")
     d = docs.withColumn("_items", F.coalesce(items, none))
-    d = once(d, _r=folded(F.col("text"), F.col("_items")))
-    d = d.withColumn("error", first_failure(F.col("text"), F.col("_r.text"), **options))
+    some = F.size("_items") > 0
+    d = once(d, _r=folded(F.when(some, F.col("text")), F.col("_items")))
+    d = d.withColumn("_new", F.when(some, F.col("_r.text")).otherwise(F.col("text")))
+    d = d.withColumn("error", first_failure(F.col("text"), F.col("_new"), **options))
     return d.select(
         *(F.col(f"`{c}`") for c in docs.columns if c not in ("text", items)),
-        F.when(F.col("error").isNull(), F.col("_r.text")).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("error").isNull(), F.col("_new")).otherwise(F.col("text")).alias("text"),
         F.col("_r.applied").cast("long").alias("replacements_applied"),
         F.col("_r.rejected").cast("long").alias("replacements_rejected"),
         "error",

@@ -10,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.operators.requests import PARAMS, STOP, within
@@ -39,11 +39,19 @@ class Pool:
     waves: int = 1
 
 
+def _user(text: Column) -> Column:
+    return F.concat(F.lit(START + "\n"), text, F.lit("\n" + END))
+
+
+def digest(phase: str, system: Column, text: Column) -> Column:
+    """The 128-bit key of a request; a null text has none."""
+    return F.when(text.isNotNull(), F.md5(F.concat_ws("\u0000", F.lit(phase), system, _user(text))))
+
+
 def keyed(rows: DataFrame, phase: str, system: Column, text: Column) -> DataFrame:
     """rows with the request's columns and `digest`, its 128-bit key: equal requests have one. A null text has none."""
     t, n, r = PARAMS[phase]
-    d = rows.withColumn("phase", F.lit(phase)).withColumn("system", system).withColumn("user", F.concat(F.lit(START + "\n"), text, F.lit("\n" + END)))
-    d = d.withColumn("digest", F.md5(F.concat_ws("\u0000", "phase", "system", "user"))).withColumn("digest", F.when(F.col("user").isNotNull(), F.col("digest")))
+    d = rows.withColumns({"phase": F.lit(phase), "system": system, "user": _user(text), "digest": digest(phase, system, text)})
     return d.withColumns({"temperature": F.lit(t), "max_tokens": F.lit(n), "repetition_penalty": F.lit(r), "stop": F.array(F.lit(STOP)), "enable_thinking": F.lit(False)})
 
 
@@ -110,18 +118,33 @@ def called(requests: DataFrame, complete: Callable[[dict], str], pool: Pool) ->
     return requests.repartition(tasks).mapInArrow(run, ANSWERS)
 
 
-def answers(requests: DataFrame, complete: Callable[[dict], str], folder: str, pool: Pool = Pool()) -> DataFrame:
-    """ANSWERS of distinct requests, from the files of `folder`, to which those without a good answer there are added first.
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(ANSWERS).parquet(folder)
 
-    Run again after a failure, only what is missing is asked for. Of several answers
-    to a request a good one counts, else the least error by name; `calls` is the sum of all.
-    """
+
+def _ask(requests: DataFrame, complete: Callable[[dict], str], folder: str, pool: Pool) -> bool:
+    """Adds answers to distinct requests without a good one in `folder`; whether it had none at all, so that now each request has one row there."""
     spark = requests.sparkSession
-    stored = lambda: spark.read.schema(ANSWERS).parquet(folder)
-    spark.createDataFrame([], ANSWERS).write.mode("append").parquet(folder)
+    spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in ANSWERS.split(", ")))).write.mode("append").parquet(folder)
+    new = _stored(spark, folder).isEmpty()
     for wave in range(pool.waves):
         own = requests.where(F.pmod(F.xxhash64("digest"), F.lit(pool.waves)) == wave) if pool.waves > 1 else requests
-        missing = own.join(stored().where("error is null").select("digest"), "digest", "left_anti")
+        missing = own if new else own.join(_stored(spark, folder).where("error is null").select("digest"), "digest", "left_anti")
         called(missing, complete, pool).write.mode("append").parquet(folder)
+    return new
+
+
+def _best(stored: DataFrame) -> DataFrame:
     best = F.min(F.struct(F.col("error").isNotNull().alias("bad"), "response", "error"))
-    return stored().groupBy("digest").agg(best.alias("a"), F.sum("calls").cast("int").alias("calls")).select("digest", "a.response", "a.error", "calls")
+    return stored.groupBy("digest").agg(best.alias("a"), F.sum("calls").cast("int").alias("calls")).select("digest", "a.response", "a.error", "calls")
+
+
+def answers(requests: DataFrame, complete: Callable[[dict], str], folder: str, pool: Pool = Pool()) -> DataFrame:
+    """ANSWERS of distinct requests, from the files of `folder`, to which those without a good answer there are added first.
+
+    Run again after a failure, only what is missing is asked for. Of several answers
+    to a request a good one counts, else the least error by name; `calls` is the sum of all.
+    """
+    new = _ask(requests, complete, folder, pool)
+    stored = _stored(requests.sparkSession, folder)
+    return stored if new else _best(stored)

@@ -59,23 +59,51 @@ def with_replacement_map(prompt: Column, pairs: Column, most: int = 100) -> Colu
     return F.when(F.size(pairs) > 0, F.concat(prompt, F.lit("\n\nPREPASS REPLACEMENTS:\n"), said)).otherwise(prompt)
 
 
+class Helper:
+    """A thread that makes one call after another. One that hangs keeps it, and the next call gets a new thread."""
+
+    def __init__(self) -> None:
+        self.todo: queue.SimpleQueue | None = None
+
+    def call(self, seconds: float, complete: Callable[[dict], str], row: dict) -> tuple:
+        if self.todo is None:
+            self.todo, self.done = queue.SimpleQueue(), queue.SimpleQueue()
+            threading.Thread(target=self.work, args=(self.todo, self.done), daemon=True).start()
+        self.todo.put((complete, row))
+        try:
+            return self.done.get(timeout=seconds)
+        except queue.Empty:
+            self.leave()
+            raise TimeoutError(f"timeout after {seconds} s") from None
+
+    @staticmethod
+    def work(todo: queue.SimpleQueue, done: queue.SimpleQueue) -> None:
+        while (job := todo.get()) is not None:
+            complete, row = job
+            try:
+                done.put((complete(row), None))
+            except Exception as e:  # goes to the caller
+                done.put((None, e))
+
+    def leave(self) -> None:
+        if self.todo is not None:
+            self.todo.put(None)
+            self.todo = None
+
+    def __del__(self) -> None:  # the thread it helps has ended
+        self.leave()
+
+
+_OWN = threading.local()
+
+
 def within(seconds: float | None, complete: Callable[[dict], str], row: dict) -> str:
     """complete(row), or a TimeoutError after so many seconds; the call that hangs is left to itself."""
     if seconds is None:
         return complete(row)
-    out: queue.Queue = queue.Queue()
-
-    def call() -> None:
-        try:
-            out.put((complete(row), None))
-        except Exception as e:  # goes to the caller
-            out.put((None, e))
-
-    threading.Thread(target=call, daemon=True).start()
-    try:
-        said, error = out.get(timeout=seconds)
-    except queue.Empty:
-        raise TimeoutError(f"timeout after {seconds} s") from None
+    if not hasattr(_OWN, "helper"):
+        _OWN.helper = Helper()
+    said, error = _OWN.helper.call(seconds, complete, row)
     if error:
         raise error
     return said

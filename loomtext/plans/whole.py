@@ -101,11 +101,13 @@ def detect(df: DataFrame, o: Options, model: Model, step: str) -> DataFrame:
     own = asked.select("_row", "chunk_no", "digest")
     answers = said(asked, model, step)
     items = responses.parse_lines(answers.where("error is null"), ["digest"])  # each different answer is read once
+    # An answer's items and a row of nulls, which counts the answer, so that chunks meet answers once.
+    told = items.unionByName(answers.where("error is null").select("digest"), allowMissingColumns=True)
     place = F.struct("chunk_no", "item_no", "reason")
-    pairs = own.join(items, "digest").groupBy("_row", "find", "replace").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"))
-    found = pairs.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "find", "replace", "n"))).alias("_found"))
-    calls = own.join(answers.where("error is null").select("digest"), "digest").groupBy("_row").agg(F.count(F.lit(1)).alias("_calls"))
-    d = d.join(calls.join(found, "_row", "left"), "_row", "left")
+    pairs = own.join(told, "digest").groupBy("_row", "find", "replace").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"))
+    item = F.when(F.col("find").isNotNull(), F.struct("at", "find", "replace", "n"))
+    found = pairs.groupBy("_row").agg(F.array_sort(F.collect_list(item)).alias("_found"), F.sum(F.when(F.col("find").isNull(), F.col("n"))).alias("_calls"))
+    d = d.join(found, "_row", "left")
     good = F.filter(F.coalesce("_found", F.expr("cast(array() as array<struct<at:struct<chunk_no:int,item_no:int,reason:string>,find:string,replace:string,n:bigint>>)")), lambda x: F.contains(F.col("text"), x["find"]))
     d = d.withColumn("_good", good)
     many = lambda items: F.aggregate(F.coalesce(items, F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -143,10 +145,10 @@ def whole_text(df: DataFrame, model: Model, step: str, phase: str, out: Column,
     """df with `_said`: the answer for its whole text, or null where there is none that counts."""
     d = numbered(df, model, step)
     system = hinted(model.prompts[phase], F.col("_plan"), model.hints) if phase == "grammar" and "_plan" in d.columns else F.lit(model.prompts[phase])
-    asked = inference.keyed(d.select("_row", "text", *(c for c in ("_plan",) if c in d.columns)), phase, system, F.col("text"))
-    answers = said(asked, model, step).where("error is null").select("digest", out.alias("_said"))
-    new = asked.select("_row", "digest", F.length("text").alias("_n")).join(answers, "digest").where((F.length("_said") > 0) & (F.length("_said") < factor * F.col("_n"))).select("_row", "_said")
-    return d.join(new, "_row", "left")
+    asked = inference.keyed(d.select("text", *(c for c in ("_plan",) if c in d.columns)), phase, system, F.col("text"))
+    answers = said(asked, model, step).where("error is null").select(F.col("digest").alias("_digest"), out.alias("_said"))
+    d = d.withColumn("_digest", inference.digest(phase, system, F.col("text"))).join(answers, "_digest", "left").drop("_digest")
+    return d.withColumn("_said", F.when((F.length("_said") > 0) & (F.length("_said") < factor * F.length("text")), F.col("_said")))
 
 
 def replaced(d: DataFrame) -> DataFrame:

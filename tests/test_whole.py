@@ -178,3 +178,26 @@ def test_stored_in_waves_and_asked_again_only_for_errors(spark, tmp_path):
     assert sorted((r.response or "", r.error or "", r.calls) for r in one) == [("", "TimeoutError: timeout", 1)] * 4 + [("first", "", 1)] * 36
     two = inference.answers(reqs, rest, folder, pool).collect()
     assert sorted((r.response, r.error, r.calls) for r in two) == [("first", None, 1)] * 36 + [("second", None, 2)] * 4
+
+
+def test_calls_of_a_thread_share_a_helper_until_one_hangs():
+    from loomtext.operators.requests import within
+
+    name = lambda row: threading.current_thread().name
+    first = {within(5.0, name, {}) for _ in range(50)}
+    assert len(first) == 1  # a thread for each call cost more than most stand-ins
+    with pytest.raises(TimeoutError):
+        within(0.05, lambda row: time.sleep(0.5), {})
+    with pytest.raises(ValueError):
+        within(5.0, lambda row: int("x"), {})
+    assert within(5.0, name, {}) not in first
+
+
+def test_chunks_meet_answers_once_and_texts_without_items_stay_out_of_python(spark, tmp_path):
+    """One join of the chunks with their answers (there were two, each with all chunks cut and hashed anew)."""
+    model = whole.Model(answer, str(tmp_path / "run"), pool=QUICK)
+    d = whole.detect(docs(spark, ROWS), clean.Options(), model, "0-detect")
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode(CASE WHEN (length(text") == 1
+    d = d.select("_row", F.size("_plan").alias("n"), "`detect.model_calls`").collect()
+    assert sorted(tuple(r)[1:] for r in d) == [(0, 0), (0, 0), (0, 0), (0, 1), (1, 1), (1, 1), (1, 1)]
