@@ -142,30 +142,31 @@ def hinted(prompt: str, plan: Column, most: int) -> Column:
 
 
 def whole_text(df: DataFrame, model: Model, step: str, phase: str, out: Column, factor: float) -> DataFrame:
-    """df with `_said`: the answer for its whole text, or null where there is none that counts."""
+    """df with `_said`, the answer for its whole text, and `_fits`, whether it is there and counts. Lengths are taken before the join, so that statistics move no texts."""
     d = numbered(df, model, step)
     system = hinted(model.prompts[phase], F.col("_plan"), model.hints) if phase == "grammar" and "_plan" in d.columns else F.lit(model.prompts[phase])
     asked = inference.keyed(d.select("text", *(c for c in ("_plan",) if c in d.columns)), phase, system, F.col("text"))
-    answers = said(asked, model, step).where("error is null").select(F.col("digest").alias("_digest"), out.alias("_said"))
-    d = d.withColumn("_digest", inference.digest(phase, system, F.col("text"))).join(answers, "_digest", "left").drop("_digest")
-    return d.withColumn("_said", F.when((F.length("_said") > 0) & (F.length("_said") < factor * F.length("text")), F.col("_said")))
+    answers = said(asked, model, step).where("error is null").select(F.col("digest").alias("_digest"), out.alias("_said")).withColumn("_m", F.length("_said"))
+    d = d.withColumns({"_digest": inference.digest(phase, system, F.col("text")), "_n": F.length("text")}).join(answers, "_digest", "left")
+    fits = F.coalesce((F.col("_m") > 0) & (F.col("_m") < factor * F.col("_n")), F.lit(False))
+    return d.withColumn("_fits", fits).drop("_digest", "_n", "_m")
 
 
 def replaced(d: DataFrame) -> DataFrame:
-    return d.withColumn("text", F.coalesce("_said", "text")).drop("_said")
+    return d.withColumn("text", F.when(F.col("_fits"), F.col("_said")).otherwise(F.col("text"))).drop("_said", "_fits")
 
 
 def grammar(df: DataFrame, o: Options, model: Model, step: str) -> DataFrame:
     d = whole_text(df, model, step, "grammar", responses.result_part(F.col("response")), 1.5)
     provided = F.size("_plan") if "_plan" in d.columns else F.lit(0)
-    return replaced(counted(d, "grammar", problems_provided=provided, grammar_applied=F.col("_said").isNotNull().cast("int")))
+    return replaced(counted(d, "grammar", problems_provided=provided, grammar_applied=F.col("_fits").cast("int")))
 
 
 def fix(df: DataFrame, o: Options, model: Model, step: str) -> DataFrame:
     if model.nodes:
         return fix_nodes(df, model, step)
     d = whole_text(df, model, step, "fix", F.col("response"), 1.2)
-    return replaced(counted(d, "fix", polishing_calls=F.col("_said").isNotNull().cast("int")))
+    return replaced(counted(d, "fix", polishing_calls=F.col("_fits").cast("int")))
 
 
 def fix_nodes(df: DataFrame, model: Model, step: str) -> DataFrame:

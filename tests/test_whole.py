@@ -201,3 +201,14 @@ def test_chunks_meet_answers_once_and_texts_without_items_stay_out_of_python(spa
     assert plan.count("Generate posexplode(CASE WHEN (length(text") == 1
     d = d.select("_row", F.size("_plan").alias("n"), "`detect.model_calls`").collect()
     assert sorted(tuple(r)[1:] for r in d) == [(0, 0), (0, 0), (0, 0), (0, 1), (1, 1), (1, 1), (1, 1)]
+
+
+def test_statistics_of_the_last_step_move_no_texts(spark, tmp_path):
+    model = whole.Model(answer, str(tmp_path / "run"), pool=QUICK)
+    _, stats = whole.clean_everything(docs(spark, ROWS), model, ("mask", "fix"))
+    plan = stats.groupBy("step", "key").agg(F.sum("value").alias("v"))
+    tree = plan._jdf.queryExecution().optimizedPlan().toString()
+    both = tree[tree.index("Join") :].split("\n")[1:]  # what is projected on either side of the join
+    sides = [line for line in both if "Project [" in line]
+    assert len(sides) == 2 and not any(", text#" in line or "[text#" in line or "AS _said" in line for line in sides), tree
+    assert {(r.step, r.key): r.v for r in plan.collect()} == {("mask", "masks_created"): 2, ("fix", "polishing_calls"): 2}
