@@ -22,6 +22,9 @@
 Each word's form is its most frequent near word where that is `times` as frequent;
 roots follow by pointer doubling, since numbers grow along forms.
 
+No join is a broadcast, as both sides grow with the words: Spark sizes the grams by
+the words' compressed file, many times too low, and would send them through the driver.
+
 Defined cases: null texts have no word; a null doc_id gives no deletion (its runs
 have no checksum); rows that repeat are counted each; an empty table gives an empty
 result. Only doc_id and text are read. doc_id may be of any type: its text is used.
@@ -159,7 +162,7 @@ def near_words(words: DataFrame, longest: int = 6, share: int = 60_000, rare: in
     own = words.select("word", "n")
     read = own.mapInArrow(probe, "key string, word string, n long, need int")
     kept = own.mapInArrow(index, "key string, near string, near_n long")
-    met = read.join(kept, "key").where((F.length("near") < F.length("word")) | (F.col("near") < F.col("word")))
+    met = read.join(kept.hint("merge"), "key").where((F.length("near") < F.length("word")) | (F.col("near") < F.col("word")))
     merged = met.groupBy("word", "near", "n", "near_n", "need").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= F.col("need"))
     found = merged.where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
     both = F.array(F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
@@ -171,7 +174,7 @@ def rooted(forms: DataFrame) -> DataFrame:
     roots = written(forms.where("form is not null").select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = written(roots.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        step = written(roots.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         moved = not step.where("moved").isEmpty()
         discard(roots)
         roots = step.drop("moved")
@@ -186,7 +189,7 @@ def grouped(words: DataFrame, times: int = 5, **options) -> DataFrame:
     best = F.min(F.struct((-F.col("near_n")).alias("minus"), "near"))
     near = near_words(words, **options).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
     good = -F.col("best.minus") >= times * F.col("n")
-    forms = words.join(near, "word", "left").select(
+    forms = words.join(near.hint("merge"), "word", "left").select(
         "word",
         "n",
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -195,4 +198,4 @@ def grouped(words: DataFrame, times: int = 5, **options) -> DataFrame:
     )
     forms = written(forms, "forms")
     roots = rooted(forms).select("word", "root")
-    return forms.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return forms.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

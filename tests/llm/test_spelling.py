@@ -105,3 +105,17 @@ def test_awkward(awkward, nothing):
     got = {tuple(r) for r in spelling.grouped(counted).collect()}
     assert got == expected(plain(rows))
     assert spelling.grouped(spelling.counted(nothing)).collect() == []
+
+
+def test_no_join_goes_through_the_driver(spark, monkeypatch):
+    plans, own = [], spelling.written
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(spelling, "written", lambda df, name: seen(df) or own(df, name))
+    words = vocabulary(random.Random(7), 400)
+    # Small files: by Spark's sizes, all tables would be sent whole.
+    out = spelling.grouped(spark.createDataFrame(list(words.items()), "word string, n long"))
+    got = {tuple(r) for r in out.collect()}
+    seen(out)
+    assert got == expected(words)
+    assert sum("SortMergeJoin" in x for x in plans) >= 3
+    assert not [x for x in plans if "Broadcast" in x]
